@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import shutil
 import tempfile
@@ -42,6 +43,12 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+def release(spark: SparkSession) -> None:
+    """Let the driver's cleaner delete shuffle files that no live plan refers to, instead of whenever it next collects garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 class Workspace:
     """Tables written to the shared folder: they cut lineage and survive lost executors.
 
@@ -59,6 +66,7 @@ class Workspace:
         if partition_by:
             writer = writer.partitionBy(*partition_by)
         writer.parquet(path)
+        release(self.spark)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
