@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprint, linededup, sharding, tokencount
+from . import bpe, fingerprint, linededup, sharding, substrdup, tokencount
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -39,6 +39,28 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(docs, vocabulary(), with_ids=False).drop("text")
 
 
+@query
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrdup.remove_repeats(table(spark, sf_dir, "documents")).drop("kept_text")
+
+
+SQL["op5_substring_dedup"] = """
+WITH w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x <> '') AS ws FROM documents),
+starts AS (
+  SELECT doc_id, s, array_to_string(ws[s:s+34], ' ') AS win
+  FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 33)) AS s FROM w WHERE len(ws) >= 35)),
+again AS (SELECT win FROM starts GROUP BY win HAVING count(*) > 1),
+bad AS (SELECT doc_id, list(s ORDER BY s) AS st FROM starts SEMI JOIN again USING (win) GROUP BY doc_id),
+words AS (SELECT doc_id, unnest(ws) AS x, generate_subscripts(ws, 1) AS i FROM w),
+gone AS (
+  SELECT DISTINCT doc_id, unnest(range(s, s + 35)) AS i FROM (SELECT doc_id, unnest(st) AS s FROM bad)),
+kept AS (
+  SELECT doc_id, count(*) AS n, string_agg(x, ' ' ORDER BY i) AS t FROM words ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+SELECT w.doc_id, CAST(len(w.ws) AS BIGINT) AS n_words, CAST(len(w.ws) - coalesce(k.n, 0) AS BIGINT) AS n_removed, sha256(coalesce(k.t, '')) AS kept_sha256
+FROM w LEFT JOIN kept k USING (doc_id)"""
+
+
 @query
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
