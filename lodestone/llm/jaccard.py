@@ -1,9 +1,10 @@
 """Exact n-gram Jaccard self-join by a token-group matrix.
 
 Documents with equal shingle sets are one representative. Representatives are partitioned into groups of likely
-similar ones (equal least shingle; in documents that aren't mostly common shingles, the least uncommon one), and a
-group into clusters that links already join. The matrix is kept sparse, as the tokens of each group:
+similar ones, and a group into clusters that links already join. The matrix is kept sparse, as the tokens of each group:
 
+* documents are grouped by one token each: their least uncommon one, or, if most of their tokens are common, the most
+  common one that isn't far more common than the rest;
 * which group pairs can hold a link follows from their prefix tokens: in a global order, common tokens last, a
   document's first (1 - t) n + l tokens share at least l tokens with those of every document it links to;
 * a cluster's leader is compared with the leaders of such partner groups; what that joins needs no further look;
@@ -28,8 +29,10 @@ from .common import Words, mix, pieces, signed, window_hashes, window_starts
 from .components import components
 
 _LOW = -(1 << 63)
-#: Common tokens: seen in LOCAL documents of a slice, in LEAST of all such; at most MOST_COMMON of them are broadcast (12 MB).
-LOCAL, LEAST, MOST_COMMON = 3, 8, 1_000_000
+#: Common tokens: in LEAST documents or more; at most MOST_COMMON of them, the most common ones, are broadcast (12 MB).
+LEAST, MOST_COMMON = 12, 1_000_000
+#: Only tokens below this are counted: prefixes take the lowest uncommon third, so others hardly come into one.
+COUNTED = -(1 << 63) + int(0.45 * (1 << 64))
 #: Representatives compared with each other in one task.
 BLOCK = 512
 
@@ -79,14 +82,27 @@ class Common:
 
 
 def _groups(tok: np.ndarray, first: np.ndarray, weight: np.ndarray) -> np.ndarray:
-    """Of each text its group: the least of its tokens, of the uncommon ones where they are half of all or more; 0 for empty sets."""
+    """Of each text its group; 0 for empty sets.
+
+    Where less than half of the counted tokens are common: the least uncommon token. Else the text is one of many
+    alike, and the most common token that its likes share (not over four times the median count, as passages from
+    elsewhere are) is the same in nearly all of them.
+    """
     n = np.diff(first)
     out = np.zeros(len(n), np.int64)
     full = np.flatnonzero(n)
-    if len(full):
-        rare = np.add.reduceat((weight == 0).astype(np.int64), first[:-1][full])
-        use = (weight == 0) | np.repeat(2 * rare < n[full], n[full])
-        out[full] = np.minimum.reduceat(np.where(use, tok, np.iinfo(np.int64).max), first[:-1][full])
+    if not len(full):
+        return out
+    at = first[:-1][full]
+    counted = tok < COUNTED
+    rare = np.add.reduceat((counted & (weight == 0)).astype(np.int64), at)
+    often = np.add.reduceat((weight > 0).astype(np.int64), at)
+    out[full] = np.minimum.reduceat(np.where(weight == 0, tok, np.iinfo(np.int64).max), at)
+    for i in full[often > rare].tolist():
+        w, own = weight[first[i] : first[i + 1]], tok[first[i] : first[i + 1]]
+        most = 4 * np.median(w[w > 0])
+        best = np.where((w > 0) & (w <= most), w, 0)
+        out[i] = own[np.flatnonzero(best == best.max())[0]]
     return out
 
 
@@ -169,12 +185,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         for batch in batches:
             for part in pieces(batch, "text", 4 << 20):
                 tok, _ = shingle_sets(part.column("text"), size)
-                own, n = np.unique(tok, return_counts=True)
-                often = n >= LOCAL
-                yield pa.RecordBatch.from_arrays([pa.array(own[often]), pa.array(n[often])], names=["tok", "n"])
+                own, n = np.unique(tok[tok < COUNTED], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(n.astype(np.int32))], names=["tok", "n"])
 
-    found = rows.select("text").mapInArrow(local_counts, "tok long, n long").groupBy("tok").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST)
-    found = found.orderBy(F.desc("n"), "tok").limit(MOST_COMMON).toArrow()
+    def totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of a partition that holds all rows of its tokens: the common ones."""
+        found = [b for b in batches if b.num_rows]
+        if found:
+            held = pa.Table.from_batches(found)
+            own, back = np.unique(held.column("tok").to_numpy(), return_inverse=True)
+            n = np.bincount(back, held.column("n").to_numpy()).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(own[n >= LEAST]), pa.array(n[n >= LEAST])], names=["tok", "n"])
+
+    found = rows.select("text").mapInArrow(local_counts, "tok long, n int").repartition("tok").mapInArrow(totals, "tok long, n long")
+    found = work.table("common", found).orderBy(F.desc("n"), "tok").limit(MOST_COMMON).toArrow()
+    work.drop("common")
     common = spark.sparkContext.broadcast(Common(found.column("tok").to_numpy(), found.column("n").to_numpy()))
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
