@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 
 def _lines(text: Column) -> Column:
-    return F.filter(F.transform(F.split(text, "\n"), F.trim), lambda x: F.length(x) > 0)
+    return F.filter(F.transform(F.split(text, "\n"), lambda s: F.trim(s)), lambda x: F.length(x) > 0)
 
 
 def citations(answer: Column, sources: Column) -> Column:

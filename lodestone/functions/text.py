@@ -57,7 +57,7 @@ def strip_html(html: Column, drop: tuple[str, ...] = ("script", "style")) -> Col
     out = F.regexp_replace(F.regexp_replace(out, r"(?s)<!--.*?-->", ""), r"(?s)<[^>]*>", "\n")
     for entity, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
         out = F.replace(out, F.lit(entity), F.lit(char))
-    parts = F.filter(F.transform(F.split(out, "\n|  "), F.trim), lambda s: F.length(s) > 0)
+    parts = F.filter(F.transform(F.split(out, "\n|  "), lambda s: F.trim(s)), lambda s: F.length(s) > 0)
     return F.array_join(parts, "\n")
 
 
@@ -73,7 +73,7 @@ def main_part(html: Column) -> Column:
 
 def phrases(query: Column) -> Column:
     """Parts between , ; : and or; the query itself first unless it is a part; up to five words over four letters; ten in all."""
-    parts = F.filter(F.transform(F.split(F.lower(query), r"[,;:]|\band\b|\bor\b"), F.trim), lambda p: F.length(p) > 0)
+    parts = F.filter(F.transform(F.split(F.lower(query), r"[,;:]|\band\b|\bor\b"), lambda s: F.trim(s)), lambda p: F.length(p) > 0)
     parts = F.when(F.array_contains(parts, query), parts).otherwise(F.concat(F.array(query), parts))
     big = F.slice(F.filter(words(query), lambda w: F.length(w) > 4), 1, 5)
     return F.slice(F.concat(parts, big), 1, 10)
