@@ -31,7 +31,8 @@ def verdict(text: Column) -> Column:
 def verdict_score(text: Column) -> Column:
     """The SCORE line clamped to 0..1; without one .9 for fully, .1 for not, else .5."""
     default = F.when(verdict(text) == "fully", 0.9).when(verdict(text) == "not", 0.1).otherwise(0.5)
-    return F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), number(text, "SCORE"))), default)
+    score = number(text, "SCORE")
+    return F.when(score.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), score))).otherwise(default)
 
 
 def nli_label(text: Column) -> Column:
