@@ -81,9 +81,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 yield _rows(part.column("key"), [signed(sub[at]), (at - words.first[own]).astype(np.int32)], own, ["h", "at"])
 
     seen = work.table("first", rows.select("key", "text").mapInArrow(first_level, "h long, at int, key long"))
-    repeated = seen.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
+    # A table of its own, so that both sides of the join are shuffled for it and a hot window's rows can be split.
+    repeated = work.table("repeated", seen.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h"))
     alive = work.table("alive", seen.join(repeated, "h", "left_semi").groupBy("key").agg(F.collect_list("at").alias("picks")))
-    work.drop("first")
+    work.drop("first", "repeated")
 
     marks = rows.select("key", F.md5(F.coalesce("text", F.lit(""))).alias("m"))
     groups = marks.groupBy("m").agg(F.count(F.lit(1)).alias("copies"), F.min("key").alias("speaker")).where("copies > 1")
@@ -109,10 +110,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     # Rows that are copies of each other share a key if ids repeat: one of them speaks for all.
     longer = rows.select("key", "text").join(extend, "key").mapInArrow(second_level, "h long, g long, at int, n long, key long")
     longer = work.table("second", longer)
-    whole = longer.groupBy("h", "g").agg(F.sum("n").alias("n")).where("n > 1").select("h", "g")
+    whole = work.table("whole", longer.groupBy("h", "g").agg(F.sum("n").alias("n")).where("n > 1").select("h", "g"))
     hits = longer.where("n = 1").join(whole, ["h", "g"], "left_semi").groupBy("key").agg(F.collect_list("at").alias("starts"))
     told = work.table("told", hits.join(copies.select("key", "copies"), "key", "full"))
-    work.drop("alive", "second", "copies")
+    work.drop("alive", "second", "copies", "whole")
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
