@@ -114,6 +114,6 @@ def a29_rank_metrics(spark, sf):
     from ..operators import evaluate
 
     docs, ask = t(spark, sf, "documents"), questions(spark, sf)
-    truth = docs.select("doc_id", "text").join(F.broadcast(ask), F.expr("contains(text, query)")).select("query_id", "doc_id")
+    truth = retrieval.in_blocks(ask, "query_id", lambda part: docs.select("doc_id", "text").join(F.broadcast(part), F.expr("contains(text, query)")).select("query_id", "doc_id"))
     out = evaluate.rank_metrics(retrieval.bm25(docs, ask), truth)
     return out.select("queries", *(F.round(c, 6).alias(c) for c in ("hit_rate", "mrr", "recall", "ndcg")))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vector as vec
+from .retrieval import in_blocks
 
 
 def alive(cache: DataFrame, now: Column, ttl: Column, created: str = "created_at") -> DataFrame:
@@ -17,8 +18,12 @@ def probe(cache: DataFrame, queries: DataFrame, threshold: float = 0.95) -> Data
 
     Entries meet all rows of a stated query set; ties go to the smaller entry.
     """
-    rows = cache.select("entry_id", F.col("embedding").alias("__e")).join(F.broadcast(queries.select("query_id", F.col("embedding").alias("__q"))), F.lit(True), "inner")
-    rows = rows.select("query_id", "entry_id", vec.cosine(F.col("__q"), F.col("__e")).alias("similarity")).where(F.col("similarity") >= threshold)
+
+    def meet(part: DataFrame) -> DataFrame:
+        rows = cache.select("entry_id", F.col("embedding").alias("__e")).join(F.broadcast(part), F.lit(True), "inner")
+        return rows.select("query_id", "entry_id", vec.cosine(F.col("__q"), F.col("__e")).alias("similarity")).where(F.col("similarity") >= threshold)
+
+    rows = in_blocks(queries.select("query_id", F.col("embedding").alias("__q")), "query_id", meet)
     return rows.groupBy("query_id").agg(F.min_by("entry_id", F.struct(-F.round("similarity", 9), F.col("entry_id"))).alias("entry_id"), F.max("similarity").alias("similarity"))
 
 

@@ -15,6 +15,19 @@ from ..functions import vector as vec
 QUERY_BLOCK = 4096
 
 
+def in_blocks(queries: DataFrame, key: str, f, most: int = QUERY_BLOCK) -> DataFrame:
+    """f(queries), where f may broadcast what it is given: more rows than `most` are handled in blocks, one scan each."""
+    n = queries.count()
+    if n <= most:
+        return f(queries)
+    blocks = -(-n * 5 // (4 * most))
+    out = None
+    for b in range(blocks):
+        part = f(queries.where(F.pmod(F.xxhash64(key), F.lit(blocks)) == b))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, term, tf, dl): term frequencies and the document's length in terms, counted before any shuffle.
 
@@ -73,10 +86,12 @@ def dense(vectors: DataFrame, queries: DataFrame, top_k: int = 10, metric: str =
     v = vectors.select(key, F.col(vector).alias("__v"))
     score = {"cosine": vec.cosine, "dot": vec.dot}.get(metric)
     value = score(F.col("__q"), F.col("__v")) if score else 1 / (1 + vec.euclidean(F.col("__q"), F.col("__v")))
-    rows = v.join(F.broadcast(q), F.lit(True), "inner").select("query_id", key, value.alias("score"))
-    if threshold is not None:
-        rows = rows.where(F.col("score") >= threshold)
-    return top(rows, top_k, key)
+
+    def search(part: DataFrame) -> DataFrame:
+        rows = v.join(F.broadcast(part), F.lit(True), "inner").select("query_id", key, value.alias("score"))
+        return top(rows if threshold is None else rows.where(F.col("score") >= threshold), top_k, key)
+
+    return in_blocks(q, "query_id", search)
 
 
 def centroids(vectors: DataFrame, by: str, vector: str = "embedding") -> DataFrame:
