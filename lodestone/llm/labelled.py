@@ -15,11 +15,12 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, most: int, allowed: C
     """At most `most` labelled ids of either class with their texts: columns doc_id, y (0 or 1), text.
 
     Among the allowed ids those with the least hash are taken, so the sample doesn't hang on row order. An id with
-    several labels takes the largest; null labels and ids are left out. The ids (2 * most at most) are broadcast.
+    several labels takes the largest; null labels and ids are left out. The ids (2 * most at most) are broadcast. An id
+    that several rows have gives its least text only, so the bound holds for repeated ids too.
     """
     known = labels.where(F.col(id_col).isNotNull() & F.col(label).isin(0, 1)).where(allowed)
     known = known.groupBy(F.col(id_col).cast("long").alias("__id")).agg(F.max(F.col(label).cast("int")).alias("y"))
     order = [F.xxhash64("__id"), F.col("__id")]
     taken = known.where("y = 0").orderBy(*order).limit(most).unionByName(known.where("y = 1").orderBy(*order).limit(most))
     texts = docs.select(F.col(id_col).cast("long").alias("__id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    return texts.join(F.broadcast(taken), "__id").select(F.col("__id").alias("doc_id"), "y", "text")
+    return texts.join(F.broadcast(taken), "__id").groupBy(F.col("__id").alias("doc_id"), "y").agg(F.min("text").alias("text"))
