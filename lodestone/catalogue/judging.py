@@ -304,3 +304,83 @@ def a17_mixture(spark, sf):
 
     e = t(spark, sf, "embeddings").select("label", F.col("vec_id").alias("id"), F.slice("embedding", 1, 8).alias("embedding"))
     return cluster.mixture_groups(e, "label")
+
+
+def _tree(spark, sf):
+    """A small deterministic tree: documents are leaves, a source's first sentences its summary."""
+    docs = t(spark, sf, "documents").select("doc_id", F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("node_id"), F.lit(0).alias("level"), F.col("source").alias("parent_id"), F.lit(False).alias("is_summary"), F.col("text").alias("content"))
+    up = docs.groupBy("parent_id").agg(F.max_by("content", -F.col("doc_id")).alias("content")).select(F.lit(-1).cast("long").alias("doc_id"), F.col("parent_id").alias("node_id"), F.lit(1).alias("level"), F.lit(None).cast("string").alias("parent_id"), F.lit(True).alias("is_summary"), "content")
+    return docs.unionByName(up)
+
+
+def _node_hits(spark, sf, nodes):
+    return retrieval.bm25(nodes, questions(spark, sf), 30, "node_id", "content").select("query_id", F.col("doc_id").alias("node_id"), "score")
+
+
+@q()
+def q9_tree_collapsed(spark, sf):
+    from ..operators import trees
+
+    n = _tree(spark, sf)
+    return trees.collapsed(_node_hits(spark, sf, n), n)
+
+
+@q()
+def q9_tree_traversal(spark, sf):
+    from ..operators import trees
+
+    n = _tree(spark, sf)
+    return trees.traversal(_node_hits(spark, sf, n), n)
+
+
+@q()
+def q9_tree_level(spark, sf):
+    from ..operators import trees
+
+    n = _tree(spark, sf)
+    return trees.at_level(_node_hits(spark, sf, n), n, 1, 3)
+
+
+@q("SELECT 'd' || d.doc_id AS node_id, md5('[Summary: ' || s.text[1:200] || ']' || chr(10) || chr(10) || d.text) AS m FROM documents d JOIN (SELECT source, min_by(text, doc_id) AS text FROM documents GROUP BY 1) s USING (source)")
+def j6_leaf_context(spark, sf):
+    from ..operators import trees
+
+    n = _tree(spark, sf)
+    return trees.with_parents(n.where("level = 0").select("node_id"), n).select("node_id", F.md5("content").alias("m"))
+
+
+@q("SELECT doc_id, md5(concat_ws(chr(10) || chr(10), '[Parent Context]' || chr(10) || source, '[Content]' || chr(10) || text[1:50], CASE WHEN doc_id % 2 = 0 THEN '[Details]' || chr(10) || lang END)) AS m FROM documents")
+def f12_render_context(spark, sf):
+    from ..operators import chunking
+
+    details = F.when(F.col("doc_id") % 2 == 0, F.col("lang"))
+    return t(spark, sf, "documents").select("doc_id", F.md5(chunking.render_context(F.col("source"), F.substring("text", 1, 50), details)).alias("m"))
+
+
+@q("SELECT doc_id, md5(substr(text, greatest(p - 30, 1), p - greatest(p - 30, 1)) || '[CHUNK]' || c || '[/CHUNK]' || substr(text, p + length(c), 30)) AS m FROM (SELECT doc_id, text, substr(text, 41, 20) AS c, strpos(text, substr(text, 41, 20)) AS p FROM documents WHERE length(text) > 60)")
+def f49_marked_chunk(spark, sf):
+    from ..operators import chunking
+
+    docs = t(spark, sf, "documents").where(F.length("text") > 60)
+    return docs.select("doc_id", F.md5(chunking.marked(F.col("text"), F.substring("text", 41, 20), 30)).alias("m"))
+
+
+@q()
+def q6_expanded(spark, sf):
+    """Q5, Q6: every query with a rewrite (its first half), searched at once and fused."""
+    from ..plans.pipeline import PipelineBuilder, expanded
+
+    p = PipelineBuilder().with_options(rerank=False).build()
+    ask = questions(spark, sf)
+    half = ask.select("query_id", F.lit(1).alias("n"), F.substring(F.col("query"), F.lit(1), (F.length("query") / 2).cast("int")).alias("query"))
+    return expanded(p, p.ingest(t(spark, sf, "documents")), ask, half)
+
+
+@q()
+def x6_scored_rerank(spark, sf):
+    """Hits of BM25 by a pair scorer in Arrow batches (here: shared letters)."""
+    from ..operators import rerank
+
+    docs, ask = t(spark, sf, "documents"), questions(spark, sf)
+    hits = retrieval.bm25(docs, ask).join(docs.select("doc_id", F.col("text").alias("content")), "doc_id").withColumnRenamed("doc_id", "chunk_id")
+    return rerank.scored(hits, ask, lambda: lambda a, b: [len(set(x) & set(y)) for x, y in zip(a, b, strict=True)])

@@ -92,3 +92,27 @@ def assemble_context(hits: DataFrame) -> DataFrame:
     """Per query one prompt context of hits (rank, content): numbered source blocks."""
     block = F.concat(F.lit("[Source "), F.col("rank").cast("string"), F.lit("]\n"), F.col("content"))
     return hits.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", block.alias("b")))), lambda x: x["b"]), "\n\n---\n\n").alias("context"))
+
+
+def scored(hits: DataFrame, queries: DataFrame, scorer, k: int = 10) -> DataFrame:
+    """Rerank by a pair scorer: scorer() is built once per Arrow stream and maps lists of queries and contents to scores."""
+    rows = hits.select("query_id", "chunk_id", "content", F.col("rank").alias("original_rank")).join(queries.select("query_id", "query"), "query_id")
+
+    def run(frames):
+        score = scorer()
+        for frame in frames:
+            yield frame[["query_id", "chunk_id", "original_rank"]].assign(score=[float(x) for x in score(frame["query"].tolist(), frame["content"].tolist())])
+
+    kinds = dict(rows.dtypes)
+    out = rows.mapInPandas(run, f"query_id {kinds['query_id']}, chunk_id {kinds['chunk_id']}, original_rank {kinds['original_rank']}, score double")
+    w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "original_rank", "chunk_id")
+    return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def compress_by_scores(sentences: DataFrame, budget: int, least: int = 1) -> DataFrame:
+    """Compression by given scores: rows (query_id, chunk_id, pos, sentence, score); a null score is 5 (of 10)."""
+    rows = sentences.withColumn("tokens", tx.quarter_tokens(F.col("sentence")))
+    item = F.struct((-F.coalesce("score", F.lit(5.0))).alias("o"), "chunk_id", "pos", "sentence", "tokens")
+    per = rows.groupBy("query_id").agg(F.array_sort(F.collect_list(item)).alias("items"))
+    kept = per.select("query_id", F.explode(greedy_budget(F.col("items"), budget, least)).alias("x")).select("query_id", "x.*")
+    return kept.groupBy("query_id", "chunk_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "sentence"))), lambda x: x["sentence"]), " ").alias("content"), F.sum("tokens").alias("tokens"))

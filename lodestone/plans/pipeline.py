@@ -123,3 +123,12 @@ def hypothetical(pipeline: Pipeline, chunks: DataFrame, queries: DataFrame, pass
     hits = pipeline.retrieve(chunks, asked, top_k)
     lists = hits.select(F.split("query_id", "#")[0].alias("query_id"), F.split("query_id", "#")[1].alias("list"), "chunk_id", "rank")
     return retrieval.top(retrieval.rrf(lists), top_k, "chunk_id")
+
+
+def expanded(pipeline: Pipeline, chunks: DataFrame, queries: DataFrame, rewrites: DataFrame, top_k: int = 10) -> DataFrame:
+    """Queries and their rewrites (query_id, n, query: variations, sub-queries or a step back), searched at once, fused by rank."""
+    every = queries.select("query_id", F.lit(0).alias("n"), "query").unionByName(rewrites.select("query_id", F.col("n").cast("int").alias("n"), "query"))
+    asked = every.select(F.concat_ws("#", "query_id", "n").alias("query_id"), "query")
+    hits = pipeline.retrieve(chunks, asked, top_k)
+    lists = hits.select(F.split("query_id", "#")[0].alias("query_id"), F.split("query_id", "#")[1].alias("list"), "chunk_id", "rank")
+    return retrieval.top(retrieval.rrf(lists), top_k, "chunk_id")
