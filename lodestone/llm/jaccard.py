@@ -1,13 +1,13 @@
 """Exact n-gram Jaccard self-join by a token-group matrix.
 
 Documents with equal shingle sets are one representative. Representatives are partitioned into groups of likely
-similar ones, and a group into clusters that links already join. The matrix is kept sparse, as the tokens of each group:
+similar ones: those with the same one token, their least uncommon one or, if most of their tokens are common, the most
+common one that isn't far more common than the rest. Links to leaders make clusters of a group, and leaders that share
+another such token join their clusters. The matrix is kept sparse, as the tokens of each cluster:
 
-* documents are grouped by one token each: their least uncommon one, or, if most of their tokens are common, the most
-  common one that isn't far more common than the rest;
-* which group pairs can hold a link follows from their prefix tokens: in a global order, common tokens last, a
+* which pairs of clusters can hold a link follows from their prefix tokens: in a global order, common tokens last, a
   document's first (1 - t) n + l tokens share at least l tokens with those of every document it links to;
-* a cluster's leader is compared with the leaders of such partner groups; what that joins needs no further look;
+* the leaders of such a pair are compared; what that joins needs no further look;
 * for what is left, a query document's overlap with the union of a cluster's tokens bounds every overlap inside, and
   only clusters that reach the bound are opened and compared document by document.
 
@@ -81,8 +81,12 @@ class Common:
         return np.where(self.token[at] == tok, np.minimum(self.count[at], 1 << 20), 0)
 
 
-def _groups(tok: np.ndarray, first: np.ndarray, weight: np.ndarray) -> np.ndarray:
-    """Of each text its group; 0 for empty sets.
+#: Further tokens by which leaders of texts that are mostly common look for each other.
+OTHERS = 6
+
+
+def _groups(tok: np.ndarray, first: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, list[list[int]]]:
+    """Of each text its group (0 for empty sets) and further tokens to look for likes by.
 
     Where less than half of the counted tokens are common: the least uncommon token. Else the text is one of many
     alike, and the most common token that its likes share (not over four times the median count, as passages from
@@ -90,9 +94,10 @@ def _groups(tok: np.ndarray, first: np.ndarray, weight: np.ndarray) -> np.ndarra
     """
     n = np.diff(first)
     out = np.zeros(len(n), np.int64)
+    more: list[list[int]] = [[] for _ in n]
     full = np.flatnonzero(n)
     if not len(full):
-        return out
+        return out, more
     at = first[:-1][full]
     counted = tok < COUNTED
     rare = np.add.reduceat((counted & (weight == 0)).astype(np.int64), at)
@@ -102,8 +107,9 @@ def _groups(tok: np.ndarray, first: np.ndarray, weight: np.ndarray) -> np.ndarra
         w, own = weight[first[i] : first[i + 1]], tok[first[i] : first[i + 1]]
         most = 4 * np.median(w[w > 0])
         best = np.where((w > 0) & (w <= most), w, 0)
-        out[i] = own[np.flatnonzero(best == best.max())[0]]
-    return out
+        best = np.argsort(-best, kind="stable")[: OTHERS + 1]
+        out[i], more[i] = own[best[0]], own[best[1:]].tolist()
+    return out, more
 
 
 def _linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -123,29 +129,17 @@ def _bound(query: np.ndarray, union: np.ndarray, percent: int) -> bool:
 
 
 def _cluster_block(rows: pd.DataFrame, percent: int) -> pd.DataFrame:
-    """Clusters of one block: exact components of the links inside it."""
+    """Clusters of one block by links to leaders: each representative joins the first leader it links to or leads itself."""
     rows = rows.sort_values("rep", kind="stable")
-    reps, sets = rows["rep"].to_numpy(np.int64), [np.asarray(x, np.int64) for x in rows["toks"]]
-    clusters: list[list[int]] = []
-    unions: list[np.ndarray] = []
-    for i, own in enumerate(sets):
-        joined = []
-        for c, members in enumerate(clusters):
-            if _linked(own, sets[members[0]], percent) or (len(members) > 1 and _bound(own, unions[c], percent) and any(_linked(own, sets[j], percent) for j in members[1:])):
-                joined.append(c)
-        if not joined:
-            clusters.append([i])
-            unions.append(own)
-            continue
-        keep = joined[0]
-        for c in reversed(joined[1:]):
-            clusters[keep] += clusters.pop(c)
-            unions[keep] = np.union1d(unions[keep], unions.pop(c))
-        clusters[keep].append(i)
-        clusters[keep].sort()
-        unions[keep] = np.union1d(unions[keep], own)
-    out = [(reps[i], reps[m[0]]) for m in clusters for i in m]
-    return pd.DataFrame({"rep": [x[0] for x in out], "cluster": [x[1] for x in out]}).astype("int64")
+    leaders: list[tuple[int, np.ndarray]] = []
+    out = []
+    for rep, toks in zip(rows["rep"].tolist(), rows["toks"], strict=True):
+        own = np.asarray(toks, np.int64)
+        found = next((r for r, other in leaders if _linked(own, other, percent)), None)
+        if found is None:
+            leaders.append((rep, own))
+        out.append((rep, rep if found is None else found))
+    return pd.DataFrame(out, columns=["rep", "cluster"]).astype("int64")
 
 
 def _check_pairs(df: DataFrame, left: str, right: str, percent: int, test) -> DataFrame:
@@ -206,21 +200,48 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         for batch in batches:
             for part in pieces(batch, "text"):
                 tok, first = shingle_sets(part.column("text"), size)
-                group = _groups(tok, first, common.value.weights(tok))
+                group, more = _groups(tok, first, common.value.weights(tok))
                 sums = [np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(tok.view(np.uint64) + np.uint64(k))))) for k in (1, 2)]
                 a, b = (signed(s[first[1:]] - s[first[:-1]]) for s in sums)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("key"), pa.array(np.diff(first)), pa.array(group), pa.array(a), pa.array(b)], names=["doc_id", "key", "n", "gid", "a", "b"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("key"), pa.array(np.diff(first)), pa.array(group), pa.array(more, pa.list_(pa.int64())), pa.array(a), pa.array(b)], names=["doc_id", "key", "n", "gid", "more", "a", "b"])
 
-    described = work.table("docs", rows.mapInArrow(describe, "doc_id long, key long, n long, gid long, a long, b long"))
+    described = work.table("docs", rows.mapInArrow(describe, "doc_id long, key long, n long, gid long, more array<long>, a long, b long"))
     full = described.where("n > 0")
-    reps = work.table("reps", full.groupBy("a", "b").agg(F.min("key").alias("rep"), F.first("gid").alias("gid"), F.first("n").alias("n")))
+    reps = work.table("reps", full.groupBy("a", "b").agg(F.min("key").alias("rep"), F.min("gid").alias("gid"), F.max("more").alias("more")))
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in pieces(batch, "text"):
+                tok, first = shingle_sets(part.column("text"), size)
+                keep = [c for c in part.schema.names if c not in ("key", "text")]
+                yield pa.RecordBatch.from_arrays([part.column("key"), *(part.column(c) for c in keep), pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(tok))], names=["rep", *keep, "toks"])
+
+    # Rows whose keys repeat are equal in id and text; any of them gives the representative's set.
+    texts = rows.select("key", "text") if unique else rows.select("key", "text").dropDuplicates(["key"])
+
+    def salted(df: DataFrame, by: str) -> DataFrame:
+        """Rows of groups of several, with a salt that bounds what one task compares."""
+        many = df.groupBy(by).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1")
+        return df.join(many, by).withColumn("salt", F.pmod(F.xxhash64("rep"), F.floor((F.col("__n") - 1) / BLOCK) + 1)).drop("__n")
+
+    many = reps.groupBy("gid").agg(F.count(F.lit(1)).alias("reps")).where("reps > 1").select(F.col("gid").alias("g"))
+    wanted = reps.join(many, F.col("gid") == F.col("g"), "left").where("g is not null or size(more) > 0").select(F.col("rep").alias("key"), "gid", "more")
+    alike = work.table("alike", texts.join(wanted, "key").select("key", "gid", "more", "text").mapInArrow(sets, "rep long, gid long, more array<long>, toks array<long>"))
+    block = lambda rows: _cluster_block(rows[["rep", "toks"]], percent)
+    inside = work.table("inside", salted(alike.select("rep", "gid", "toks"), "gid").groupBy("gid", "salt").applyInPandas(block, "rep long, cluster long"))
+    leading = alike.join(inside.where("rep <> cluster").select("rep"), "rep", "left_anti").select("rep", F.explode("more").alias("other"), "toks")
+    beside = salted(leading, "other").groupBy("other", "salt").applyInPandas(block, "rep long, cluster long").where("rep <> cluster")
+    joined = work.table("joined", inside.where("rep <> cluster").unionByName(beside).distinct())
+    grown = components(joined.select(F.col("rep").alias("a"), F.col("cluster").alias("b")), work, "groups")
+    clusters = work.table("clusters", reps.select("rep").join(grown.withColumnRenamed("node", "rep"), "rep", "left").select("rep", F.coalesce("label", "rep").alias("cluster")))
+    work.drop("alike", "inside", "joined")
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in pieces(batch, "text", 4 << 20):
                 tok, first = shingle_sets(part.column("text"), size)
                 weight = common.value.weights(tok)
-                group, n = _groups(tok, first, weight), np.diff(first)
+                group, n = part.column("cluster").to_numpy(), np.diff(first)
                 owner = np.repeat(np.arange(len(n)), n)
                 order = np.argsort(owner << 21 | weight, kind="stable")
                 tok = tok[order]
@@ -274,38 +295,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         if parts:
             yield flush()
 
-    tokens = rows.select("text").mapInArrow(prefixes, "tok long, gid long, least int, most int").repartition("tok")
+    labelled = texts.join(clusters.select(F.col("rep").alias("key"), "cluster"), "key").select("cluster", "text")
+    tokens = labelled.mapInArrow(prefixes, "tok long, gid long, least int, most int").repartition("tok")
     met = tokens.mapInArrow(meet, "g1 long, g2 long, shared long, need long").groupBy("g1", "g2").agg(F.sum("shared").alias("shared"), F.min("need").alias("need"))
-    pairs = work.table("pairs", met.where("shared >= need").select("g1", "g2"))
-
-    many = reps.groupBy("gid").agg(F.count(F.lit(1)).alias("reps"))
-    open_groups = pairs.select(F.col("g1").alias("gid")).unionByName(pairs.select(F.col("g2").alias("gid"))).unionByName(many.where("reps > 1").select("gid")).distinct()
-    wanted = reps.join(open_groups, "gid").join(many, "gid").select(F.col("rep").alias("key"), "gid", (F.floor((F.col("reps") - 1) / BLOCK) + 1).cast("long").alias("salts"))
+    candidates = work.table("pairs", met.where("shared >= need").select(F.col("g1").alias("c1"), F.col("g2").alias("c2")))
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in pieces(batch, "text"):
-                tok, first = shingle_sets(part.column("text"), size)
-                yield pa.RecordBatch.from_arrays([part.column("key"), part.column("gid"), part.column("salts"), pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(tok))], names=["rep", "gid", "salts", "toks"])
-
-    # Rows whose keys repeat are equal in id and text; any of them gives the representative's set.
-    texts = rows.select("key", "text") if unique else rows.select("key", "text").dropDuplicates(["key"])
-    made = texts.join(wanted, "key").select("key", "gid", "salts", "text").mapInArrow(sets, "rep long, gid long, salts long, toks array<long>")
-    made = work.table("sets", made.withColumn("salt", F.pmod(F.xxhash64("rep"), F.col("salts"))))
-
-    lone = made.join(many.where("reps = 1").select("gid"), "gid", "left_semi").select("rep", F.col("rep").alias("cluster"))
-    blocks = made.join(many.where("reps > 1").select("gid"), "gid", "left_semi")
-    inside = blocks.groupBy("gid", "salt").applyInPandas(lambda rows: _cluster_block(rows[["rep", "toks"]], percent), "rep long, cluster long")
-    clusters = work.table("clusters", lone.unionByName(inside))
-
-    leaders = made.join(clusters.where("rep = cluster"), "rep").select("cluster", "gid", "salt", "salts", "toks")
-    heads = leaders.select("cluster", "gid", "salt", "salts")
-    c1 = heads.select(F.col("cluster").alias("c1"), F.col("gid").alias("g1"))
-    c2 = heads.select(F.col("cluster").alias("c2"), F.col("gid").alias("g2"))
-    across = pairs.join(c1, "g1").join(c2, "g2").select("c1", "c2")
-    split = heads.where("salts > 1")
-    beside = split.select(F.col("cluster").alias("c1"), "gid", F.col("salt").alias("s1")).join(split.select(F.col("cluster").alias("c2"), "gid", F.col("salt").alias("s2")), "gid").where("s1 < s2").select("c1", "c2")
-    candidates = work.table("candidates", across.unionByName(beside))
+    open_clusters = candidates.select(F.col("c1").alias("cluster")).unionByName(candidates.select(F.col("c2").alias("cluster"))).distinct()
+    wanted = clusters.join(open_clusters, "cluster").select(F.col("rep").alias("key"), "cluster")
+    made = work.table("sets", texts.join(wanted, "key").select("key", "cluster", "text").mapInArrow(sets, "rep long, cluster long, toks array<long>"))
+    leaders = made.where("rep = cluster").select("cluster", "toks")
 
     def with_sets(pairs_: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
         return pairs_.join(left.select(F.col("cluster").alias("c1"), F.col("toks").alias("x")), "c1").join(right.select(F.col("cluster").alias("c2"), F.col("toks").alias("y")), "c2")
@@ -314,7 +312,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     labels = components(linked.select(F.col("c1").alias("a"), F.col("c2").alias("b")), work, "leaders")
 
     # What leaders didn't join: query documents against the token unions of larger clusters, then inside those that may.
-    sizes = clusters.groupBy("cluster").agg(F.count(F.lit(1)).alias("members"))
+    sizes = made.groupBy("cluster").agg(F.count(F.lit(1)).alias("members"))
     big = sizes.where("members > 1")
     l1 = labels.select(F.col("node").alias("c1"), F.col("label").alias("l1"))
     l2 = labels.select(F.col("node").alias("c2"), F.col("label").alias("l2"))
@@ -327,7 +325,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     left = work.table("left", left.select(F.when(swap, F.col("c2")).otherwise(F.col("c1")).alias("c1"), F.when(swap, F.col("c1")).otherwise(F.col("c2")).alias("c2")))
     edges = linked
     if not left.isEmpty():
-        members = made.join(clusters, "rep").select("rep", "cluster", "toks")
+        members = made
         needed = left.select(F.col("c2").alias("cluster")).distinct()
         unions = members.join(needed, "cluster").select("cluster", F.explode("toks").alias("t")).distinct().groupBy("cluster").agg(F.array_sort(F.collect_list("t")).alias("toks"))
         ask = left.join(members.select(F.col("cluster").alias("c1"), F.col("rep").alias("q"), F.col("toks").alias("x")), "c1").join(unions.select(F.col("cluster").alias("c2"), F.col("toks").alias("y")), "c2")
