@@ -1,14 +1,15 @@
-"""Benchmark decontamination by CGK embedding and bit sampling.
+"""Benchmark decontamination by shared byte runs, banded windows and exact edit distance.
 
-The random walk of Chakraborty, Goldenberg and Koucky copies the byte under a pointer at each step and moves the
-pointer on by a random bit that depends on step and byte. Two texts a few edits apart, walked with the same random
-bits, fall into step again after each edit, so edit distance becomes Hamming distance. A document is walked from
-every word, as if an item began there, an item from each of its words; only the first STEPS places of an embedding are
-ever sampled, so the walk ends there. Each of TABLES repetitions keys a walk by SAMPLES of its places; equal keys make
-candidates, and the part of the document where the whole item would lie is searched for it by exact edit distance.
+An item within k edits of a part of a document shares at least one unedited run of ceil((m - k) / (k + 1)) of its m
+bytes with it, and of random edits nearly always a longer one. Every byte of documents and items begins a run; an
+item's runs are as long (LONGEST at most) as leaves a chance of MISS at its greatest number of random edits that none
+is shared, and never longer than the bound where that can't be met. Equal runs make candidates. Of each, WINDOWS
+of the item around the run are searched in the document by batched bit-parallel edit distance: an item that fits
+in the window with its own limit, a longer one with SPARE percent more, as edits may cluster. What is left has the
+part of the document where the whole item would lie searched by exact edit distance.
 
-An item of w words leaked with few edits gives about w walks, each with TABLES chances, so one undamaged stretch of
-some seven words anywhere in it is enough, and damaged ones often are. tests measure recall against brute force.
+Items that fit in the window are so found without loss. Longer ones can be missed if edits break every run or crowd
+around all shared ones; tests measure recall against brute force.
 """
 
 from __future__ import annotations
@@ -21,26 +22,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship
-from .common import Words, mix, pieces, stream
+from .common import Words, pieces
 
-STEPS, TABLES, SAMPLES = 64, 3, 16
-#: Bytes of an item that must be left where a walk begins; bits of the filter before the exact key lookup.
-LEFT, FILTER_BITS = 32, 20
+#: Longest run looked up; chance that random edits at the limit leave no shared run; bytes of the windows around a run, one
+#: after the other; percent of a window that edits may take beyond the limit; bits of the filter before the exact lookup.
+LONGEST, MISS, WINDOWS, SPARE, FILTER_BITS = 8, 0.003, (24, 48), 12, 20
 #: Items are taken in blocks of this many bytes, so that what one scan broadcasts is bounded.
 BLOCK_BYTES = 2 << 20
-_BITS = (stream(29, STEPS * 256) >> np.uint64(63)).astype(np.int32).reshape(STEPS, 256)
-
-
-def _places() -> np.ndarray:
-    """TABLES rows of SAMPLES ascending places; row t keeps to the first (t + 1)/TABLES of the walk, at 40 places least."""
-    out = []
-    for t in range(TABLES):
-        reach = max(40, STEPS * (t + 1) // TABLES)
-        out.append(np.sort(np.argsort(stream(31 + t, reach), kind="stable")[:SAMPLES]))
-    return np.array(out)
-
-
-_PLACES = _places()
+#: Candidates and windows that are held at once.
+MANY, FEW = 1 << 20, 1 << 12
+#: Bytes before and after the documents that windows at their ends may reach.
+PAD = 2 * WINDOWS[-1]
 
 
 def squeeze(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -54,20 +46,29 @@ def squeeze(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return data[np.cumsum(edge[:-1]) > 0], size[:-1], size[words.first]
 
 
-def keys(data: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
-    """TABLES rows with the sampled keys of the walks from `start`; a walk rests on the byte before `stop`."""
-    at, last = start.astype(np.int32), (stop - 1).astype(np.int32)
-    out = np.zeros((TABLES, len(start)), np.uint64)
-    wanted = [np.isin(np.arange(STEPS), row) for row in _PLACES]
-    for j in range(int(_PLACES.max()) + 1):
-        c = data[at]
-        for t in range(TABLES):
-            if wanted[t][j]:
-                out[t] *= np.uint64(0x9E3779B97F4A7C15)
-                out[t] += c
-        at += _BITS[j][c]
-        np.minimum(at, last, out=at)
-    return np.array([mix(row + np.uint64(t)) for t, row in enumerate(out)])
+def run_length(m: int, percent: int) -> int:
+    """How long the runs of an item of m bytes are."""
+    k = m * percent // 100
+    for q in range(min(m, LONGEST), 0, -1):
+        if q <= -(-(m - k) // (k + 1)) or (1 - (1 - percent / 100) ** q) ** (k + 1) <= MISS:
+            return q
+    return 1
+
+
+def runs(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from every place (zeros after the end) as an integer, the first byte lowest."""
+    out = np.concatenate((data, np.zeros(8, np.uint8))).astype(np.uint64)
+    for n in (1, 2, 4):
+        out[:-n] |= out[n:] << np.uint64(8 * n)
+    return out[: len(data)]
+
+
+def first_bytes(run: np.ndarray, q: int) -> np.ndarray:
+    return run if q == 8 else run & np.uint64((1 << 8 * q) - 1)
+
+
+def _filter_at(run: np.ndarray) -> np.ndarray:
+    return (run * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - FILTER_BITS)
 
 
 def best_place(item: bytes, region: bytes) -> tuple[int, int]:
@@ -101,60 +102,150 @@ def best_place(item: bytes, region: bytes) -> tuple[int, int]:
 
 
 class Index:
-    """The walks of a block of items."""
+    """The runs of a block of items."""
 
-    def __init__(self, items: list[tuple[int, str]]):
+    def __init__(self, items: list[tuple[int, str]], percent: int = 20):
         texts = pa.array([t for _, t in items], pa.string())
-        data, begin, off = squeeze(Words(texts, lower=True))
-        self.ids = [i for i, _ in items]
+        data, _, off = squeeze(Words(texts, lower=True))
+        self.ids, self.percent = [i for i, _ in items], percent
         raw = data.tobytes()
         self.raw = [raw[a : max(a, b - 1)] for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]
-        owner = np.searchsorted(off, begin, "right") - 1
-        keep = (off[1:][owner] - begin >= LEFT) | (begin == off[:-1][owner])
-        begin, owner = begin[keep], owner[keep]
-        self.owner, self.offset = owner, begin - off[:-1][owner]
-        found = keys(data, begin, off[1:][owner])
-        self.order = [np.argsort(k, kind="stable") for k in found]
-        self.keys = [k[o] for k, o in zip(found, self.order, strict=True)]
-        self.filter = []
-        for k in self.keys:
-            f = np.zeros(1 << FILTER_BITS, bool)
-            f[k >> np.uint64(64 - FILTER_BITS)] = True
-            self.filter.append(f)
-
-    def candidates(self, data: np.ndarray, begin: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Pairs (walk of the documents, walk of the items) with an equal key."""
-        mine, theirs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for k, own, order, flags in zip(keys(data, begin, stop), self.keys, self.order, self.filter, strict=True):
-            at = np.flatnonzero(flags[k >> np.uint64(64 - FILTER_BITS)])
-            low, high = np.searchsorted(own, k[at], "left"), np.searchsorted(own, k[at], "right")
-            n = high - low
-            at, low, n = at[n > 0], low[n > 0], n[n > 0]
-            mine.append(np.repeat(at, n))
-            theirs.append(order[np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())])
-        return np.concatenate(mine), np.concatenate(theirs)
-
-    def hits(self, texts: pa.Array, percent: int) -> list[tuple[int, int, int, int]]:
+        self.data, self.off = data, off[:-1]
+        self.size = np.array([len(x) for x in self.raw], np.int64)
+        self.most = self.size * percent // 100
+        owner = np.repeat(np.arange(len(items)), np.diff(off))
+        left = self.off[owner] + self.size[owner] - np.arange(len(data))
+        length = np.array([run_length(m, percent) for m in self.size.tolist()], np.int64)
+        self.classes, every = [], runs(data)
+        for q in np.unique(length[self.size > 0]).tolist():
+            at = np.flatnonzero((length[owner] == q) & (left >= q))
+            run = first_bytes(every[at], q)
+            order = np.argsort(run, kind="stable")
+            flags = np.zeros(1 << FILTER_BITS, bool)
+            flags[_filter_at(run)] = True
+            self.classes.append((q, run[order], at[order], owner[at[order]], flags))
+        # Row c, column p // 8: in which of the 64 places from p on (p divisible by 8) stands a byte of code c.
+        self.columns = len(data) // 8 + 1
+        bits = np.zeros((64, self.columns + 8), np.uint8)
+        for c in range(64):
+            packed = np.packbits((data & 63) == c, bitorder="little")
+            bits[c, : len(packed)] = packed
+        wide = np.zeros((64, self.columns), np.uint64)
+        for j in range(8):
+            wide |= bits[:, j : self.columns + j].astype(np.uint64) << np.uint64(8 * j)
+        self.equal = wide.reshape(-1)
+
+    def candidates(self, data: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, int]]:
+        """Places in the documents, places in the items' bytes and items with an equal run, and its length; MANY or one place's at a time."""
+        every = runs(data)
+        for q, own, at, owner, flags in self.classes:
+            run = first_bytes(every, q)
+            mine = np.flatnonzero(flags[_filter_at(run)])
+            # Sorted lookups stay in the cache.
+            value, back = np.unique(run[mine], return_inverse=True)
+            low = np.searchsorted(own, value, "left")
+            n = (np.searchsorted(own, value, "right") - low)[back]
+            low = low[back]
+            mine, low, n = mine[n > 0], low[n > 0], n[n > 0]
+            total, a = np.cumsum(n), 0
+            while a < len(mine):
+                done = total[a - 1] if a else 0
+                b = max(a + 1, int(np.searchsorted(total, done + MANY, "right")))
+                part = n[a:b]
+                theirs = np.repeat(low[a:b] - (np.cumsum(part) - part), part) + np.arange(part.sum())
+                yield np.repeat(mine[a:b], part), at[theirs], owner[theirs], q
+                a = b
+
+    def near(self, code: np.ndarray, pos: np.ndarray, place: np.ndarray, item: np.ndarray, q: int) -> np.ndarray:
+        """Which candidates have the windows around their run within their limits in the document."""
+        size, most = self.size[item], self.most[item]
+        short = size <= WINDOWS[-1]
+        out = np.zeros(len(pos), bool)
+        for m in np.unique(size[short]).tolist():
+            x = np.flatnonzero(size == m)
+            limit = int(most[x[0]])
+            out[x] = self._within(code, pos[x] - (place[x] - self.off[item[x]]) - limit, self.off[item[x]], m, limit, m + 2 * limit)
+        x = np.flatnonzero(~short)
+        for m in WINDOWS:
+            limit = m * (self.percent + SPARE) // 100
+            slack = 2 * limit // 3  # the run fixes where the window lies but for the edits to one side
+            own = self.off[item[x]]
+            first = np.clip(place[x] - (m - q) // 2, own, own + size[x] - m)
+            x = x[self._within(code, pos[x] - (place[x] - first) - slack, first, m, limit, m + 2 * slack)]
+        out[x] = True
+        return out
+
+    def _within(self, code: np.ndarray, begin: np.ndarray, first: np.ndarray, m: int, limit: int, steps: int) -> np.ndarray:
+        """Whether the m item bytes from `first` are within the limit of any part of the `steps` document bytes from `begin`.
+
+        Bits above the m lowest are never read, so nothing masks them.
+        """
+        out = np.zeros(len(begin), bool)
+        kind = np.uint32 if m <= 32 else np.uint64
+        one, top = kind(1), kind(m - 1)
+        for a in range(0, len(begin), FEW):
+            at = begin[a : a + FEW] + PAD
+            column, shift = first[a : a + FEW] >> 3, (first[a : a + FEW] & 7).astype(np.uint64)
+            n = len(at)
+            pv, mv, score = np.full(n, ~kind(0)), np.zeros(n, kind), np.full(n, m, kind)
+            best = score.copy()
+            place, wide, e, xv, xh, ph, mh = np.empty(n, np.int64), np.empty(n, np.uint64), *(np.empty(n, kind) for _ in range(5))
+            for j in range(steps):
+                np.take(code, at, out=place, mode="clip")
+                at += 1
+                place += column
+                np.take(self.equal, place, out=wide, mode="clip")
+                np.right_shift(wide, shift, out=wide)
+                np.copyto(e, wide, casting="unsafe")
+                np.bitwise_or(e, mv, out=xv)
+                np.bitwise_and(e, pv, out=xh)
+                xh += pv
+                xh ^= pv
+                xh |= e
+                np.bitwise_or(xh, pv, out=ph)
+                np.invert(ph, out=ph)
+                ph |= mv
+                np.bitwise_and(pv, xh, out=mh)
+                np.right_shift(ph, top, out=e)
+                e &= one
+                score += e
+                np.right_shift(mh, top, out=e)
+                e &= one
+                score -= e
+                ph <<= one
+                mh <<= one
+                np.bitwise_or(xv, ph, out=pv)
+                np.invert(pv, out=pv)
+                pv |= mh
+                np.bitwise_and(ph, xv, out=mv)
+                if j >= m - limit - 1:
+                    np.minimum(best, score, out=best)
+            out[a : a + FEW] = best <= kind(limit)
+        return out
+
+    def hits(self, texts: pa.Array) -> list[tuple[int, int, int, int]]:
         """(text, item, distance, byte of the squeezed text where the best match ends), least distance of each pair."""
-        words = Words(texts, lower=True)
-        data, begin, off = squeeze(words)
-        doc = np.repeat(np.arange(len(off) - 1), np.diff(words.first))
-        stop = off[1:][doc]
-        keep = stop - begin >= min(LEFT, min(map(len, self.raw), default=LEFT))
-        begin, doc, stop = begin[keep], doc[keep], stop[keep]
-        if not len(begin) or not len(self.owner):
+        data, _, off = squeeze(Words(texts, lower=True))
+        if not len(data):
             return []
-        mine, theirs = self.candidates(data, begin, stop)
-        if not len(mine):
+        code = np.pad((data & 63).astype(np.int64) * self.columns, PAD)
+        found = []
+        for pos, place, item, q in self.candidates(data):
+            # Of runs one after the other on one diagonal the first is taken, and those at every eighth byte of the item.
+            inner = place - self.off[item]
+            one = (inner & 7 == 0) | (pos == 0)
+            one |= data[pos - 1] != self.data[place - 1]
+            pos, place, item, inner = pos[one], place[one], item[one], inner[one]
+            ok = self.near(code, pos, place, item, q)
+            doc = np.searchsorted(off, pos[ok], "right") - 1
+            # Nearby alignments of one pair share a search: its region reaches a quarter of the item to both sides.
+            grain = np.maximum(self.size[item[ok]] // 8, 1)
+            found.append(np.unique(np.column_stack((doc, item[ok], (pos - inner)[ok] // grain)), axis=0))
+        if not found:
             return []
-        item, place = self.owner[theirs], begin[mine] - self.offset[theirs]
-        # Nearby alignments of one pair share a search: its region reaches a quarter of the item to both sides.
-        grain = np.maximum(np.array([len(x) for x in self.raw], np.int64)[item] // 8, 1)
-        rows = np.unique(np.column_stack((doc[mine], item, place // grain)), axis=0)
         raw, best = data.tobytes(), {}
-        for d, i, p in rows.tolist():
-            own = self.raw[i]
-            most = len(own) * percent // 100
+        for d, i, p in np.unique(np.concatenate(found), axis=0).tolist():
+            own, most = self.raw[i], int(self.most[i])
             if best.get((d, i), (most + 1,))[0] == 0:
                 continue
             slack, grain_i = len(own) // 4 + 8, max(len(own) // 8, 1)
@@ -197,10 +288,10 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
         shared = spark.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            index = Index(shared.value)
+            index = Index(shared.value, percent)
             for batch in batches:
                 for part in pieces(batch, "text"):
-                    found = index.hits(part.column("text"), percent)
+                    found = index.hits(part.column("text"))
                     size = [len(index.raw[i]) for _, i, _, _ in found]
                     cols = [
                         part.column("doc_id").take(pa.array([d for d, *_ in found], pa.int64())),

@@ -147,6 +147,45 @@ def test_leaks(spark):
     assert decontam.find_leaks(h.frame(spark, rows).limit(0), bench).count() == 0
 
 
+def edited(r, text, n):
+    """The text after n random substitutions, insertions and deletions of a character."""
+    t = list(text)
+    for _ in range(n):
+        k, at = r.randrange(3), r.randrange(len(t))
+        if k == 0:
+            t[at] = r.choice("abcdefg ")
+        elif k == 1:
+            t.insert(at, r.choice("abcdefg "))
+        elif len(t) > 1:
+            del t[at]
+    return "".join(t)
+
+
+def leaked(spark, r, items, edits):
+    """Of documents that hold an edited copy of one item each: percent of the item's bytes that the edits cost, and whether found, for all within 20 %."""
+    texts = [h.prose(5000 + k, 30) + " " + edited(r, t, edits(t)) + " " + h.prose(7000 + k, 30) for k, (_, t) in enumerate(items)]
+    found = decontam.find_leaks(h.frame(spark, list(enumerate(texts))), spark.createDataFrame(items, "item_id long, text string"))
+    got = {(x.doc_id, x.item_id): x.distance for x in found.collect()}
+    out = []
+    for k, (i, t) in enumerate(items):
+        own = t.encode()
+        best, _ = decontam.best_place(own, " ".join(h.words(h.low(texts[k]))).encode())
+        if best <= len(own) * 20 // 100:
+            out.append((100 * best / len(own), (k, i) in got))
+            assert got.get((k, i), best) == best
+    return out
+
+
+def test_leaks_in_bands_up_to_the_limit(spark):
+    r = random.Random(11)
+    items = [(k, h.prose(2000 + k, r.randrange(10, 60), 5000)) for k in range(300)]
+    share = iter(r.randrange(8, 25) for _ in items)
+    seen = leaked(spark, r, items, lambda t: len(t.encode()) * next(share) // 100)
+    for low, high in ((5, 10), (10, 13), (13, 16), (16, 18), (18, 20.01)):
+        band = [hit for x, hit in seen if low <= x < high]
+        assert len(band) >= 15 and sum(band) >= 0.99 * len(band), (low, high, len(band), sum(band))
+
+
 def test_edit_distance_of_best_place():
     def plain(p, t):
         row = [0] * (len(t) + 1)
