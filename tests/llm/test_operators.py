@@ -186,6 +186,23 @@ def test_leaks_in_bands_up_to_the_limit(spark):
         assert len(band) >= 15 and sum(band) >= 0.99 * len(band), (low, high, len(band), sum(band))
 
 
+def test_leaks_of_short_items(spark):
+    """Items that fit in a window are found without loss: 1 to 8 words, exact and edited, in the middle and as the whole text."""
+    r = random.Random(12)
+    items = []
+    while len(items) < 160:
+        t = h.prose(9000 + len(items), len(items) % 8 + 1, 5000)
+        items.append((len(items), t))
+    short = [x for x in items if len(x[1].encode()) <= decontam.WINDOWS[-1]]
+    for edits in (lambda t: 0, lambda t: 1, lambda t: len(t.encode()) // 5):
+        seen = leaked(spark, r, short, edits)
+        assert len(seen) >= 0.5 * len(short) and all(hit for _, hit in seen)
+    seen = leaked(spark, r, items, lambda t: 0)
+    assert len(seen) == len(items) and all(hit for _, hit in seen)
+    alone = decontam.find_leaks(h.frame(spark, items), spark.createDataFrame(items, "item_id long, text string"))
+    assert {k for k, _ in items} <= {x.doc_id for x in alone.where("doc_id = item_id and distance = 0").collect()}
+
+
 def test_edit_distance_of_best_place():
     def plain(p, t):
         row = [0] * (len(t) + 1)
