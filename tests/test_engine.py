@@ -5,7 +5,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.catalogue import all_queries
+from lodestone.catalogue import all_queries, graphs
 from lodestone.config import EngineConfig
 from lodestone.functions import parse, rules
 from lodestone.functions import text as tx
@@ -261,6 +261,18 @@ def test_clusters(spark):
     assert cluster.mixture_groups(rows, "doc").count() == 12
 
 
+def test_communities_and_local_search_take_the_whole_graph(spark):
+    if not os.path.isdir(DATA):
+        pytest.skip("no test tables")
+    o = spark.read.parquet(f"{DATA}/orders.parquet")
+    li = spark.read.parquet(f"{DATA}/lineitem.parquet").join(o, F.col("l_orderkey") == F.col("o_orderkey"))
+    want = {r[0] for r in li.select("o_custkey").distinct().collect()} | {r[0] + 10_000_000 for r in li.select("l_partkey").distinct().collect()}
+    assert {r["id"] for r in all_queries.QUERIES["a13_modularity"](spark, DATA).collect()} == want
+    n = {x: spark.read.parquet(f"{DATA}/{x}.parquet").count() for x in ("region", "nation", "customer", "supplier")}
+    ent, edges = graphs._graph(spark, DATA, whole=True)
+    assert ent.count() == sum(n.values()) and edges.count() == sum(n.values()) - n["region"]
+
+
 QUICK = ["f1_tokens", "a2_document_frequency", "s_bm25_topk", "j1_dense_cosine", "a5_rrf", "f6_sentence_chunks", "f13_markdown_chunks", "a9_merge_entities", "j10_neighbours", "f32_verdicts", "t10_sessions", "rel_windows"]
 
 
