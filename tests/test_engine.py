@@ -273,6 +273,17 @@ def test_communities_and_local_search_take_the_whole_graph(spark):
     assert ent.count() == sum(n.values()) and edges.count() == sum(n.values()) - n["region"]
 
 
+def test_trees_and_mixtures_take_whole_documents_and_vectors(spark):
+    if not os.path.isdir(DATA):
+        pytest.skip("no test tables")
+    want = {r[0] for r in spark.read.parquet(f"{DATA}/documents.parquet").where("trim(BOTH ' \\t\\n\\r' FROM text) <> ''").select("doc_id").collect()}
+    got = {r["doc_id"] for r in all_queries.QUERIES["q10_summary_tree"](spark, DATA).select("doc_id").distinct().collect()}
+    assert got == want
+    e = spark.read.parquet(f"{DATA}/embeddings.parquet").select("label", F.col("vec_id").alias("id"), "embedding")
+    rows = lambda df: sorted(tuple(r) for r in df.collect())
+    assert rows(all_queries.QUERIES["a17_mixture"](spark, DATA)) == rows(cluster.mixture_groups(e, "label"))
+
+
 QUICK = ["f1_tokens", "a2_document_frequency", "s_bm25_topk", "j1_dense_cosine", "a5_rrf", "f6_sentence_chunks", "f13_markdown_chunks", "a9_merge_entities", "j10_neighbours", "f32_verdicts", "t10_sessions", "rel_windows"]
 
 
