@@ -164,20 +164,21 @@ def fit(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = 8000, folds: int = 3, held: int = 1) -> tuple[Models, np.ndarray]:
-    """Models and weights from a bounded sample: at most `most` documents of either class whose remainder isn't `held`.
+    """Models of all labelled documents whose remainder isn't `held`, but for one in five of them, and weights from those.
 
-    Four in five of the sample make the counts, the rest the weights. The sample bounds the counts, and so what is
-    gathered here, whatever the size of the tables.
+    n-grams of all counted documents are kept, also those seen once, so the models grow with the distinct n-grams
+    inside labelled words. The weights are fitted on at most `most` documents of either class that the models haven't seen.
     """
     spark = docs.sparkSession
     ship(spark)
     work = Workspace(spark, "toxicity")
-    rows = work.table("sample", sample(docs, labels, label, most, remainder("doc_id", folds) != held))
-    apart = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(17)), F.lit(5)) == 0
-    found = count_grams(rows.where(~apart)).where("n0 + n1 > 1").toArrow()
+    allowed = remainder("doc_id", folds) != held
+    apart = F.pmod(F.xxhash64(F.col("doc_id").cast("long"), F.lit(17)), F.lit(5)) == 0
+    found = count_grams(sample(docs, labels, label, None, allowed & ~apart)).toArrow()
     gram, n0, n1 = (found.column(c).to_numpy() for c in ("gram", "n0", "n1"))
     models = Models(gram, n0, n1)
-    seen = _evidence(rows.where(apart).select("y", "text"), models, "text").select("y", "mean", "peak", "length").toArrow()
+    rows = work.table("sample", sample(docs, labels, label, most, allowed & apart))
+    seen = _evidence(rows.select("y", "text"), models, "text").select("y", "mean", "peak", "length").toArrow()
     work.drop("sample")
     y = seen.column("y").to_numpy()
     return models, fit(np.column_stack([seen.column(c).to_numpy() for c in ("mean", "peak", "length")]), y)
@@ -206,7 +207,7 @@ def _evidence(docs: DataFrame, models: Models, text: str, weights: np.ndarray |
 def score(docs: DataFrame, models: Models, weights: np.ndarray, text: str = "text", threshold: float = 0.7) -> DataFrame:
     """The given columns with score double (0 to 1) and predicted int; null and empty texts have no evidence either way.
 
-    Input columns named as the new ones are replaced. The models' size is bounded by their training sample.
+    Input columns named as the new ones are replaced. The models are broadcast; they grow with the distinct n-grams of the labelled words.
     """
     ship(docs.sparkSession)
     return _evidence(docs.drop("score", "predicted"), models, text, weights, threshold)

@@ -401,6 +401,20 @@ def test_longest_match_on_a_small_vocabulary():
         assert k == n
 
 
+def test_toxicity_counts_all_labelled_documents_and_rare_grams(spark):
+    texts = [(k, f"zz{chr(97 + k % 26)}{chr(97 + k // 26)}qx common words") for k in range(200)]
+    labels = spark.createDataFrame([(k, 0, int(k % 2)) for k in range(200)], "doc_id long, quality int, toxic int")
+    models, _ = toxicity.train(h.frame(spark, texts), labels, most=5)
+    table = models.tables[0][1]
+    known = 0
+    for _, t in texts:
+        key, _, _ = toxicity.grams(pa.array([t.split()[0]]))
+        known += int(table.get(key[-1:])[0] >= 0)
+    held = sum(r[0] for r in spark.createDataFrame([(k,) for k in range(200)], "doc_id long").select((toxicity.remainder("doc_id", 3) == 1).cast("int")).collect())
+    # All but the held-out third and one in five of the rest, each seen in one document only.
+    assert known >= 0.7 * (200 - held) and known <= 200 - held
+
+
 # 10: sharding
 
 
