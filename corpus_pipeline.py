@@ -27,17 +27,36 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return out.select(*(F.col("kept_text").alias(c) if c == "text" else F.length("kept_text").cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns))
 
 
+def numbered(spark: SparkSession, docs: DataFrame, name: str) -> DataFrame:
+    """docs, written with a number of its own for every row (column __row)."""
+    return Workspace(spark, name).table("numbered", docs.withColumn("__row", F.monotonically_increasing_id()))
+
+
+def by_row(rows: DataFrame) -> DataFrame:
+    """(doc_id, text) with the row's number as its id, for operators that report ids."""
+    return rows.select(F.col("__row").alias("doc_id"), "text")
+
+
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: the one with the smallest id. Rows without an id stay."""
-    gone = jaccard.near_duplicates(docs).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """One row of each group of near-duplicates: the one with the smallest id (a null id comes last, then the row's number decides)."""
+    rows = numbered(spark, docs, "near")
+    groups = jaccard.near_duplicates(by_row(rows)).select(F.col("doc_id").alias("__row"), F.col("component_id").alias("__group"))
+    # A row alone in its group needs no comparison.
+    moved = groups.where("__row <> __group")
+    member = moved.unionByName(moved.select(F.col("__group").alias("__row"), "__group").distinct())
+    rank = F.struct(F.col("doc_id").isNull(), "doc_id", "__row")
+    member = Workspace(spark, "near").table("members", member.join(rows.select("__row", "doc_id"), "__row").select("__row", "__group", rank.alias("__rank")))
+    kept = member.groupBy("__group").agg(F.min("__rank").getField("__row").alias("__row"))
+    gone = member.select("__row").join(kept.select("__row"), "__row", "left_anti")
+    return rows.join(gone, "__row", "left_anti").select(*docs.columns)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
-    held = decontam.find_leaks(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
+    """Rows that hold no benchmark item, whatever their ids."""
+    rows = numbered(spark, docs, "leaks")
+    held = decontam.find_leaks(by_row(rows), table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("__row")).distinct()
     held = Workspace(spark, "leaks").table("held", held)
-    return docs.join(held, "doc_id", "left_anti").select(*docs.columns)
+    return rows.join(held, "__row", "left_anti").select(*docs.columns)
 
 
 def to_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

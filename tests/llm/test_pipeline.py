@@ -58,3 +58,17 @@ def test_stages_against_plain_versions(spark, corpus):
     ran = corpus_pipeline.run(spark, path)
     assert {r["doc_id"]: r["decoded_sha256"] for r in ran.select("doc_id", "decoded_sha256").collect()} == {i: hashlib.sha256(t.encode()).hexdigest() for i, t in texts.items()}
     assert ran.where(F.size("ids") != F.col("n_tokens")).count() == 0
+
+
+def test_null_and_repeated_ids_by_row(spark, tmp_path):
+    stages = dict(corpus_pipeline.STAGES)
+    item, a, b, clean = h.prose(31, 30, 9000), h.prose(32, 80), h.prose(33, 80), h.prose(34, 80)
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    get = lambda name, rows: sorted(((r["doc_id"], r["text"]) for r in stages[name](spark, h.frame(spark, rows).select("doc_id", "text", "lang", "source", "n_chars"), str(tmp_path)).collect()), key=str)
+    # Copies without ids, a row repeated with id and text, a row with the id of a copy, a copy with and without an id.
+    rows = [(None, a), (None, a), (5, b), (5, b), (7, b), (7, clean), (None, b)]
+    assert get("jaccard_join", rows) == sorted([(None, a), (5, b), (7, clean)], key=str)
+    held = clean + " " + item
+    assert get("decontamination", [(None, held), (None, a), (5, held), (5, b), (6, clean)]) == sorted([(None, a), (5, b), (6, clean)], key=str)
+    # Every row of the line stage stays, with its own text.
+    assert get("line_dedup", [(None, a), (5, b), (5, b)]) == sorted([(None, a), (5, b), (5, b)], key=str)
