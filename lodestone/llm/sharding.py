@@ -8,7 +8,7 @@ Plain DataFrame operations throughout; only metadata moves.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import Workspace
@@ -48,22 +48,44 @@ def hilbert_index(cell: tuple[int, ...], bits: int = BITS) -> int:
     return out
 
 
-def prefix_number(c: Column) -> Column:
-    """The first seven bytes of a string as a number of the same order; null is 0."""
-    return F.coalesce(F.conv(F.rpad(F.hex(F.substring(F.encode(c.cast("string"), "UTF-8"), 1, 7)), 14, "0"), 16, 10).cast("long"), F.lit(0))
+def string_limits(rows: DataFrame, column: str, steps: int, work: Workspace) -> list[str]:
+    """The steps - 1 quantiles of a string column in byte order, by whole values, exact.
+
+    Distinct values are counted, cut into ranges and summed inside each; totals of the ranges (one row a partition) and
+    the quantiles reach the driver.
+    """
+    parts = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    counted = rows.groupBy(F.col(column).alias("v")).agg(F.count(F.lit(1)).alias("n")).repartitionByRange(parts, "v")
+    counted = work.table(f"values_{column}", counted.withColumn("part", F.spark_partition_id()))
+    sizes = {r["part"]: r["n"] for r in counted.groupBy("part").agg(F.sum("n").alias("n")).collect()}
+    total, before = 0, []
+    for part in sorted(sizes):
+        before += [F.lit(part), F.lit(total).cast("long")]
+        total += sizes[part]
+    if not total:
+        return []
+    upto = F.create_map(*before)[F.col("part")] + F.sum("n").over(Window.partitionBy("part").orderBy("v"))
+    found = counted.withColumn("upto", upto).agg(*(F.min(F.when(F.col("upto") * steps >= i * total, F.col("v"))).alias(str(i)) for i in range(1, steps))).first()
+    work.drop(f"values_{column}")
+    return list(found)
 
 
 def hilbert_order(docs: DataFrame, dims: dict[str, Column], bits: int = BITS) -> DataFrame:
     """Adds column `hilbert`: the curve index of the row's cell.
 
-    Each dimension (a number; null counts as 0) is quantised by its approximate quantiles into at most 2**bits steps,
+    Each dimension is quantised into at most 2**bits steps: numbers (null counts as 0) by their approximate quantiles,
+    strings (null counts as empty) by those of the whole values in byte order,
     so a hot value takes one step and the rest still spreads. 2 to 3 dimensions keep the lookup table small.
     """
     steps = 1 << bits
     grid = [i / steps for i in range(1, steps)]
     names = list(dims)
-    with_dims = docs.withColumns({f"__dim_{n}": F.coalesce(dims[n].cast("long"), F.lit(0)) for n in names})
-    found = with_dims.agg(*(F.percentile_approx(f"__dim_{n}", F.lit(grid), F.lit(10_000)).alias(n) for n in names)).first()
+    strings = [n for n, (_, kind) in zip(names, docs.select(*dims.values()).dtypes, strict=True) if kind == "string"]
+    with_dims = docs.withColumns({f"__dim_{n}": F.coalesce(dims[n], F.lit("")) if n in strings else F.coalesce(dims[n].cast("long"), F.lit(0)) for n in names})
+    numbers = [n for n in names if n not in strings]
+    found = with_dims.agg(F.count(F.lit(1)), *(F.percentile_approx(f"__dim_{n}", F.lit(grid), F.lit(10_000)).alias(n) for n in numbers)).first().asDict()
+    work = Workspace(docs.sparkSession, "limits")
+    found |= {n: string_limits(with_dims, f"__dim_{n}", steps, work) for n in strings}
     cell = F.lit(0)
     for n in names:
         step = F.lit(0)
@@ -92,7 +114,7 @@ def shard_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    dims = {c: prefix_number(F.col(c)) for c in by if c in docs.columns}
+    dims = {c: F.col(c).cast("string") for c in by if c in docs.columns}
     rows = docs.select(
         F.col(id_col).cast("long").alias("doc_id"),
         (F.octet_length(text) + 1).cast("long").alias("size"),

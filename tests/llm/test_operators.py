@@ -434,6 +434,16 @@ def test_shards(spark):
     assert sharding.shard_documents(h.frame(spark, rows[:3])).count() == 3
 
 
+def test_long_common_prefixes_give_steps_of_their_own(spark):
+    rows = spark.createDataFrame([(k, "one text", f"https://example.org/{k % 16:02d}", None) for k in range(320)], "doc_id long, text string, source string, lang string")
+    got = {r.doc_id: r for r in sharding.shard_documents(rows).collect()}
+    assert len({r.hilbert for r in got.values()}) == 16
+    held = {}
+    for k, r in got.items():
+        held.setdefault(r.shard, set()).add(k % 16)
+    assert len(got) == 320 and all(len(x) == 1 for x in held.values())  # a filter on a source reads one shard of 16
+
+
 def test_hilbert_curve():
     for n, bits in ((2, 3), (3, 2)):
         side = 1 << bits
