@@ -332,7 +332,8 @@ def test_components(spark, monkeypatch):
 
 
 def test_components_in_small_blocks(spark, monkeypatch):
-    monkeypatch.setattr(jaccard, "BLOCK", 4)
+    monkeypatch.setattr(jaccard, "BLOCK", 400)  # tokens: about four documents
+    monkeypatch.setattr(jaccard, "MANY", 3)
     rows = [(k, t) for k, t in enumerate(family(510, 30, 1) + family(511, 30, 5) + family(512, 20, 7) + family(513, 20, 6))]
     check_components(spark, rows)
 
