@@ -13,10 +13,14 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
+#: Bytes of an Arrow batch on its way to Python, unless the session says otherwise: a batch is held several times over.
+BATCH = ("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors, once per application, so that Python workers can import it."""
+    """Send this package to the executors, once per application, so that Python workers can import it; bound Arrow batches by bytes."""
+    if BATCH[0] not in spark.conf.getAll:
+        spark.conf.set(*BATCH)
     app = spark.sparkContext.applicationId
     if app in _SHIPPED:
         return
