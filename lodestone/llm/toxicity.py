@@ -21,8 +21,8 @@ from pyspark.sql import types as T
 
 from ..session import Workspace, ship
 from .bpe import _Table
-from .common import LOWER, buffers, pieces
-from .labelled import remainder, sample
+from .common import LOWER, buffers, lean, pieces
+from .labelled import every, remainder, sample
 
 ORDER, SPAN, DISCOUNT, CLIP = 6, 40, 0.75, 8.0
 _FOLD = LOWER.copy()
@@ -51,9 +51,10 @@ def grams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def count_grams(rows: DataFrame) -> DataFrame:
     """gram, and how often each class (y) has it: n0, n1. Counts are summed in each slice before they are shuffled."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in pieces(batch, "text", 4 << 20):
+            for part in pieces(batch, "text", 1 << 20):
                 key, off, _ = grams(part.column("text"))
                 y = np.repeat(part.column("y").to_numpy(zero_copy_only=False), np.diff(off))
                 own, back = np.unique(key, return_inverse=True)
@@ -174,7 +175,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int =
     work = Workspace(spark, "toxicity")
     allowed = remainder("doc_id", folds) != held
     apart = F.pmod(F.xxhash64(F.col("doc_id").cast("long"), F.lit(17)), F.lit(5)) == 0
-    found = count_grams(sample(docs, labels, label, None, allowed & ~apart)).toArrow()
+    found = count_grams(every(docs, labels, label, allowed & ~apart)).toArrow()
     gram, n0, n1 = (found.column(c).to_numpy() for c in ("gram", "n0", "n1"))
     models = Models(gram, n0, n1)
     rows = work.table("sample", sample(docs, labels, label, most, allowed & apart))
@@ -190,6 +191,7 @@ def _evidence(docs: DataFrame, models: Models, text: str, weights: np.ndarray |
     new = ["mean", "peak", "length"] if weights is None else ["score", "predicted"]
     kinds = [T.DoubleType()] * 3 if weights is None else [T.DoubleType(), T.IntegerType()]
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
         for batch in batches:
