@@ -11,6 +11,7 @@ from each position once and keeps the only token that may end at each place. Dec
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import itertools
 import json
@@ -24,13 +25,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import ship
-from .common import buffers, pieces, span_hashes
+from .common import buffers, built, lean, pieces, span_hashes
 
 #: Fixed: the published pre-splitting pattern of byte-level BPE.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _SPLIT = regex.compile(PATTERN)
 #: Words whose ids a worker remembers; more than these are worked out again, never wrongly.
-REMEMBERED = 600_000
+REMEMBERED = 200_000
 
 
 def byte_letters() -> dict[str, int]:
@@ -157,7 +158,7 @@ class Automaton:
         got = self.known.get(key)
         new = np.unique(key[got < 0])
         if len(new):
-            if len(self.known) + len(new) > 3_000_000:
+            if len(self.known) + len(new) > 800_000:
                 self.known = _Table(np.zeros(0, np.int64), np.zeros(0, np.int32), 1 << 17)
             self.known.add(new, np.fromiter((self.follows(k >> 20, k & 0xFFFFF) for k in new.tolist()), np.int32, len(new)))
             got = self.known.get(key)
@@ -347,16 +348,10 @@ class _Words(dict):
         return ids
 
 
-_BUILT: dict[tuple[int, int], Automaton] = {}
-
-
 def _automaton(shared) -> Automaton:
     arcs, merges, added = shared.value
     key = (len(arcs), hash((tuple(merges[:: max(1, len(merges) // 997)]), tuple(added))))
-    if key not in _BUILT:
-        _BUILT.clear()
-        _BUILT[key] = Automaton(arcs, merges, added)
-    return _BUILT[key]
+    return built("bpe", key, lambda: Automaton(arcs, merges, added))
 
 
 def encode_decode(docs: DataFrame, path: str, text: str = "text", with_ids: bool = True) -> DataFrame:
@@ -373,11 +368,12 @@ def encode_decode(docs: DataFrame, path: str, text: str = "text", with_ids: bool
         new.append(("ids", T.ArrayType(T.IntegerType())))
     docs = docs.drop(*(x[0] for x in new))
 
+    @functools.partial(lean, keeps="bpe")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         auto = _automaton(shared)
         names = list(map(str, range(len(auto.arcs))))
         for batch in batches:
-            for part in pieces(batch, text, 3 << 20):
+            for part in pieces(batch, text, 1 << 20):
                 flat, first = auto.encode_batch(part.column(text))
                 tokens = flat.tolist()
                 written, decoded = [], []

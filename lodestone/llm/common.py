@@ -29,11 +29,28 @@ def give_back() -> None:
         pass
 
 
-def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """The function over batches, giving back its memory when the partition is done."""
+#: The tables that one operator has built in this worker for later partitions.
+_BUILT: dict[str, tuple[object, object]] = {}
+
+
+def built(owner: str, key: object, make: Callable[[], object]) -> object:
+    """What `make` gives, kept in this worker until another operator runs in it."""
+    if _BUILT.get(owner, (None, None))[0] != key:
+        _BUILT.clear()
+        _BUILT[owner] = (key, make())
+    return _BUILT[owner][1]
+
+
+Batches = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+
+
+def lean(run: Batches, keeps: str = "") -> Batches:
+    """The function over batches; it drops what other operators than `keeps` have built and gives back its memory when the partition is done."""
 
     @functools.wraps(run)
     def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for owner in [o for o in _BUILT if o != keeps]:
+            del _BUILT[owner]
         try:
             yield from run(batches)
         finally:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship
-from .common import Words, pieces
+from .common import Words, lean, pieces
 
 #: Longest run looked up; chance that random edits at the limit leave no shared run; bytes of the windows around a run, one
 #: after the other; percent of a window that edits may take beyond the limit; bits of the filter before the exact lookup.
@@ -287,6 +287,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     for block in item_blocks(benchmark, item_id, item_text):
         shared = spark.sparkContext.broadcast(block)
 
+        @lean
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             index = Index(shared.value, percent)
             for batch in batches:

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import ship
-from .common import buffers, pieces, stream
+from .common import buffers, lean, pieces, stream
 
 #: Window of the gear hash and least, mean and greatest chunk length, in bytes; strict and lax mask, in bits.
 SPAN, LEAST, MEAN, MOST, STRICT, LAX = 16, 16, 32, 128, 7, 3
@@ -115,6 +115,7 @@ def fingerprint(docs: DataFrame, text: str = "text") -> DataFrame:
     ship(spark)
     docs = docs.drop("fingerprint")
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in pieces(batch, text):

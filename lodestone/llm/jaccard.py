@@ -39,7 +39,7 @@ LEAST, MOST_COMMON = 12, 1_000_000
 #: the documents whose prefixes reach them.
 COUNTED = -(1 << 63) + int(0.45 * (1 << 64))
 #: Tokens that one task compares (a single document may have more); rows broadcast to a join with texts, which is shuffled beyond.
-BLOCK, BROADCAST_ROWS = 1_000_000, 250_000
+BLOCK, BROADCAST_ROWS = 500_000, 250_000
 #: Documents of a task from which on overlaps are counted one document at a time instead of by pairs.
 MANY = 24
 
@@ -251,10 +251,10 @@ def search(tasks: DataFrame, texts: DataFrame, percent: int, size: int) -> DataF
         held: list[pa.RecordBatch] = []
         weight = 0
         for batch in batches:
-            for part in pieces(batch, "text"):
+            for part in pieces(batch, "text", 1 << 20):
                 held.append(part)
                 weight += part.column("text").nbytes
-                if weight < 4 << 20:
+                if weight < 1 << 20:
                     continue
                 rows = pa.Table.from_batches(held)
                 task = rows.column("task").to_numpy()
@@ -311,7 +311,7 @@ def _low_counts(rows: DataFrame, size: int) -> DataFrame:
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in pieces(batch, "text"):
+            for part in pieces(batch, "text", 1 << 20):
                 tok, _ = shingle_sets(part.column("text"), size)
                 own, n = np.unique(tok[tok < COUNTED], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(n.astype(np.int32))], names=["tok", "n"])
@@ -325,7 +325,7 @@ def _described(rows: DataFrame, common, percent: int, size: int) -> DataFrame:
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in pieces(batch, "text"):
+            for part in pieces(batch, "text", 1 << 20):
                 tok, first = shingle_sets(part.column("text"), size)
                 weight, n = common.value.weights(tok), np.diff(first)
                 sums = [signed(_sums(mix(tok.view(np.uint64) + np.uint64(k)), first)) for k in (1, 2)]
@@ -344,7 +344,7 @@ def _prefixes(rows: DataFrame, common, percent: int, size: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()
         for batch in batches:
-            for part in pieces(batch, "text"):
+            for part in pieces(batch, "text", 1 << 20):
                 tok, first = shingle_sets(part.column("text"), size)
                 n = np.diff(first)
                 sums = [_sums(mix(tok.view(np.uint64) + np.uint64(k)), first).tolist() for k in (1, 2)]

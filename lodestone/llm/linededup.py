@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import Workspace, ship
-from .common import mix, pieces
+from .common import lean, mix, pieces
 
 WHITE = " \t\n\v\f\r"
 _LOW = -(1 << 63)
@@ -101,6 +101,7 @@ def line_stats(docs: DataFrame, id_col: str, text_col: str, least_chars: int) ->
     """Per key (a, b: its 128-bit hash) the number of documents that hold it and the largest id among them."""
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_LOW)).alias("d"), F.col(text_col).cast("string").alias("t"))
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in pieces(batch, "t"):
@@ -212,6 +213,7 @@ def _probe_part(part: pa.RecordBatch, id_col: str, text_col: str, least: int, pr
 
 
 def _fallen(marked: DataFrame, id_col: str, text_col: str, least: int, shared, shards: int) -> DataFrame:
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         probe = _Probe(shared, shards)
         for batch in batches:
@@ -228,6 +230,7 @@ def _finish(docs: DataFrame, id_col: str, text_col: str, least: int, shared, sha
     keep = [c for c in docs.columns if c != given]
     schema = T.StructType([*docs.select(*keep).schema.fields, T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType()), T.StructField("kept_text", T.StringType())])
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         probe = None if given else _Probe(shared, shards)
         for batch in batches:

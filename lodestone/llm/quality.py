@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import ship
-from .common import U64, Words, mix, pieces
+from .common import U64, Words, lean, mix, pieces
 from .labelled import remainder, sample
 
 BITS = 18
@@ -112,6 +112,7 @@ def score(docs: DataFrame, weights: np.ndarray, text: str = "text", threshold: f
     docs = docs.drop("score", "predicted")
     shared = spark.sparkContext.broadcast(weights)  # 1 MB
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = shared.value
         for batch in batches:

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import Workspace, ship
-from .common import Words, pieces, signed, window_hashes, window_starts
+from .common import Words, lean, pieces, signed, window_hashes, window_starts
 
 _LOW = -(1 << 63)
 
@@ -71,6 +71,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     if not rows.select("key").groupBy("key").count().where("count > 1").isEmpty():
         rows = rows.withColumn("key", F.xxhash64("key", "text"))
 
+    @lean
     def first_level(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in pieces(batch, "text"):
@@ -90,6 +91,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     groups = marks.groupBy("m").agg(F.count(F.lit(1)).alias("copies"), F.min("key").alias("speaker")).where("copies > 1")
     copies = work.table("copies", marks.join(groups, "m").groupBy("key").agg(F.max("copies").alias("copies"), F.max((F.col("key") == F.col("speaker")).cast("int")).alias("speaks")))
 
+    @lean
     def second_level(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in pieces(batch, "text"):
@@ -115,6 +117,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     told = work.table("told", hits.join(copies.select("key", "copies"), "key", "full"))
     work.drop("alive", "second", "copies", "whole")
 
+    @lean
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in pieces(batch, "text"):

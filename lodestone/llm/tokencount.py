@@ -9,6 +9,7 @@ of the greedy split, and no piece is ever built.
 from __future__ import annotations
 
 from collections import deque
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,10 +19,10 @@ from pyspark.sql import types as T
 
 from ..session import ship
 from .bpe import _Table, load
-from .common import Words, pieces, span_hashes
+from .common import Words, built, lean, pieces, span_hashes
 
 #: Words whose lengths a worker remembers; more than these are worked out again, never wrongly.
-REMEMBERED = 1_000_000
+REMEMBERED = 300_000
 
 
 class LongestMatch:
@@ -112,15 +113,8 @@ class LongestMatch:
         return got[back].astype(np.int64)
 
 
-_BUILT: dict[int, LongestMatch] = {}
-
-
 def _matcher(shared) -> LongestMatch:
-    key = hash(tuple(shared.value))
-    if key not in _BUILT:
-        _BUILT.clear()
-        _BUILT[key] = LongestMatch(shared.value)
-    return _BUILT[key]
+    return built("tokencount", hash(tuple(shared.value)), lambda: LongestMatch(shared.value))
 
 
 def count_tokens(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
@@ -138,10 +132,11 @@ def count_tokens(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     new = ["n_words", "n_tokens", "longest_word"]
     docs = docs.drop(*new)
 
+    @functools.partial(lean, keeps="tokencount")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         match = _matcher(shared)
         for batch in batches:
-            for part in pieces(batch, text, 3 << 20):
+            for part in pieces(batch, text, 1 << 20):
                 words = Words(part.column(text))
                 size = match.word_lengths(words)
                 total = np.concatenate(([0], np.cumsum(size)))
