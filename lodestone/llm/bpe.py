@@ -11,7 +11,6 @@ from each position once and keeps the only token that may end at each place. Dec
 
 from __future__ import annotations
 
-import functools
 import hashlib
 import itertools
 import json
@@ -25,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import ship
-from .common import buffers, built, lean, pieces, span_hashes
+from .common import buffers, lean, pieces, span_hashes
 
 #: Fixed: the published pre-splitting pattern of byte-level BPE.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -60,73 +59,115 @@ def load(path: str) -> tuple[list[bytes], list[tuple[int, int, int]], dict[str,
     return arcs, merges, added
 
 
+def _merged(arcs: int, merges: list[tuple[int, int, int]]) -> tuple[list, list, dict[int, dict[int, int]], set[int]]:
+    """Merge gadgets one by one: the right and left edges of every label, the arcs that states lost, and the labels made."""
+    never = len(merges)
+    lost: dict[int, dict[int, int]] = {}  # label -> {arc that its state lost: merge that took it}
+    right = [((i, never),) for i in range(arcs)]  # the state that a label leads to
+    left = [((i, never),) for i in range(arcs)]  # where a label came in as an arc
+
+    def follows(x: int, y: int) -> bool:
+        return not any((k := lost.get(a, {}).get(z)) is not None and k < before and k <= upto for a, before in right[x] for z, upto in left[y])
+
+    made: set[int] = set()
+    for k, (u, v, w) in enumerate(merges):
+        if w in made or not follows(u, v):
+            continue  # such a merge never fires: no state that u leads to has the arc v
+        made.add(w)
+        right[w] = ((w, never), (v, k), *((a, min(t, k)) for a, t in right[v][1:]))
+        left[w] = ((w, never), (u, k), *left[u][1:])
+        lost.setdefault(u, {})[v] = k
+    return right, left, lost, made
+
+
+def _flat(chains: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Chains of pairs as arrays: where each begins, first and second members."""
+    begin = np.concatenate(([0], np.cumsum([len(c) for c in chains])))
+    pairs = np.array(list(itertools.chain.from_iterable(chains)), np.int64).reshape(-1, 2)
+    return begin, pairs[:, 0].copy(), pairs[:, 1].copy()
+
+
 class Automaton:
+    """The compiled automaton as arrays, small enough to broadcast.
+
+    The transition table is kept by what it lacks: from the state of token x every arc y leads on, unless a merge took
+    it (see follows). What a worker works out is remembered beside it and never sent.
+    """
+
     def __init__(self, arcs: list[bytes], merges: list[tuple[int, int, int]], added: dict[str, int]):
-        never = len(merges)
-        self.arcs, self.added = arcs, added
-        self.lost: dict[int, dict[int, int]] = {}  # label -> {arc that its state lost: merge that took it}
-        self.right = [((i, never),) for i in range(len(arcs))]  # the state that a label leads to
-        self.left = [((i, never),) for i in range(len(arcs))]  # where a label came in as an arc
-        made = set()
-        for k, (u, v, w) in enumerate(merges):
-            if w in made or not self.follows(u, v):
-                continue  # such a merge never fires: no state that u leads to has the arc v
-            made.add(w)
-            self.right[w] = ((w, never), (v, k), *((a, min(t, k)) for a, t in self.right[v][1:]))
-            self.left[w] = ((w, never), (u, k), *self.left[u][1:])
-            self.lost.setdefault(u, {})[v] = k
-        self.trie: dict[int, int] = {}
-        self.token: list[int] = [-1]
+        self.added = added
+        right, left, lost, made = _merged(len(arcs), merges)
+        self.right, self.left = _flat(right), _flat(left)
+        taken = [(u << 20 | v, k) for u, found in lost.items() for v, k in found.items()]
+        self.lost = _Table(np.array([x for x, _ in taken], np.int64), np.array([k for _, k in taken], np.int32))
+        self.pieces = np.frombuffer(b"".join(arcs), np.uint8)
+        self.piece_at = np.concatenate(([0], np.cumsum([len(a) for a in arcs])))
+        trie: dict[int, int] = {}
+        token: list[int] = [-1]
         for i, piece in enumerate(arcs):
             if not piece or (len(piece) > 1 and i not in made) or i in added.values():
                 continue
             node = 0
-            for b in piece:
-                key = node << 8 | b
-                node = self.trie.get(key, 0)
+            for c in piece:
+                key = node << 8 | c
+                node = trie.get(key, 0)
                 if not node:
-                    node = self.trie[key] = len(self.token)
-                    self.token.append(-1)
-            self.token[node] = i
-        self.pairs: dict[int, bool] = {}
-        self.words = _Words(self)
-        self.arcs_by = _Table(np.fromiter(self.trie.keys(), np.int64, len(self.trie)), np.fromiter(self.trie.values(), np.int32, len(self.trie)))
-        self.token_of = np.array(self.token, np.int32)
-        self.memo, self.memo_pool, self.memo_size = _Table(np.zeros(0, np.int64), np.zeros(0, np.int32), 1 << 16), [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
-        self.known = _Table(np.zeros(0, np.int64), np.zeros(0, np.int32), 1 << 17)
-        self.added_split = regex.compile("(" + "|".join(map(regex.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
-
-    def follows(self, x: int, y: int) -> bool:
-        """Whether the state that x leads to has the arc y."""
-        for a, before in self.right[x]:
-            taken = self.lost.get(a)
-            if taken:
-                for z, upto in self.left[y]:
-                    k = taken.get(z)
-                    if k is not None and k < before and k <= upto:
-                        return False
-        return True
+                    node = trie[key] = len(token)
+                    token.append(-1)
+            token[node] = i
+        self.arcs_by = _Table(np.fromiter(trie.keys(), np.int64, len(trie)), np.fromiter(trie.values(), np.int32, len(trie)))
+        self.token_of = np.array(token, np.int32)
+        self._forget()
+
+    def _forget(self) -> None:
+        none = np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.memo, self.memo_pool, self.memo_size = _Table(*none, 1 << 16), none[1], none[0]
+        self.known = _Table(*none, 1 << 17)
+        self.trie: dict[int, int] = {}
+        self.added_split = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k not in ("memo", "memo_pool", "memo_size", "known", "trie", "added_split")}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self._forget()
+
+    def follows(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Whether the state that x leads to has the arc y, for many pairs: no merge of a label on x's right edge with one
+        on y's left edge came before both edges were merged on."""
+        out = np.ones(len(x), bool)
+        (rb, ra, rt), (lb, la, lt) = self.right, self.left
+        for i in range(0, len(x), 1 << 14):
+            p, q = x[i : i + (1 << 14)].astype(np.int64), y[i : i + (1 << 14)].astype(np.int64)
+            wide = lb[q + 1] - lb[q]
+            n = (rb[p + 1] - rb[p]) * wide
+            pair = np.repeat(np.arange(len(p)), n)
+            inner = np.arange(len(pair)) - np.repeat(np.cumsum(n) - n, n)
+            r, z = rb[p][pair] + inner // wide[pair], lb[q][pair] + inner % wide[pair]
+            k = self.lost.get(ra[r] << 20 | la[z])
+            out[i + pair[(k >= 0) & (k < rt[r]) & (k <= lt[z])]] = False
+        return out
 
     def word(self, raw: bytes) -> tuple[int, ...]:
-        """The ids of one pre-split word. Each prefix has one correct sequence, hence one last token."""
-        n, trie, token, pairs = len(raw), self.trie, self.token, self.pairs
+        """The ids of one long word. Each prefix has one correct sequence, hence one last token."""
+        if not self.trie:
+            kept = self.arcs_by.keys >= 0
+            self.trie = dict(zip(self.arcs_by.keys[kept].tolist(), self.arcs_by.values[kept].tolist(), strict=True))
+        n, pairs, token = len(raw), {}, self.token_of
         last, start = [-1] * (n + 1), [0] * (n + 1)
         for i in range(n):
             node, j, before = 0, i, last[i]
             while j < n:
-                node = trie.get(node << 8 | raw[j])
+                node = self.trie.get(node << 8 | raw[j])
                 if node is None:
                     break
                 j += 1
-                t = token[node]
+                t = int(token[node])
                 if t >= 0 and last[j] < 0:
-                    ok = True
-                    if i:
-                        ok = pairs.get(before << 20 | t)
-                        if ok is None:
-                            if len(pairs) > 1_000_000:
-                                pairs.clear()
-                            ok = pairs[before << 20 | t] = self.follows(before, t)
+                    ok = not i or pairs.get(before << 20 | t)
+                    if ok is None:
+                        ok = pairs[before << 20 | t] = bool(self.follows(np.array([before]), np.array([t]))[0])
                     if ok:
                         last[j], start[j] = t, i
         out, j = [], n
@@ -135,35 +176,30 @@ class Automaton:
             j = start[j]
         return tuple(reversed(out))
 
-    def encode(self, text: str) -> list[int]:
-        """The ids of a text; strings of added tokens stand for themselves."""
-        if self.added_split is None or not any(a in text for a in self.added):
-            return list(itertools.chain.from_iterable(map(self.words.__getitem__, _SPLIT.findall(text))))
-        out: list[int] = []
-        for part in self.added_split.split(text):
-            if part in self.added:
-                out.append(self.added[part])
-            elif part:
-                out.extend(itertools.chain.from_iterable(map(self.words.__getitem__, _SPLIT.findall(part))))
-        return out
-
     def decode(self, ids: list[int]) -> str:
         """The arcs' bytes as UTF-8; what isn't becomes U+FFFD."""
-        return b"".join(map(self.arcs.__getitem__, ids)).decode("utf-8", "replace")
+        return self.decode_batch(np.array(ids, np.int64), np.array([0, len(ids)]))[0]
 
+    def decode_batch(self, ids: np.ndarray, first: np.ndarray) -> list[str]:
+        """The texts of many sequences, one after the other in ids."""
+        begin = self.piece_at[ids]
+        n = self.piece_at[ids.astype(np.int64) + 1] - begin
+        until = np.concatenate(([0], np.cumsum(n)))
+        data = self.pieces[np.repeat(begin - until[:-1], n) + np.arange(until[-1])].tobytes()
+        cut = until[first].tolist()
+        return [data[a:b].decode("utf-8", "replace") for a, b in itertools.pairwise(cut)]
 
     def _may_follow(self, before: np.ndarray, t: np.ndarray) -> np.ndarray:
-        """follows() of many pairs, each distinct pair worked out once."""
+        """follows() of many pairs, each distinct pair worked out once while it is remembered."""
         key = before.astype(np.int64) << 20 | t
         got = self.known.get(key)
         new = np.unique(key[got < 0])
         if len(new):
-            if len(self.known) + len(new) > 800_000:
+            if len(self.known) + len(new) > 400_000:
                 self.known = _Table(np.zeros(0, np.int64), np.zeros(0, np.int32), 1 << 17)
-            self.known.add(new, np.fromiter((self.follows(k >> 20, k & 0xFFFFF) for k in new.tolist()), np.int32, len(new)))
+                new = np.unique(key)
+            self.known.add(new, self.follows(new >> 20, new & 0xFFFFF).astype(np.int32))
             got = self.known.get(key)
-            if (got < 0).any():  # the table was emptied
-                got = np.fromiter((self.follows(k >> 20, k & 0xFFFFF) for k in key.tolist()), np.int32, len(key))
         return got > 0
 
     def encode_words(self, data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -212,51 +248,74 @@ class Automaton:
         owner, token = np.concatenate(owners)[::-1], np.concatenate(tokens)[::-1]
         return token[np.argsort(owner, kind="stable")], np.bincount(owner, minlength=len(begin))
 
-    def encode_batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """All ids of all texts in one array, and where each text's ids begin (one more entry than texts).
-
-        Texts of ASCII and Latin-1 letters without apostrophes are split by byte classes; others by the pattern.
-        """
-        data, off = buffers(texts)
-        odd = np.zeros(len(off) - 1, bool)
-        np.logical_or.at(odd, np.searchsorted(off, np.flatnonzero(_ODD[data]), "right") - 1, True)
-        if self.added_split is not None:
-            for i, text in enumerate(texts):
-                if not odd[i] and text.is_valid and any(a in text.as_py() for a in self.added):
-                    odd[i] = True
-        begin = split_plain(data, off)
-        end = np.append(begin[1:], len(data))
-        keep = ~odd[np.searchsorted(off, begin, "right") - 1]
-        begin, end = begin[keep], end[keep]
+    def _ids(self, data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of words, one after the other, and how many each has; each distinct word is worked out once while it is remembered."""
         code = (span_hashes(data, begin, end) >> np.uint64(1)).view(np.int64)
         code, one, back = np.unique(code, return_index=True, return_inverse=True)
         which = self.memo.get(code)
         new = np.flatnonzero(which < 0)
         if len(new):
             if len(self.memo) + len(new) > REMEMBERED:
-                self.memo, self.memo_pool, self.memo_size = _Table(np.zeros(0, np.int64), np.zeros(0, np.int32), 1 << 16), [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+                self.memo, self.memo_pool, self.memo_size = _Table(np.zeros(0, np.int64), np.zeros(0, np.int32), 1 << 16), np.zeros(0, np.int32), np.zeros(0, np.int64)
                 new = np.arange(len(code))
             ids, size = self.encode_words(data, begin[one[new]], end[one[new]])
-            self.memo_pool, self.memo_size = [np.concatenate((*self.memo_pool, ids))], [np.concatenate((*self.memo_size, size))]
+            self.memo_pool, self.memo_size = np.concatenate((self.memo_pool, ids)), np.concatenate((self.memo_size, size))
             which[new] = len(self.memo) + np.arange(len(new), dtype=np.int32)
             self.memo.add(code[new], which[new])
-        pool, every = self.memo_pool[0], self.memo_size[0]
-        place = (np.cumsum(every) - every)[which]
-        size = every[which]
-        width = size[back]
+        place = (np.cumsum(self.memo_size) - self.memo_size)[which][back]
+        width = self.memo_size[which][back]
         until = np.cumsum(width)
-        ids = pool[np.repeat(place[back] - (until - width), width) + np.arange(until[-1] if len(until) else 0)]
-        until = np.concatenate(([0], until))
-        first = until[np.searchsorted(begin, off)]
-        if not odd.any():
-            return ids, first
-        parts, counts = [], np.diff(first)
-        done = 0
+        return self.memo_pool[np.repeat(place - (until - width), width) + np.arange(until[-1] if len(until) else 0)], width
+
+    def _of_strings(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        raw = [w.encode() for w in words]
+        until = np.concatenate(([0], np.cumsum([len(w) for w in raw]))).astype(np.int64)
+        return self._ids(np.frombuffer(b"".join(raw), np.uint8), until[:-1], until[1:])
+
+    def encode(self, text: str) -> np.ndarray:
+        """The ids of a text; strings of added tokens stand for themselves."""
+        out = [np.zeros(0, np.int32)]
+        for part in self.added_split.split(text) if self.added_split else [text]:
+            if part in self.added:
+                out.append(np.array([self.added[part]], np.int32))
+            elif part:
+                out.append(self._of_strings(_SPLIT.findall(part))[0])
+        return np.concatenate(out)
+
+    def encode_batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of all texts in one array, and where each text's ids begin (one more entry than texts).
+
+        Texts of ASCII and Latin-1 letters without apostrophes are split by byte classes, others by the pattern; the
+        words of both are worked out together. Texts that hold a string of an added token are taken one by one.
+        """
+        data, off = buffers(texts)
+        odd = np.zeros(len(off) - 1, bool)
+        np.logical_or.at(odd, np.searchsorted(off, np.flatnonzero(_ODD[data]), "right") - 1, True)
+        special: dict[int, np.ndarray] = {}
+        words: list[str] = []
+        owner = [np.zeros(0, np.int64)]
+        raw = data.tobytes() if self.added else b""
+        if any(a.encode() in raw for a in self.added):
+            for i, text in enumerate(texts.to_pylist()):
+                if text and any(a in text for a in self.added):
+                    special[i], odd[i] = self.encode(text), True
         for i in np.flatnonzero(odd).tolist():
-            own = np.array(self.encode(texts[i].as_py()), np.int32)
-            parts += [ids[done : first[i]], own]
-            done, counts[i] = first[i], len(own)
-        return np.concatenate([*parts, ids[done:]]), np.concatenate(([0], np.cumsum(counts)))
+            if i not in special:
+                found = _SPLIT.findall(texts[i].as_py())
+                words += found
+                owner.append(np.full(len(found), i))
+        begin = split_plain(data, off)
+        end = np.append(begin[1:], len(data))
+        plain = np.searchsorted(off, begin, "right") - 1
+        keep = ~odd[plain]
+        parts = [self._ids(data, begin[keep], end[keep]), self._of_strings(words)]
+        of = [np.repeat(plain[keep], parts[0][1]), np.repeat(np.concatenate(owner), parts[1][1])]
+        of += [np.full(len(x), i) for i, x in special.items()]
+        ids = np.concatenate([parts[0][0], parts[1][0], *special.values()])
+        of = np.concatenate(of)
+        if words or special:
+            ids = ids[np.argsort(of, kind="stable")]
+        return ids, np.concatenate(([0], np.cumsum(np.bincount(of, minlength=len(odd)))))
 
 
 class _Table:
@@ -335,55 +394,34 @@ def split_plain(data: np.ndarray, off: np.ndarray) -> np.ndarray:
     return np.flatnonzero(run | last | solid | opens)
 
 
-class _Words(dict):
-    def __init__(self, automaton: Automaton):
-        self.automaton = automaton
-
-    def __missing__(self, word: str) -> tuple[int, ...]:
-        ids = self.automaton.word(word.encode())
-        if len(word) <= 64:
-            if len(self) >= REMEMBERED:
-                self.clear()
-            self[word] = ids
-        return ids
-
-
-def _automaton(shared) -> Automaton:
-    arcs, merges, added = shared.value
-    key = (len(arcs), hash((tuple(merges[:: max(1, len(merges) // 997)]), tuple(added))))
-    return built("bpe", key, lambda: Automaton(arcs, merges, added))
-
-
 def encode_decode(docs: DataFrame, path: str, text: str = "text", with_ids: bool = True) -> DataFrame:
     """The given columns plus n_tokens long, ids_sha256, decoded_sha256 and, if with_ids, ids array<int>.
 
-    Null and empty texts have no tokens; input columns named as the new ones are replaced. The vocabulary file at
-    `path` is read by the driver and sent to the executors; its size bounds the broadcast.
+    Null and empty texts have no tokens; a very long text or word is encoded whole; rows that repeat are rows of their own;
+    an empty table gives no rows. Input columns named as the new ones are replaced. The vocabulary file at `path` is read
+    and compiled by the driver and sent to the executors; its size bounds the broadcast.
     """
     spark: SparkSession = docs.sparkSession
     ship(spark)
-    shared = spark.sparkContext.broadcast(load(path))
+    shared = spark.sparkContext.broadcast(Automaton(*load(path)))
     new = [("n_tokens", T.LongType()), ("ids_sha256", T.StringType()), ("decoded_sha256", T.StringType())]
     if with_ids:
         new.append(("ids", T.ArrayType(T.IntegerType())))
     docs = docs.drop(*(x[0] for x in new))
 
-    @functools.partial(lean, keeps="bpe")
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        auto = _automaton(shared)
-        names = list(map(str, range(len(auto.arcs))))
+        auto = shared.value
+        names = list(map(str, range(len(auto.piece_at) - 1)))
         for batch in batches:
-            for part in pieces(batch, text, 1 << 20):
+            for part in pieces(batch, text):
                 flat, first = auto.encode_batch(part.column(text))
-                tokens = flat.tolist()
-                written, decoded = [], []
-                for a, b in itertools.pairwise(first.tolist()):
-                    ids = tokens[a:b]
-                    written.append(hashlib.sha256(",".join(map(names.__getitem__, ids)).encode()).hexdigest())
-                    decoded.append(hashlib.sha256(auto.decode(ids).encode()).hexdigest())
+                tokens = list(map(names.__getitem__, flat.tolist()))
+                written = [hashlib.sha256(",".join(tokens[a:b]).encode()).hexdigest() for a, b in itertools.pairwise(first.tolist())]
+                decoded = [hashlib.sha256(x.encode()).hexdigest() for x in auto.decode_batch(flat, first)]
                 made = [pa.array(np.diff(first)), pa.array(written, pa.string()), pa.array(decoded, pa.string())]
                 if with_ids:
-                    made.append(pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(flat)))
+                    made.append(pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(flat.astype(np.int32))))
                 yield pa.RecordBatch.from_arrays([*part.columns, *made], names=[*part.schema.names, *(x[0] for x in new)])
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *(T.StructField(n, t) for n, t in new)]))

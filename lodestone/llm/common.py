@@ -21,6 +21,8 @@ LOWER[65:91] += 32
 
 def give_back() -> None:
     """Return what this Python worker has freed to the machine; workers are reused, and what they keep adds up over stages."""
+    for powers in (*_BYTE_POWERS.values(), *_WORD_POWERS.values()):
+        powers.up = powers.down = np.ones(1, U64)
     gc.collect()
     pa.default_memory_pool().release_unused()
     try:
@@ -112,7 +114,7 @@ def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[off[0] : off[-1]], off - off[0]
 
 
-def pieces(batch: pa.RecordBatch, column: str, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+def pieces(batch: pa.RecordBatch, column: str, most: int = 512 << 10) -> Iterator[pa.RecordBatch]:
     """Slices of a batch with about `most` bytes of text each (a longer single text stands alone)."""
     n = batch.num_rows
     if not n:

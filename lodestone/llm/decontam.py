@@ -30,7 +30,7 @@ LONGEST, MISS, WINDOWS, SPARE, FILTER_BITS = 8, 0.003, (24, 48), 12, 20
 #: Items are taken in blocks of this many bytes, so that what one scan broadcasts is bounded.
 BLOCK_BYTES = 2 << 20
 #: Candidates and windows that are held at once.
-MANY, FEW = 1 << 20, 1 << 12
+MANY, FEW = 1 << 18, 1 << 12
 #: Bytes before and after the documents that windows at their ends may reach.
 PAD = 2 * WINDOWS[-1]
 
