@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..operators import lexical_index
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
@@ -26,6 +28,11 @@ def t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def index(spark: SparkSession, sf_dir: str) -> lexical_index.LexicalIndex:
+    """The stored BM25 index of documents."""
+    return lexical_index.for_table(spark, f"{sf_dir}/documents.parquet")
+
+
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark items as queries."""
     return t(spark, sf_dir, "benchmark").selectExpr("item_id as query_id", "text as query")

@@ -1,10 +1,8 @@
 """Chunking, hierarchy and compression."""
 
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions import text as tx
-from ..functions import vector as vec
 from ..operators import chunking, metrics, rerank
 from .base import SENTENCES, q, t
 
@@ -111,12 +109,12 @@ def o5_context_window(spark, sf):
 
 def _sentences(spark, sf):
     """Sentences with small deterministic vectors: character-class counts."""
-    rows = t(spark, sf, "documents").select("doc_id", F.posexplode(F.slice(tx.sentences(F.col("text")), 1, 60)).alias("pos", "sentence"))
+    rows = t(spark, sf, "documents").select("doc_id", F.posexplode(tx.sentences(F.col("text"))).alias("pos", "sentence"))
     n = lambda p: F.length(F.regexp_replace("sentence", f"[^{p}]", "")).cast("double")
     return rows.withColumn("embedding", F.array(n("a"), n("e"), n("i"), n("o"), n("t")))
 
 
-_SEM = f"""sn AS (SELECT doc_id, unnest({SENTENCES('text')}[1:60]) AS x, generate_subscripts({SENTENCES('text')}[1:60], 1) - 1 AS pos FROM documents),
+_SEM = f"""sn AS (SELECT doc_id, unnest({SENTENCES('text')}) AS x, generate_subscripts({SENTENCES('text')}, 1) - 1 AS pos FROM documents),
 ev AS (SELECT *, [length(regexp_replace(x, '[^a]', '', 'g')), length(regexp_replace(x, '[^e]', '', 'g')), length(regexp_replace(x, '[^i]', '', 'g')), length(regexp_replace(x, '[^o]', '', 'g')), length(regexp_replace(x, '[^t]', '', 'g'))]::DOUBLE[] AS e FROM sn),
 sim AS (SELECT doc_id, pos, x, e, lead(e) OVER (PARTITION BY doc_id ORDER BY pos) AS f, count(*) OVER (PARTITION BY doc_id) AS n FROM ev),
 raw AS (SELECT doc_id, pos, n, list_dot_product(e, f) / (sqrt(list_dot_product(e, e)) * sqrt(list_dot_product(f, f)) + 1e-8) AS s FROM sim WHERE f IS NOT NULL),
@@ -125,66 +123,72 @@ smooth AS (SELECT doc_id, pos, CASE WHEN n - 1 > 3 THEN avg(s) OVER (PARTITION B
 
 @q(f"WITH {_SEM} SELECT doc_id, pos, round(s, 6) AS s FROM raw")
 def w2_adjacent_similarity(spark, sf):
-    from pyspark.sql import Window
+    return chunking.adjacent(_sentences(spark, sf)).where("similarity is not null").select("doc_id", F.col("pos").cast("long").alias("pos"), F.round("similarity", 6).alias("s"))
+
 
-    e = _sentences(spark, sf)
-    nxt = F.lead("embedding").over(Window.partitionBy("doc_id").orderBy("pos"))
-    return e.withColumn("f", nxt).where("f is not null").select("doc_id", F.col("pos").cast("long").alias("pos"), F.round(vec.cosine(F.col("embedding"), F.col("f"), "eps"), 6).alias("s"))
+def _smoothed(spark, sf):
+    rows = chunking.adjacent(_sentences(spark, sf)).where("similarity is not null").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "similarity"))).alias("i"))
+    return rows.select("doc_id", F.transform("i", lambda x: x["similarity"]).alias("raw")).select("doc_id", chunking.smooth(F.col("raw")).alias("v"))
 
 
 @q(f"WITH {_SEM} SELECT doc_id, pos, round(s, 6) AS s FROM smooth")
 def w3_smoothed(spark, sf):
-    s = F.col("s")
-    rows = _sentences(spark, sf).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "embedding"))).alias("s"))
-    sims = F.transform(F.slice(s, 1, F.greatest(F.size(s) - 1, F.lit(0))), lambda x, i: vec.cosine(x["embedding"], F.get(s, i + 1)["embedding"], "eps"))
-    rows = rows.withColumn("v", sims).withColumn("v", chunking.smooth(F.col("v")))
-    return rows.select("doc_id", F.posexplode("v").alias("pos", "s")).select("doc_id", F.col("pos").cast("long").alias("pos"), F.round("s", 6).alias("s"))
+    return _smoothed(spark, sf).select("doc_id", F.posexplode("v").alias("pos", "s")).select("doc_id", F.col("pos").cast("long").alias("pos"), F.round("s", 6).alias("s"))
 
 
 @q(f"WITH {_SEM} SELECT doc_id, round(quantile_cont(s, 0.25), 6) AS limit_25 FROM smooth GROUP BY 1")
 def w5_percentile(spark, sf):
-    from pyspark.sql import Window
+    return _smoothed(spark, sf).select("doc_id", F.round(chunking.percentile_of(F.col("v"), 25.0), 6).alias("limit_25"))
 
-    e = _sentences(spark, sf).withColumn("f", F.lead("embedding").over(Window.partitionBy("doc_id").orderBy("pos"))).where("f is not null")
-    raw = e.withColumn("s", vec.cosine(F.col("embedding"), F.col("f"), "eps")).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("doc_id")))
-    near = F.avg("s").over(Window.partitionBy("doc_id").orderBy("pos").rowsBetween(-1, 1))
-    return raw.withColumn("s", F.when(F.col("n") > 3, near).otherwise(F.col("s"))).groupBy("doc_id").agg(F.round(F.percentile("s", F.lit(0.25)), 6).alias("limit_25"))
 
+# Breaks in SQL: a fold by a recursive query, one sentence a step.
+_FOLD = f"""{_SEM}, seq AS (SELECT doc_id, pos, x, length(x) AS n, s FROM ev LEFT JOIN smooth USING (doc_id, pos)),
+per AS (SELECT doc_id, list(x ORDER BY pos) AS xs, list(n ORDER BY pos) AS ns, list(s ORDER BY pos) AS ss, {{limit}} AS lim FROM seq GROUP BY 1),
+fold AS (SELECT doc_id, 0 AS i, 0::BIGINT AS len, [0] AS cuts FROM per
+  UNION ALL SELECT doc_id, i + 1, CASE WHEN stop THEN 0 ELSE m END, CASE WHEN stop THEN list_append(cuts, i + 1) ELSE cuts END
+  FROM (SELECT f.doc_id, f.i, f.cuts, f.len + ns[f.i + 1] + 1 AS m, (round(ss[f.i + 1], 12) < round(lim, 12) OR f.len + ns[f.i + 1] + 1 > 1000) AND f.len + ns[f.i + 1] + 1 >= 100 AS stop FROM fold f JOIN per USING (doc_id) WHERE f.i < len(xs) - 1)),
+cut AS (SELECT doc_id, xs, CASE WHEN len(xs) <= 2 THEN [0] ELSE cuts END AS cuts FROM fold JOIN per USING (doc_id) WHERE i = len(xs) - 1),
+part AS (SELECT doc_id, xs, unnest(cuts) AS a, unnest(list_append(cuts[2:], len(xs))) AS b, generate_subscripts(cuts, 1) - 1 AS position FROM cut)
+SELECT doc_id, CAST(position AS BIGINT) AS position, md5(array_to_string(xs[a + 1 : b], ' ')) AS m FROM part"""
 
-@q()
+
+def _digest(chunks):
+    return chunks.select("doc_id", F.col("position").cast("long").alias("position"), F.md5("content").alias("m"))
+
+
+@q("WITH RECURSIVE " + _FOLD.format(limit="0.8"))
 def f9_semantic_chunks(spark, sf):
-    return chunking.semantic_chunks(_sentences(spark, sf), threshold=0.8)
+    return _digest(chunking.semantic_chunks(_sentences(spark, sf), threshold=0.8))
 
 
-@q()
+@q("WITH RECURSIVE " + _FOLD.format(limit="quantile_cont(s, 0.25)"))
 def f10_percentile_chunks(spark, sf):
-    return chunking.semantic_chunks(_sentences(spark, sf), percentile=25.0)
+    return _digest(chunking.semantic_chunks(_sentences(spark, sf), percentile=25.0))
 
 
 @q("""SELECT doc_id, begin, md5(substr(text, greatest(begin - 100, 0) + 1, least(begin + 512, length(text)) + 100 - greatest(begin - 100, 0))) AS m
 FROM (SELECT doc_id, text, unnest(range(0, greatest(length(text) - 50, 1), 462)) AS begin FROM documents WHERE length(text) > 0)""")
 def f14_late_context(spark, sf):
-    docs = t(spark, sf, "documents")
-    out = chunking.with_context(chunking.fixed_chunks(docs), docs, 100)
+    out = chunking.fixed_chunks(t(spark, sf, "documents"), reach=100)
     return out.select("doc_id", F.col("begin").cast("long").alias("begin"), F.md5("context").alias("m"))
 
 
 @q()
 def q15_compress(spark, sf):
     """Greedy sentence budget for the hits of every benchmark item."""
-    from ..operators import retrieval
-    from .base import questions
+    from .base import index, questions
 
     docs, ask = t(spark, sf, "documents"), questions(spark, sf)
-    hits = retrieval.bm25(docs, ask, 3).join(docs.select("doc_id", F.col("text").alias("content")), "doc_id").withColumnRenamed("doc_id", "chunk_id")
+    hits = index(spark, sf).search(ask, 3).join(docs.select("doc_id", F.col("text").alias("content")), "doc_id").withColumnRenamed("doc_id", "chunk_id")
     return rerank.compress(hits, ask)
 
 
-@q("SELECT source AS file, count(*) AS chunks FROM documents GROUP BY 1")
+@q("SELECT CASE lang WHEN 'en' THEN 'en.txt' WHEN 'de' THEN source || '.md' ELSE source END AS file, count(*) AS chunks FROM documents GROUP BY 1")
 def a36_inventory(spark, sf):
-    none = F.lit(None).cast(T.StringType())
-    docs = t(spark, sf, "documents")
-    return metrics.inventory(docs, none, none, F.concat(F.lit("s3/"), "source"))
+    """By file name, by stored name without its hash, by the last part of the source."""
+    name = F.when(F.col("lang") == "en", "en.txt")
+    stored = F.when(F.col("lang") == "de", F.concat("source", F.lit(".md_"), F.substring(F.md5("text"), 1, 8)))
+    return metrics.inventory(t(spark, sf, "documents"), name, stored, F.concat(F.lit("bucket/"), "source"))
 
 
 @q(f"WITH RECURSIVE {_PACKS} SELECT doc_id, sum(length(content) // 4)::BIGINT AS tokens FROM chunks GROUP BY 1")

@@ -2,26 +2,27 @@
 
 from pyspark.sql import functions as F
 
+from ..functions import rules
+from ..functions import text as tx
 from ..operators import graph
 from ..session import Workspace
-from .base import q, t
+from .base import TOKENS, WORDS, q, t
 
 _G = """ent AS (
   SELECT 'r' || r_regionkey AS id, r_name AS name, 'Region' AS type, 'region ' || r_name AS description FROM region
   UNION ALL SELECT 'n' || n_nationkey, n_name, 'Nation', 'nation ' || n_name FROM nation
-  UNION ALL SELECT 'c' || c_custkey, c_name, 'Organization', 'customer in ' || c_mktsegment FROM customer WHERE c_custkey % 7 = 0
+  UNION ALL SELECT 'c' || c_custkey, c_name, 'Organization', 'customer in ' || c_mktsegment FROM customer
   UNION ALL SELECT 's' || s_suppkey, s_name, 'Person', 'supplier' FROM supplier),
 edg AS (
   SELECT 'n' || n_nationkey AS src_id, 'r' || n_regionkey AS dst_id, 'IN' AS type FROM nation
-  UNION ALL SELECT 'c' || c_custkey, 'n' || c_nationkey, 'IN' FROM customer WHERE c_custkey % 7 = 0
+  UNION ALL SELECT 'c' || c_custkey, 'n' || c_nationkey, 'IN' FROM customer
   UNION ALL SELECT 's' || s_suppkey, 'n' || s_nationkey, 'IN' FROM supplier)"""
 
 
-def _graph(spark, sf, whole=False):
-    """Entities and edges; those of customers with c_custkey % 7 = 0 only, as in _G, or whole."""
+def _graph(spark, sf):
+    """Entities and edges of all regions, nations, customers and suppliers."""
     k = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
-    r, n, s = (t(spark, sf, x) for x in ("region", "nation", "supplier"))
-    c = t(spark, sf, "customer") if whole else t(spark, sf, "customer").where("c_custkey % 7 = 0")
+    r, n, c, s = (t(spark, sf, x) for x in ("region", "nation", "customer", "supplier"))
     ent = (
         r.select(k("r", "r_regionkey").alias("id"), F.col("r_name").alias("name"), F.lit("Region").alias("type"), F.concat(F.lit("region "), "r_name").alias("description"))
         .unionByName(n.select(k("n", "n_nationkey").alias("id"), F.col("n_name").alias("name"), F.lit("Nation").alias("type"), F.concat(F.lit("nation "), "n_name").alias("description")))
@@ -132,12 +133,88 @@ def f51_entity_search(spark, sf):
     return graph.search(_graph(spark, sf)[0], "at").select("id", "score")
 
 
-@q()
+@q(f"""WITH {_G}, hit AS (SELECT id, name, 2 * CAST(contains(lower(name), 'asia') AS INT) + CAST(contains(lower(description), 'asia') AS INT) AS score FROM ent),
+seed AS (SELECT id, name FROM hit WHERE score > 0 ORDER BY score DESC, id LIMIT 5), und AS (SELECT src_id AS a, dst_id AS b FROM edg UNION SELECT dst_id, src_id FROM edg),
+near AS (SELECT * FROM (SELECT s.id AS seed, b AS node, row_number() OVER (PARTITION BY s.id ORDER BY b) AS n FROM seed s JOIN und ON a = s.id WHERE b <> s.id) WHERE n <= 10),
+ids AS (SELECT id FROM seed UNION SELECT node FROM near), comm AS (SELECT DISTINCT dst_id AS c FROM edg WHERE src_id IN (FROM ids) ORDER BY 1 LIMIT 5)
+SELECT 'seed' AS kind, id AS key, name AS detail FROM seed UNION ALL SELECT 'neighbour', node, seed FROM near
+UNION ALL SELECT DISTINCT 'relation', src_id || '->' || dst_id, type FROM edg WHERE src_id IN (FROM ids) AND dst_id IN (FROM ids) UNION ALL SELECT 'community', c, NULL FROM comm""")
 def q11_local_search(spark, sf):
-    ent, edges = _graph(spark, sf, whole=True)
+    ent, edges = _graph(spark, sf)
     return graph.local_search(ent, edges, edges.select(F.col("src_id").alias("id"), F.col("dst_id").alias("component")), "asia")
 
 
+@q("""SELECT DISTINCT 'n' || c_nationkey AS component, 'c' || c_custkey AS src_id, 'n' || c_nationkey AS dst_id, 'IN' AS type FROM customer
+UNION ALL SELECT 'n' || s_nationkey, 's' || s_suppkey, 'n' || s_nationkey, 'IN' FROM supplier""")
+def j13_internal_edges(spark, sf):
+    """Nations, their customers and suppliers are a community; edges to regions leave it."""
+    ent, edges = _graph(spark, sf)
+    inside = edges.where("dst_id like 'n%'").select(F.col("src_id").alias("id"), F.col("dst_id").alias("component"))
+    nations = ent.where("type = 'Nation'").select("id", F.col("id").alias("component"))
+    return graph.internal_edges(edges, inside.unionByName(nations)).select("component", "src_id", "dst_id", "type")
+
+
+@q("SELECT c_nationkey::BIGINT AS id, min(c_custkey) AS component, count(*) AS n FROM customer GROUP BY 1")
+def j12_communities_of(spark, sf):
+    """The communities that an entity's members belong to, with their sizes."""
+    c = t(spark, sf, "customer")
+    members = c.groupBy("c_nationkey").agg(F.min("c_custkey").alias("component")).join(c, "c_nationkey").select(F.col("c_custkey").alias("id"), "component")
+    found = graph.communities_of(members, c.select(F.col("c_custkey").alias("id")))
+    return found.join(c.select(F.col("c_custkey").alias("id"), F.col("c_nationkey").cast("long").alias("nation")), "id").groupBy(F.col("nation").alias("id"), "component").agg(F.count(F.lit(1)).alias("n"))
+
+
+@q("SELECT s_suppkey, n_name FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE n_regionkey <> 1 AND s_suppkey % 2 = 0")
+def j8_validate(spark, sf):
+    """Edges of a chunk (here: a nation) stay if both ends were extracted from that chunk."""
+    s, n = t(spark, sf, "supplier"), t(spark, sf, "nation")
+    names = s.where("s_suppkey % 2 = 0").select(F.col("s_nationkey").alias("chunk_id"), F.col("s_name").alias("name")).unionByName(n.where("n_regionkey <> 1").select(F.col("n_nationkey").alias("chunk_id"), F.col("n_name").alias("name")))
+    edges = s.join(n, F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_nationkey").alias("chunk_id"), F.upper("s_name").alias("src"), F.lower("n_name").alias("dst"), "s_suppkey", "n_name")
+    return graph.validate(edges, names).select("s_suppkey", "n_name")
+
+
+_NAMES = f"names AS (SELECT DISTINCT w AS name, CASE length(w) % 2 WHEN 0 THEN 'Concept' ELSE 'Other' END AS type FROM (SELECT unnest({TOKENS('text')}) AS w FROM benchmark) WHERE length(w) >= 8)"
+
+
+@q(f"WITH {_NAMES}, d AS (SELECT doc_id, unnest({TOKENS('text')}) AS w FROM documents) SELECT doc_id, name, type, count(*) AS mentions FROM d JOIN names ON w = name GROUP BY 1, 2, 3")
+def x14_dictionary_entities(spark, sf):
+    """Names of a dictionary (here: long words of the benchmark) found in every document."""
+    name = t(spark, sf, "benchmark").select(F.explode(tx.tokens(F.col("text"))).alias("name")).where(F.length("name") >= 8).distinct()
+    dictionary = name.withColumn("type", F.when(F.length("name") % 2 == 0, "Concept").otherwise("Other"))
+    return graph.dictionary_entities(t(spark, sf, "documents"), dictionary)
+
+
+@q("""SELECT event_id, 'N' || user_id AS name, CASE WHEN event_id % 3 = 0 THEN 'Person' ELSE 'Other' END AS type, event_type AS description FROM events WHERE event_id % 5 <> 4""")
+def x14_parsed_entities(spark, sf):
+    """Entities in a model's JSON; unknown types become Other, what is no JSON gives none."""
+    e = t(spark, sf, "events")
+    kind = F.when(F.col("event_id") % 3 == 0, "Person").otherwise("Gadget")
+    body = F.concat(F.lit('Found: {"entities": [{"name": "N'), F.col("user_id").cast("string"), F.lit('", "type": "'), kind, F.lit('", "description": "'), "event_type", F.lit('"}], "relationships": []}'))
+    rows = e.select("event_id", F.when(F.col("event_id") % 5 == 4, "no json here").otherwise(body).alias("response"))
+    return graph.parsed_entities(rows, "event_id").select("event_id", "name", "type", "description")
+
+
+@q(f"WITH {_G} SELECT (SELECT count(*) FROM ent) AS entities, (SELECT count(*) FROM edg) AS edges, (SELECT count(*) FROM nation) AS communities, (SELECT md5(string_agg(id || name, ',' ORDER BY id)) FROM ent) AS m")
+def s18_graph_store(spark, sf):
+    """A graph saved as tables and loaded again."""
+    from ..sources.graph_store import load_graph, save_graph
+
+    ent, edges = _graph(spark, sf)
+    communities = ent.where("type = 'Nation'").select(F.col("id").alias("component"), F.col("name").alias("title"))
+    path = f"{Workspace(spark, 'graph').base}/saved"
+    save_graph(path, ent, edges, communities)
+    e, d, c = load_graph(spark, path)
+    m = F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", "name"))), lambda x: F.concat(x["id"], x["name"])), ","))
+    return e.agg(F.count(F.lit(1)).alias("entities"), m.alias("m")).crossJoin(d.agg(F.count(F.lit(1)).alias("edges"))).crossJoin(c.agg(F.count(F.lit(1)).alias("communities")))
+
+
+@q(f"""SELECT item_id AS query_id, CASE WHEN text ILIKE '%overall%' OR text ILIKE '%summary%' OR text ILIKE '%summarize%' OR text ILIKE '%main themes%' OR text ILIKE '%in general%' OR len({WORDS('text')}) > 60 THEN 'global' ELSE 'local' END AS scope
+FROM (SELECT item_id, CASE item_id % 4 WHEN 0 THEN 'Overall, ' || text ELSE text END AS text FROM benchmark)""")
+def q13_scope(spark, sf):
+    """Q13: whether a question is about entities (local) or the whole collection (global)."""
+    text = F.when(F.col("item_id") % 4 == 0, F.concat(F.lit("Overall, "), "text")).otherwise(F.col("text"))
+    return t(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), rules.scope(text, 60).alias("scope"))
+
+
 @q("SELECT string_agg('region ' || r_name, chr(10) || chr(10) ORDER BY r_regionkey) AS context FROM region")
 def q12_global_context(spark, sf):
     r = t(spark, sf, "region").select(F.lit(0).alias("level"), F.col("r_regionkey").alias("community"), F.concat(F.lit("region "), "r_name").alias("summary"))

@@ -7,7 +7,7 @@ from ..functions import text as tx
 from ..functions import vector as vec
 from ..operators import caching, evaluate, metrics, retrieval
 from ..plans import providers
-from .base import SPLIT_LOW, WORDS, q, questions, t
+from .base import SPLIT_LOW, WORDS, index, q, questions, t
 from .lexical import _BM25
 
 _V = "CASE toxic + quality WHEN 0 THEN 'contradicted' WHEN 1 THEN 'supported' ELSE 'neutral' END"
@@ -94,7 +94,7 @@ def a28_retrieval_quality(spark, sf):
     from ..plans.pipeline import PipelineBuilder
 
     docs, ask = t(spark, sf, "documents"), questions(spark, sf)
-    hits = retrieval.bm25(docs, ask).join(docs.select("doc_id", F.col("text").alias("content")), "doc_id")
+    hits = index(spark, sf).search(ask).join(docs.select("doc_id", F.col("text").alias("content")), "doc_id")
     out = PipelineBuilder().build().assess(hits, ask)
     return out.select("query_id", F.round("ratio", 6).alias("ratio"), F.round("mean", 6).alias("mean"), "quality")
 
@@ -124,23 +124,24 @@ def a35_cache_stats(spark, sf):
     return caching.stats(t(spark, sf, "embeddings"), t(spark, sf, "events").select((F.col("event_type") == "click").alias("hit"))).select("entries", "hits", "lookups", F.round("hit_rate", 6).alias("hit_rate"))
 
 
-@q("""WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), p AS (SELECT a.vec_id AS query_id, b.vec_id AS entry_id, list_cosine_similarity(a.e, b.e) AS s FROM e a, e b WHERE a.vec_id % 50 = 1 AND b.vec_id % 2 = 0)
+@q("""WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), p AS (SELECT a.vec_id AS query_id, b.vec_id AS entry_id, list_cosine_similarity(list_concat(a.e[2:], a.e[1:1]), b.e) AS s FROM e a, e b WHERE a.vec_id % 50 = 0)
 SELECT query_id, min_by(entry_id, [-round(s, 9), entry_id::DOUBLE]) AS entry_id, round(max(s), 6) AS similarity FROM p WHERE s >= 0.2 GROUP BY 1""")
 def j15_cache_probe(spark, sf):
-    """The best entry above the threshold."""
+    """The best of all entries above the threshold, for queries whose vectors are shifted by one place."""
     e = t(spark, sf, "embeddings")
-    cache = e.where("vec_id % 2 = 0").select(F.col("vec_id").alias("entry_id"), "embedding")
-    out = caching.probe(cache, e.where("vec_id % 50 = 1").select(F.col("vec_id").alias("query_id"), "embedding"), 0.2)
+    shifted = F.concat(F.slice("embedding", 2, F.size("embedding")), F.slice("embedding", 1, 1)).alias("embedding")
+    out = caching.probe(e.select(F.col("vec_id").alias("entry_id"), "embedding"), e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), shifted), 0.2)
     return out.select("query_id", "entry_id", F.round("similarity", 6).alias("similarity"))
 
 
-@q("SELECT count(*) FILTER (WHERE doc_id % 3 = 0) AS hits, count(*) FILTER (WHERE doc_id % 3 <> 0) AS misses FROM (SELECT doc_id, sha256('m:' || text) AS k FROM documents) WHERE (doc_id % 3 = 0 AND k IN (SELECT sha256('m:' || text) FROM documents WHERE doc_id % 3 = 0)) OR (doc_id % 3 <> 0 AND k NOT IN (SELECT sha256('m:' || text) FROM documents WHERE doc_id % 3 = 0))")
+@q("WITH c AS (SELECT DISTINCT sha256('m:' || text) AS k FROM documents SEMI JOIN labels USING (doc_id)) SELECT count(*) FILTER (WHERE hit) AS hits, count(*) FILTER (WHERE NOT hit) AS misses FROM (SELECT sha256('m:' || text) IN (FROM c) AS hit FROM documents)")
 def j16_cache_split(spark, sf):
-    """Texts with and without a cached embedding."""
+    """All texts by whether their embedding is cached; the cache holds those of labelled documents."""
     docs = t(spark, sf, "documents").withColumn("key", caching.embedding_key("m", F.col("text")))
-    hit, miss = caching.split(docs.select("doc_id", "key"), docs.where("doc_id % 3 = 0").select("key").distinct())
+    cache = docs.join(t(spark, sf, "labels"), "doc_id", "left_semi").select("key").distinct()
+    hit, miss = caching.split(docs.select("doc_id", "key"), cache)
     n = lambda df, c: df.agg(F.count(F.lit(1)).alias(c))
-    return n(hit.where("doc_id % 3 = 0"), "hits").crossJoin(n(miss.where("doc_id % 3 <> 0"), "misses"))
+    return n(hit, "hits").crossJoin(n(miss, "misses"))
 
 
 @q("SELECT doc_id FROM documents WHERE md5(text) NOT IN (SELECT md5(text) FROM documents WHERE doc_id < 50)")
@@ -250,19 +251,19 @@ def f46_confidence(spark, sf):
     return t(spark, sf, "events").select("event_id", rules.backoff_seconds((F.col("event_id") % 9).cast("double")).alias("wait"), F.round(rules.confidence(F.col("user_id") % 8), 6).alias("confidence"))
 
 
-@q("""SELECT item_id AS query_id, md5('Answer the question from the 3 sources below and cite them as [n].' || chr(10) || chr(10) || text || chr(10) || chr(10) || 'Question: ' || text || chr(10) || 'Answer:') AS prompt, 'Represent this query for retrieving relevant documents: ' || text[1:10] AS instruction FROM benchmark""")
+@q("""SELECT item_id AS query_id, md5('Answer the question from the 3 sources below and cite them as [n].' || chr(10) || chr(10) || text || chr(10) || chr(10) || 'Question: ' || text || chr(10) || 'Answer:') AS prompt, 'Find documents that answer this question: ' || text[1:10] AS instruction FROM benchmark""")
 def f41_prompts(spark, sf):
     """F41, F48, X4."""
     p = providers.prompt("answer", sources=F.lit(3), context=F.col("text"), query=F.col("text"))
     return t(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.md5(p).alias("prompt"), providers.instruct("query", F.substring("text", 1, 10)).alias("instruction"))
 
 
-@q(r"SELECT doc_id, text[1:500] AS head, '[Context: ' || lang || ']' || chr(10) || chr(10) || text[1:20] AS contextual FROM documents")
+@q(r"SELECT doc_id, text[1:500] AS head, md5('[Context: ' || lang || ']' || chr(10) || chr(10) || text) AS contextual FROM documents")
 def p9_payload(spark, sf):
     """P9, F16."""
     from ..operators import chunking
 
-    return t(spark, sf, "documents").select("doc_id", F.substring("text", 1, 500).alias("head"), chunking.contextual(F.substring("text", 1, 20), F.col("lang")).alias("contextual"))
+    return t(spark, sf, "documents").select("doc_id", F.substring("text", 1, 500).alias("head"), F.md5(chunking.contextual(F.col("text"), F.col("lang"))).alias("contextual"))
 
 
 @q()
@@ -349,20 +350,21 @@ def j6_leaf_context(spark, sf):
     return trees.with_parents(n.where("level = 0").select("node_id"), n).select("node_id", F.md5("content").alias("m"))
 
 
-@q("SELECT doc_id, md5(concat_ws(chr(10) || chr(10), '[Parent Context]' || chr(10) || source, '[Content]' || chr(10) || text[1:50], CASE WHEN doc_id % 2 = 0 THEN '[Details]' || chr(10) || lang END)) AS m FROM documents")
+@q("SELECT doc_id, md5(concat_ws(chr(10) || chr(10), '[Parent Context]' || chr(10) || source, '[Content]' || chr(10) || text, CASE WHEN doc_id % 2 = 0 THEN '[Details]' || chr(10) || lang END)) AS m FROM documents")
 def f12_render_context(spark, sf):
     from ..operators import chunking
 
     details = F.when(F.col("doc_id") % 2 == 0, F.col("lang"))
-    return t(spark, sf, "documents").select("doc_id", F.md5(chunking.render_context(F.col("source"), F.substring("text", 1, 50), details)).alias("m"))
+    return t(spark, sf, "documents").select("doc_id", F.md5(chunking.render_context(F.col("source"), F.col("text"), details)).alias("m"))
 
 
-@q("SELECT doc_id, md5(substr(text, greatest(p - 30, 1), p - greatest(p - 30, 1)) || '[CHUNK]' || c || '[/CHUNK]' || substr(text, p + length(c), 30)) AS m FROM (SELECT doc_id, text, substr(text, 41, 20) AS c, strpos(text, substr(text, 41, 20)) AS p FROM documents WHERE length(text) > 60)")
+@q("""SELECT doc_id, md5(substr(text, greatest(p - 30, 1), p - greatest(p - 30, 1)) || '[CHUNK]' || c || '[/CHUNK]' || substr(text, p + length(c), 30)) AS m
+FROM (SELECT doc_id, text, c, strpos(text, c) AS p FROM (SELECT doc_id, text, CASE WHEN length(text) > 60 THEN substr(text, 41, 20) ELSE text END AS c FROM documents))""")
 def f49_marked_chunk(spark, sf):
     from ..operators import chunking
 
-    docs = t(spark, sf, "documents").where(F.length("text") > 60)
-    return docs.select("doc_id", F.md5(chunking.marked(F.col("text"), F.substring("text", 41, 20), 30)).alias("m"))
+    chunk = F.when(F.length("text") > 60, F.substring("text", 41, 20)).otherwise(F.col("text"))
+    return t(spark, sf, "documents").select("doc_id", F.md5(chunking.marked(F.col("text"), chunk, 30)).alias("m"))
 
 
 @q()
@@ -382,5 +384,5 @@ def x6_scored_rerank(spark, sf):
     from ..operators import rerank
 
     docs, ask = t(spark, sf, "documents"), questions(spark, sf)
-    hits = retrieval.bm25(docs, ask).join(docs.select("doc_id", F.col("text").alias("content")), "doc_id").withColumnRenamed("doc_id", "chunk_id")
+    hits = index(spark, sf).search(ask).join(docs.select("doc_id", F.col("text").alias("content")), "doc_id").withColumnRenamed("doc_id", "chunk_id")
     return rerank.scored(hits, ask, lambda: lambda a, b: [len(set(x) & set(y)) for x, y in zip(a, b, strict=True)])

@@ -2,27 +2,42 @@
 
 from pyspark.sql import functions as F
 
+from ..functions import rules
 from ..functions import text as tx
 from ..operators import retrieval
-from .base import SENTENCES, SPLIT_LOW, TOKENS, WORDS, q, questions, t
+from .base import SENTENCES, SPLIT_LOW, TOKENS, WORDS, index, q, questions, t
+
+def ranked_sql(corpus: str, queries: str, k: int = 10, name: str = "") -> str:
+    """CTEs that end in r{name} (query_id, list, id, s, rk): BM25 of a corpus (id, text) for queries (query_id, list, query)."""
+    n = name
+    return f"""corp{n} AS ({corpus}), tok{n} AS (SELECT id, {TOKENS('text')} AS ts FROM corp{n}),
+post{n} AS (SELECT id, len(ts) AS dl, unnest(ts) AS term FROM tok{n}),
+tf{n} AS (SELECT id, term, count(*) AS tf, any_value(dl) AS dl FROM post{n} GROUP BY 1, 2),
+df{n} AS (SELECT term, count(*) AS df FROM tf{n} GROUP BY 1),
+st{n} AS (SELECT count(*) AS n, avg(CAST(len(ts) AS DOUBLE)) AS avgdl FROM tok{n}),
+qt{n} AS (SELECT query_id, list, term, count(*) AS qtf FROM (SELECT query_id, list, unnest({TOKENS('query')}) AS term FROM ({queries})) GROUP BY 1, 2, 3),
+sc{n} AS (
+  SELECT query_id, list, id, sum(qtf * (ln((n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE) + 1) * tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / greatest(avgdl, 1))))) AS s
+  FROM tf{n} JOIN df{n} USING (term) JOIN qt{n} USING (term), st{n} GROUP BY 1, 2, 3),
+r{n} AS (SELECT query_id, list, id, s, rk FROM (SELECT *, row_number() OVER (PARTITION BY query_id, list ORDER BY round(s, 9) DESC, id) AS rk FROM sc{n}) WHERE rk <= {k})"""
+
 
 _POST = f"""tok AS (SELECT doc_id, {TOKENS('text')} AS ts FROM documents),
 post AS (SELECT doc_id, len(ts) AS dl, unnest(ts) AS term FROM tok),
 tf AS (SELECT doc_id, term, count(*) AS tf, any_value(dl) AS dl FROM post GROUP BY 1, 2)"""
-_BM25 = f"""WITH {_POST},
-df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
-st AS (SELECT count(*) AS n, avg(CAST(len(ts) AS DOUBLE)) AS avgdl FROM tok),
-qt AS (SELECT item_id AS query_id, term, count(*) AS qtf FROM (SELECT item_id, unnest({TOKENS('text')}) AS term FROM benchmark) GROUP BY 1, 2),
-sc AS (
-  SELECT query_id, doc_id, sum(qtf * (ln((n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE) + 1) * tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / greatest(avgdl, 1))))) AS s
-  FROM tf JOIN df USING (term) JOIN qt USING (term), st GROUP BY 1, 2),
-bm25 AS (
-  SELECT query_id, doc_id, s, rk FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 9) DESC, doc_id) AS rk FROM sc) WHERE rk <= 10)"""
+_DOCS, _ASK = "SELECT doc_id AS id, text FROM documents", "SELECT item_id AS query_id, 0 AS list, text AS query FROM benchmark"
+_BM25 = f"WITH {ranked_sql(_DOCS, _ASK)}, bm25 AS (SELECT query_id, id AS doc_id, s, rk FROM r)"
 
 
 @q(f"{_BM25} SELECT query_id, doc_id, round(s, 6) AS score, rk AS rank FROM bm25")
 def s_bm25_topk(spark, sf):
     """BM25 end to end, ten documents for each benchmark item."""
+    return index(spark, sf).search(questions(spark, sf)).select("query_id", "doc_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
+@q(f"{_BM25} SELECT query_id, doc_id, round(s, 6) AS score, rk AS rank FROM bm25")
+def j2_bm25_unindexed(spark, sf):
+    """The same without a stored index, over whatever table comes."""
     return retrieval.bm25(t(spark, sf, "documents"), questions(spark, sf)).select("query_id", "doc_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
@@ -39,7 +54,7 @@ def a1_term_frequency(spark, sf):
 
 @q(f"WITH {_POST} SELECT term, count(*) AS df FROM tf GROUP BY term")
 def a2_document_frequency(spark, sf):
-    return retrieval.postings(t(spark, sf, "documents")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    return retrieval.document_frequency(t(spark, sf, "documents"))
 
 
 @q(f"SELECT count(*) AS n, round(avg(CAST(len({TOKENS('text')}) AS DOUBLE)), 6) AS avgdl FROM documents")
@@ -70,7 +85,7 @@ _OVER = f"""{_BM25}, pairs AS (
 @q(f"{_OVER} SELECT query_id, doc_id, round(len(list_intersect(a, w)) / len(a), 6) AS overlap, round(len(list_intersect(a, w)) / len(list_distinct(list_concat(a, w))), 6) AS jaccard FROM pairs")
 def f19_keyword_overlap(spark, sf):
     """Word overlap and Jaccard of queries with their hits."""
-    hits = retrieval.bm25(t(spark, sf, "documents"), questions(spark, sf)).join(t(spark, sf, "documents").select("doc_id", "text"), "doc_id").join(questions(spark, sf), "query_id")
+    hits = index(spark, sf).search(questions(spark, sf)).join(t(spark, sf, "documents").select("doc_id", "text"), "doc_id").join(questions(spark, sf), "query_id")
     return hits.select("query_id", "doc_id", F.round(tx.overlap(F.col("query"), F.col("text")), 6).alias("overlap"), F.round(tx.jaccard(F.col("query"), F.col("text")), 6).alias("jaccard"))
 
 
@@ -92,13 +107,54 @@ def f42_truncate(spark, sf):
     return t(spark, sf, "documents").select("doc_id", F.length(x).cast("long").alias("n"), F.md5(x).alias("m"))
 
 
-@q(f"""{_BM25}, v AS (
-  SELECT query_id, doc_id AS chunk_id, rk FROM bm25)
-SELECT query_id, chunk_id, round(sum(1 / (60 + rk)::DOUBLE), 9) AS score FROM v GROUP BY 1, 2""")
+_HALF = "length(text) // 2"
+_VARIED = f"""SELECT item_id AS query_id, 0 AS list, text AS query FROM benchmark UNION ALL SELECT item_id, 1, text[1 : {_HALF}] FROM benchmark UNION ALL SELECT item_id, 2, text[{_HALF} + 1 :] FROM benchmark"""
+_FUSED = "f AS (SELECT query_id, id AS chunk_id, sum(1 / (60 + rk)::DOUBLE) AS s FROM r GROUP BY 1, 2), best AS (SELECT query_id, chunk_id, s, rk FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 9) DESC, chunk_id) AS rk FROM f) WHERE rk <= 10)"
+
+
+def _variations(spark, sf):
+    """Each benchmark item with its two halves."""
+    ask = questions(spark, sf)
+    half = F.floor(F.length("query") / 2).cast("int")
+    part = lambda n, c: ask.select("query_id", F.lit(n).alias("variation"), c.alias("query"))
+    return part(0, F.col("query")).unionByName(part(1, F.substring(F.col("query"), F.lit(1), half))).unionByName(part(2, F.substring(F.col("query"), half + 1, F.length("query"))))
+
+
+def _ranked(df):
+    return df.select("query_id", "chunk_id", F.round("score", 9).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
+@q(f"WITH {ranked_sql(_DOCS, _VARIED)}, {_FUSED} SELECT query_id, chunk_id, round(s, 9) AS score, rk AS rank FROM best")
 def q4_multi_query(spark, sf):
-    """Q4, A5: one list of variations is plain rank fusion of that list."""
-    hits = retrieval.bm25(t(spark, sf, "documents"), questions(spark, sf))
-    return retrieval.rrf(hits.select("query_id", F.lit("a").alias("list"), F.col("doc_id").alias("chunk_id"), "rank")).select("query_id", "chunk_id", F.round("score", 9).alias("score"))
+    """Q4, A5: every query with two variations, searched at once, their lists fused by rank."""
+    return _ranked(retrieval.multi_query(index(spark, sf).search, _variations(spark, sf)))
+
+
+_PASSAGES = f"SELECT item_id AS query_id, 0 AS list, 'A passage that answers: ' || text AS query FROM benchmark UNION ALL SELECT item_id, 1, text[{_HALF} + 1 :] FROM benchmark"
+
+
+def _passages(ask):
+    """Recorded hypothetical passages, two a query."""
+    half = F.floor(F.length("query") / 2).cast("int")
+    first = ask.select("query_id", F.lit(0).alias("variation"), F.concat(F.lit("A passage that answers: "), "query").alias("query"))
+    return first.unionByName(ask.select("query_id", F.lit(1).alias("variation"), F.substring(F.col("query"), half + 1, F.length("query")).alias("query")))
+
+
+@q(f"WITH {ranked_sql(_DOCS, _PASSAGES)}, {_FUSED} SELECT query_id, chunk_id, round(s, 9) AS score, rk AS rank FROM best")
+def q7_hypothetical(spark, sf):
+    """Q7: hypothetical passages searched in place of their query, fused by rank."""
+    return _ranked(retrieval.multi_query(index(spark, sf).search, _passages(questions(spark, sf))))
+
+
+@q(f"""WITH {ranked_sql(_DOCS, _PASSAGES)}, {_FUSED}, {ranked_sql(_DOCS, _ASK, name="p")},
+w AS (SELECT item_id AS query_id, item_id % 2 = 0 AND len({WORDS('text')}) > 3 AND (starts_with(lower(text), 'explain') OR len({WORDS('text')}) > 5) AS hyde FROM benchmark)
+SELECT query_id, chunk_id, round(s, 9) AS score, rk AS rank FROM best JOIN w USING (query_id) WHERE hyde UNION ALL SELECT query_id, id, round(s, 9), rk FROM rp JOIN w USING (query_id) WHERE NOT hyde""")
+def q8_adaptive(spark, sf):
+    """Hypothetical passages for the queries that gain from them (here: even items), plain search for the rest."""
+    search = index(spark, sf).search
+    plain = lambda part: search(part).select("query_id", F.col("doc_id").alias("chunk_id"), "score", "rank")
+    gains = rules.use_hypothetical(F.col("query")) & (F.col("query_id") % 2 == 0)
+    return _ranked(retrieval.adaptive(questions(spark, sf), gains, lambda part: retrieval.multi_query(search, _passages(part)).select("query_id", "chunk_id", "score", "rank"), plain))
 
 
 _TRUTH = "truth AS (SELECT b.item_id AS query_id, d.doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text))"
@@ -114,6 +170,6 @@ def a29_rank_metrics(spark, sf):
     from ..operators import evaluate
 
     docs, ask = t(spark, sf, "documents"), questions(spark, sf)
-    truth = retrieval.in_blocks(ask, "query_id", lambda part: docs.select("doc_id", "text").join(F.broadcast(part), F.expr("contains(text, query)")).select("query_id", "doc_id"))
-    out = evaluate.rank_metrics(retrieval.bm25(docs, ask), truth)
+    found = index(spark, sf)
+    out = evaluate.rank_metrics(found.search(ask), found.containing(docs, ask))
     return out.select("queries", *(F.round(c, 6).alias(c) for c in ("hit_rate", "mrr", "recall", "ndcg")))

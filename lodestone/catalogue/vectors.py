@@ -2,9 +2,10 @@
 
 from pyspark.sql import functions as F
 
+from ..functions import text as tx
 from ..functions import vector as vec
 from ..operators import rerank, retrieval
-from .base import q, questions, t
+from .base import TOKENS, index, q, questions, t
 from .lexical import _BM25
 
 _Q = "qv AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS qe FROM embeddings WHERE vec_id % 50 = 0), v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings)"
@@ -57,27 +58,31 @@ def a38_centroids(spark, sf):
     return retrieval.centroids(t(spark, sf, "embeddings"), "label").select("label", F.posexplode("centroid").alias("dim", "x")).select("label", F.col("dim").cast("long").alias("dim"), F.round("x", 6).alias("x"))
 
 
-_MATRIX = "m AS (SELECT vec_id % 20 AS g, list(embedding::DOUBLE[] ORDER BY vec_id) AS d FROM embeddings WHERE vec_id < 200 GROUP BY 1)"
+_MATRIX = "m AS (SELECT vec_id // 10 AS g, list(embedding::DOUBLE[] ORDER BY vec_id) AS d FROM embeddings GROUP BY 1)"
 
 
-@q(f"WITH {_MATRIX} SELECT a.g AS query_id, b.g AS chunk_id, round(list_sum(list_transform(a.d, lambda x: list_max(list_transform(b.d, lambda y: list_dot_product(x, y))))), 6) AS score FROM m a, m b WHERE a.g < 4")
+def _matrices(spark, sf):
+    """Ten vectors after each other as the token matrix of one text; queries are those that begin with an id divisible by 50."""
+    item = F.transform(F.array_sort(F.collect_list(F.struct("vec_id", "embedding"))), lambda x: x["embedding"])
+    return t(spark, sf, "embeddings").groupBy(F.floor(F.col("vec_id") / 10).alias("g")).agg(item.alias("d"))
+
+
+@q(f"""WITH {_MATRIX}, s AS (SELECT a.g AS query_id, b.g AS chunk_id, list_sum(list_transform(a.d, lambda x: list_max(list_transform(b.d, lambda y: list_dot_product(x, y))))) AS s FROM m a, m b WHERE a.g % 5 = 0)
+SELECT query_id, chunk_id, round(s, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 9) DESC, chunk_id) AS r FROM s) WHERE r <= 10""")
 def f23_max_sim(spark, sf):
-    """Late interaction of token matrices (ten vectors each)."""
-    m = t(spark, sf, "embeddings").where("vec_id < 200").groupBy((F.col("vec_id") % 20).alias("g")).agg(F.transform(F.array_sort(F.collect_list(F.struct("vec_id", "embedding"))), lambda x: x["embedding"]).alias("d"))
-    hits = m.where("g < 4").select(F.col("g").alias("query_id")).crossJoin(m.select(F.col("g").alias("chunk_id")))
-    out = rerank.max_sim_rerank(hits, m.select(F.col("g").alias("query_id"), F.col("d").alias("q")), m.select(F.col("g").alias("chunk_id"), "d"), 1000)
+    """Late interaction of all token matrices with the queries'."""
+    m = _matrices(spark, sf)
+    out = rerank.max_sim_search(m.where("g % 5 = 0").select(F.col("g").alias("query_id"), F.col("d").alias("q")), m.select(F.col("g").alias("chunk_id"), "d"))
     return out.select("query_id", "chunk_id", F.round("score", 6).alias("score"))
 
 
-@q(f"""WITH {_MATRIX}, v AS (SELECT vec_id AS chunk_id, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id BETWEEN 200 AND 260),
-s AS (SELECT g AS query_id, chunk_id, list_avg(list_reverse_sort(list_transform(d, lambda x: list_cosine_similarity(x, e)))[1:3]) AS s FROM m, v WHERE g < 4)
-SELECT query_id, chunk_id, round(s, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, chunk_id) AS r FROM s) WHERE r <= 10""")
+@q(f"""WITH {_MATRIX}, v AS (SELECT vec_id AS chunk_id, embedding::DOUBLE[] AS e FROM embeddings),
+s AS (SELECT g AS query_id, chunk_id, list_avg(list_reverse_sort(list_transform(d, lambda x: list_cosine_similarity(x, e)))[1:3]) AS s FROM m, v WHERE g % 5 = 0)
+SELECT query_id, chunk_id, round(s, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 9) DESC, chunk_id) AS r FROM s) WHERE r <= 10""")
 def f25_soft_max_sim(spark, sf):
-    """Mean of the three best phrase cosines."""
-    e = t(spark, sf, "embeddings")
-    p = e.where("vec_id < 200").groupBy((F.col("vec_id") % 20).alias("query_id")).agg(F.collect_list("embedding").alias("p")).where("query_id < 4")
-    c = e.where("vec_id between 200 and 260").select(F.col("vec_id").alias("chunk_id"), "embedding")
-    out = rerank.soft_max_sim(p.select("query_id").crossJoin(c.select("chunk_id")), p, c)
+    """Mean of the three best phrase cosines, all vectors against the queries' phrases."""
+    p = _matrices(spark, sf).where("g % 5 = 0").select(F.col("g").alias("query_id"), F.col("d").alias("p"))
+    out = rerank.soft_max_sim_search(p, t(spark, sf, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding"))
     return out.select("query_id", "chunk_id", F.round("score", 6).alias("score"))
 
 
@@ -91,7 +96,7 @@ def _lists(spark, sf):
     e = t(spark, sf, "embeddings")
     qv = e.join(ask.select(F.col("query_id").alias("vec_id")), "vec_id", "left_semi").select(F.col("vec_id").alias("query_id"), "embedding")
     dense = retrieval.dense(e, qv, 20).select(F.lit("dense").alias("list"), "query_id", F.col("vec_id").alias("chunk_id"), "score", "rank")
-    sparse = retrieval.bm25(t(spark, sf, "documents"), ask).select(F.lit("sparse").alias("list"), "query_id", F.col("doc_id").alias("chunk_id"), "score", "rank")
+    sparse = index(spark, sf).search(ask).select(F.lit("sparse").alias("list"), "query_id", F.col("doc_id").alias("chunk_id"), "score", "rank")
     return dense.unionByName(sparse)
 
 
@@ -158,12 +163,33 @@ def w7_position_scores(spark, sf):
 @q(f"""{_BM25} SELECT query_id, doc_id AS chunk_id FROM (SELECT query_id, b.doc_id, row_number() OVER (PARTITION BY query_id, lower(trim(text[1:200], ' ')) ORDER BY rk, b.doc_id) AS n FROM bm25 b JOIN documents USING (doc_id)) WHERE n = 1""")
 def u2_distinct_prefix(spark, sf):
     docs = t(spark, sf, "documents")
-    hits = retrieval.bm25(docs, questions(spark, sf)).join(docs.select("doc_id", F.col("text").alias("content")), "doc_id").withColumnRenamed("doc_id", "chunk_id")
+    hits = index(spark, sf).search(questions(spark, sf)).join(docs.select("doc_id", F.col("text").alias("content")), "doc_id").withColumnRenamed("doc_id", "chunk_id")
     return rerank.distinct_prefix(hits).select("query_id", "chunk_id")
 
 
 @q(f"""{_BM25} SELECT query_id, md5(string_agg('[Source ' || rk || ']' || chr(10) || text, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rk)) AS m FROM bm25 JOIN documents USING (doc_id) WHERE rk <= 3 GROUP BY 1""")
 def p11_context(spark, sf):
     docs = t(spark, sf, "documents")
-    hits = retrieval.bm25(docs, questions(spark, sf), 3).join(docs.select("doc_id", F.col("text").alias("content")), "doc_id")
+    hits = index(spark, sf).search(questions(spark, sf), 3).join(docs.select("doc_id", F.col("text").alias("content")), "doc_id")
     return rerank.assemble_context(hits).select("query_id", F.md5("context").alias("m"))
+
+
+_NAMED = f"""names AS (SELECT DISTINCT w AS name FROM (SELECT unnest({TOKENS('text')}) AS w FROM benchmark) WHERE length(w) >= 8),
+qn AS (SELECT DISTINCT item_id AS query_id, w AS name FROM (SELECT item_id, unnest({TOKENS('text')}) AS w FROM benchmark) JOIN names ON w = name),
+dn2 AS (SELECT doc_id, w AS name, count(*) AS mentions FROM (SELECT doc_id, unnest({TOKENS('text')}) AS w FROM documents) JOIN names ON w = name GROUP BY 1, 2),
+gr AS (SELECT query_id, doc_id AS chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY sum(mentions) DESC, doc_id) AS rank FROM qn JOIN dn2 USING (name) GROUP BY 1, 2),
+three AS (SELECT list, query_id, chunk_id, rank FROM lists UNION ALL SELECT 'graph', query_id, chunk_id, rank FROM gr WHERE rank <= 10)"""
+
+
+@q(f"{_HYB}, {_NAMED} SELECT query_id, chunk_id, round(sum(CASE list WHEN 'dense' THEN 0.5::DOUBLE WHEN 'sparse' THEN 0.3::DOUBLE ELSE 0.2::DOUBLE END / (60 + rank)), 9) AS score FROM three GROUP BY 1, 2")
+def q14_graph_hybrid(spark, sf):
+    """Q14: dense, sparse and graph lists (documents that mention the query's entities) fused by weighted rank."""
+    from ..operators import graph
+
+    ask = questions(spark, sf)
+    name = ask.select(F.explode(tx.tokens(F.col("query"))).alias("name")).where(F.length("name") >= 8).distinct().withColumn("type", F.lit("Concept"))
+    held = graph.dictionary_entities(t(spark, sf, "documents"), name)
+    asked = graph.dictionary_entities(ask, name, "query_id", "query").withColumnRenamed("doc_id", "query_id")
+    listed = graph.mention_list(asked, held, 10).withColumnRenamed("doc_id", "chunk_id").select(F.lit("graph").alias("list"), "query_id", "chunk_id", "score", "rank")
+    w = spark.createDataFrame([("dense", 0.5), ("sparse", 0.3), ("graph", 0.2)], "list string, weight double")
+    return retrieval.rrf(_lists(spark, sf).unionByName(listed), weights=w).select("query_id", "chunk_id", F.round("score", 9).alias("score"))

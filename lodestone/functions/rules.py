@@ -32,6 +32,15 @@ def use_hypothetical(query: Column) -> Column:
     return F.when(n <= 3, False).when(_any(q.startswith, FACTUAL), False).when(_any(q.startswith, COMPLEX), True).otherwise(n > 5)
 
 
+# Words that ask about a whole collection.
+GLOBAL_WORDS = ("overall", "summary", "summarize", "main themes", "in general")
+
+
+def scope(query: Column, long: int = 60) -> Column:
+    """global for questions about the whole collection (by keyword, or longer than `long` words), else local."""
+    return F.when(_any(F.lower(query).contains, GLOBAL_WORDS) | (F.size(words(query)) > long), "global").otherwise("local")
+
+
 def route(query: Column) -> Column:
     """struct(type, strategy, top_k, confidence) by keywords."""
     q = F.lower(query)
@@ -67,6 +76,7 @@ def overlap_score(overlap: Column) -> Column:
     return F.least(overlap * 2, F.lit(1.0))
 
 
+# The thresholds of the grades below.
 def retrieval_quality(ratio: Column, mean: Column) -> Column:
     return F.when((ratio >= 0.7) & (mean >= 0.7), "excellent").when((ratio >= 0.5) | (mean >= 0.5), "good").when((ratio >= 0.3) | (mean >= 0.3), "partial").otherwise("poor")
 

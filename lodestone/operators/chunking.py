@@ -21,40 +21,62 @@ def _explode(docs: DataFrame, id_col: str, chunks: Column, strategy: str) -> Dat
     return out.withColumn("chunk_id", tx.content_key(F.col("doc_id").cast("string"), F.lit(strategy), F.col("position").cast("string")))
 
 
-def sentence_packs(sentences: Column, size: int = 512, overlap: int = 1, least: int = 100) -> Column:
-    """Greedy packs of sentences: a pack is full when the next sentence would exceed `size` characters (separators not
-    counted); the next begins with the last `overlap` sentences; a last pack shorter than `least` is dropped."""
-    zero = F.struct(F.array().cast("array<array<string>>").alias("done"), F.array().cast("array<string>").alias("cur"), F.lit(0).alias("len"))
-
-    def size_of(a: Column) -> Column:
-        return F.aggregate(a, F.lit(0), lambda s, x: s + F.length(x))
-
-    def step(acc: Column, s: Column) -> Column:
-        full = (acc["len"] + F.length(s) > size) & (F.size(acc["cur"]) > 0)
-        kept = F.slice(acc["cur"], F.greatest(F.size(acc["cur"]) - (overlap - 1), F.lit(1)), overlap) if overlap else F.array().cast("array<string>")
-        fresh = F.concat(kept, F.array(s))
-        return F.when(full, F.struct(F.concat(acc["done"], F.array(acc["cur"])).alias("done"), fresh.alias("cur"), size_of(fresh).alias("len"))).otherwise(
-            F.struct(acc["done"].alias("done"), F.concat(acc["cur"], F.array(s)).alias("cur"), (acc["len"] + F.length(s)).alias("len"))
+def pack_spans(lengths: Column, size: int = 512, overlap: int = 1) -> Column:
+    """Spans (first, last exclusive) of greedy packs over an array of lengths: a pack is full when the next would exceed
+    `size`; the next begins with the last `overlap` of it. A fold over numbers: only full packs grow the result."""
+    none = F.array().cast("array<int>")
+    zero = F.struct(F.array().cast("array<struct<a:int,b:int>>").alias("done"), F.lit(0).alias("from"), F.lit(0).alias("i"), F.lit(0).alias("len"), none.alias("tail"))
+
+    def step(acc: Column, n: Column) -> Column:
+        i, begin, tail = acc["i"], acc["from"], acc["tail"]  # tail: the pack's last `overlap` lengths
+        full = (acc["len"] + n > size) & (i > begin)
+        kept = F.aggregate(tail, F.lit(0), lambda s, x: s + x) if overlap else F.lit(0)
+        last = F.concat(tail, F.array(n))
+        return F.struct(
+            F.when(full, F.concat(acc["done"], F.array(F.struct(begin.alias("a"), i.alias("b"))))).otherwise(acc["done"]).alias("done"),
+            F.when(full, i - F.size(tail)).otherwise(begin).alias("from"),
+            (i + 1).alias("i"),
+            (F.when(full, kept).otherwise(acc["len"]) + n).alias("len"),
+            (F.slice(last, F.greatest(F.size(last) - overlap, F.lit(0)) + 1, overlap) if overlap else none).alias("tail"),
         )
 
-    def end(acc: Column) -> Column:
-        return F.when(F.length(F.array_join(acc["cur"], " ")) >= least, F.concat(acc["done"], F.array(acc["cur"]))).otherwise(acc["done"])
+    return F.aggregate(lengths, zero, step, lambda acc: F.concat(acc["done"], F.array(F.struct(acc["from"].alias("a"), acc["i"].alias("b")))))
+
 
-    return F.transform(F.aggregate(sentences, zero, step, end), lambda p: F.array_join(p, " "))
+def sentence_packs(sentences: Column, size: int = 512, overlap: int = 1, least: int = 100) -> Column:
+    """Greedy packs of sentences (separators not counted); a last pack shorter than `least` is dropped. Give a column, not
+    an expression: the sentences are read several times."""
+    spans = pack_spans(F.transform(sentences, F.length), size, overlap)
+    packs = F.transform(spans, lambda p: F.array_join(F.slice(sentences, p["a"] + 1, p["b"] - p["a"]), " "))
+    return F.filter(packs, lambda c, i: (F.length(c) >= least) | (i < F.size(spans) - 1))
 
 
 def sentence_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 512, overlap: int = 1, least: int = 100) -> DataFrame:
-    return _explode(docs, id_col, sentence_packs(tx.sentences(F.col(text_col)), size, overlap, least), "sentence")
+    rows = docs.select(F.col(id_col).alias("doc_id"), tx.sentences(F.col(text_col)).alias("__s"))
+    rows = rows.withColumn("__p", pack_spans(F.transform("__s", F.length), size, overlap))
+    rows = rows.select("doc_id", "__s", F.size("__p").alias("__n"), F.posexplode("__p").alias("position", "__at"))
+    out = rows.select("doc_id", "position", "__n", F.array_join(F.slice("__s", F.col("__at.a") + 1, F.col("__at.b") - F.col("__at.a")), " ").alias("content"))
+    out = out.where((F.length("content") >= least) | (F.col("position") < F.col("__n") - 1)).drop("__n")
+    return out.withColumn("chunk_id", tx.content_key(F.col("doc_id").cast("string"), F.lit("sentence"), F.col("position").cast("string")))
 
 
-def fixed_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 512, overlap: int = 50) -> DataFrame:
-    """Windows of `size` characters, each starting `size - overlap` after the last; stops at the end of the text."""
+def fixed_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 512, overlap: int = 50, reach: int | None = None) -> DataFrame:
+    """Windows of `size` characters, each starting `size - overlap` after the last; stops at the end of the text.
+
+    With `reach` a column context has the window and as many characters around it (late-chunking context), cut where the
+    text is at hand.
+    """
     if not 0 <= overlap < size:
         raise ValueError("overlap lies below size")
     n, step = F.length(text_col), size - overlap
     starts = F.when(n > 0, F.sequence(F.lit(0), F.greatest(n - overlap - 1, F.lit(0)), F.lit(step))).otherwise(F.array().cast("array<int>"))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("__t"), F.posexplode(starts).alias("position", "begin"))
-    out = rows.select("doc_id", "position", "begin", F.least(F.col("begin") + size, F.length("__t")).alias("end"), F.substring(F.col("__t"), F.col("begin") + 1, F.lit(size)).alias("content"))
+    end = F.least(F.col("begin") + size, F.length("__t"))
+    around = []
+    if reach is not None:
+        start = F.greatest(F.col("begin") - reach, F.lit(0))
+        around = [F.substring(F.col("__t"), start + 1, end + reach - start).alias("context")]
+    out = rows.select("doc_id", "position", "begin", end.alias("end"), F.substring(F.col("__t"), F.col("begin") + 1, F.lit(size)).alias("content"), *around)
     return out.withColumn("chunk_id", tx.content_key(F.col("doc_id").cast("string"), F.lit("fixed"), F.col("position").cast("string")))
 
 
@@ -114,8 +136,8 @@ def _python_chunks(docs: DataFrame, id_col: str, text_col: str, strategy: str, s
             rows = [(i, p, c) for i, t in zip(frame["doc_id"], frame["t"], strict=True) for p, c in enumerate(split(t or ""))]
             yield pd.DataFrame(rows, columns=["doc_id", "position", "content"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("t"))
-    out = rows.mapInPandas(run, "doc_id long, position int, content string")
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("t"))
+    out = rows.mapInPandas(run, f"doc_id {dict(rows.dtypes)['doc_id']}, position int, content string")
     return out.withColumn("chunk_id", tx.content_key(F.col("doc_id").cast("string"), F.lit(strategy), F.col("position").cast("string")))
 
 
@@ -157,8 +179,8 @@ def hierarchical_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     level = docs.select(F.col(id_col).alias("doc_id"), F.lit(None).cast("string").alias("parent_id"), F.col(text_col).alias("content"))
     out = None
     for i, size in enumerate(sizes):
-        packs = sentence_packs(tx.sentences(F.col("content")), size, 0, least)
-        rows = level.select("doc_id", F.coalesce("parent_id", F.lit("")).alias("up"), F.posexplode(packs).alias("position", "content"))
+        cut = level.select("doc_id", F.coalesce("parent_id", F.lit("")).alias("up"), tx.sentences(F.col("content")).alias("__s"))
+        rows = cut.select("doc_id", "up", F.posexplode(sentence_packs(F.col("__s"), size, 0, least)).alias("position", "content"))
         rows = rows.select("doc_id", F.lit(i).alias("level"), F.nullif("up", F.lit("")).alias("parent_id"), "position", "content", tx.content_key(F.col("doc_id").cast("string"), F.lit(f"level{i}"), F.col("up"), F.col("position").cast("string")).alias("chunk_id"))
         out = rows if out is None else out.unionByName(rows)
         level = rows.select("doc_id", F.col("chunk_id").alias("parent_id"), "content")
@@ -190,36 +212,44 @@ def render_context(parent: Column, content: Column, details: Column) -> Column:
 
 
 def markdown_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 50) -> DataFrame:
-    """Sections under headings with their header path; sections under `least` characters are dropped."""
-    lines = docs.select(F.col(id_col).alias("doc_id"), F.posexplode(F.split(text_col, "\n")).alias("line_no", "line"))
-    mark = F.regexp_extract("line", r"^(#{1,6})\s+(.+)$", 1)
-    lines = lines.withColumn("depth", F.length(mark)).withColumn("title", F.when(F.length(mark) > 0, F.trim(F.regexp_extract("line", r"^(#{1,6})\s+(.+)$", 2))))
-    w = Window.partitionBy("doc_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    lines = lines.withColumn("section", F.sum((F.col("depth") > 0).cast("int")).over(w))
-    for k in range(1, 7):  # the nearest heading of each depth, gone once a higher one follows
-        lines = lines.withColumn(f"h{k}_at", F.last(F.when(F.col("depth") == k, F.col("line_no")), True).over(w)).withColumn(f"h{k}", F.last(F.when(F.col("depth") == k, F.col("title")), True).over(w))
-    path = []
-    for k in range(1, 7):
-        above = F.greatest(F.lit(-1), *(F.coalesce(f"h{j}_at", F.lit(-1)) for j in range(1, k))) if k > 1 else F.lit(-1)
-        path.append(F.when(F.col(f"h{k}_at") > above, F.col(f"h{k}")))
-    lines = lines.withColumn("header_path", F.concat_ws(" > ", *path))
-    body = lines.where("depth = 0").groupBy("doc_id", "section").agg(F.first("header_path").alias("header_path"), F.trim(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n")).alias("content"))
-    body = body.where(F.length("content") >= least)
-    return body.withColumn("position", F.row_number().over(Window.partitionBy("doc_id").orderBy("section")) - 1)
+    """Sections under headings with their header path; sections under `least` characters are dropped.
+
+    Headings of a document are folded into paths inside its own row; nothing is shuffled.
+    """
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.split(text_col, "\n").alias("__l"))
+    mark = r"^(#{1,6})\s+(.+)$"
+    marks = F.transform("__l", lambda x, i: F.struct(i.alias("at"), F.length(F.regexp_extract(x, mark, 1)).alias("depth"), F.trim(F.regexp_extract(x, mark, 2)).alias("title")))
+    rows = rows.withColumn("__h", F.filter(marks, lambda h: h["depth"] > 0))
+    none = F.array().cast("array<struct<depth:int,title:string>>")
+    zero = F.struct(none.alias("stack"), F.array(F.struct(F.lit(-1).alias("at"), F.lit("").alias("path"))).alias("out"))
+
+    def step(acc: Column, h: Column) -> Column:
+        stack = F.concat(F.filter(acc["stack"], lambda x: x["depth"] < h["depth"]), F.array(F.struct(h["depth"].alias("depth"), h["title"].alias("title"))))
+        path = F.array_join(F.transform(stack, lambda x: x["title"]), " > ")
+        return F.struct(stack.alias("stack"), F.concat(acc["out"], F.array(F.struct(h["at"].alias("at"), path.alias("path")))).alias("out"))
+
+    rows = rows.withColumn("__s", F.aggregate("__h", zero, step, lambda acc: acc["out"]))
+    rows = rows.select("doc_id", "__l", "__s", F.posexplode("__s").alias("section", "s"))
+    upto = F.coalesce(F.get("__s", F.col("section") + 1)["at"], F.size("__l"))
+    body = F.trim(F.array_join(F.slice("__l", F.col("s.at") + 2, F.greatest(upto - F.col("s.at") - 1, F.lit(0))), "\n"))
+    rows = rows.select("doc_id", "section", F.col("s.path").alias("header_path"), body.alias("content")).where(F.length("content") >= least)
+    return rows.withColumn("position", F.row_number().over(Window.partitionBy("doc_id").orderBy("section")) - 1)
 
 
 def breakpoints(similarity: Column, lengths: Column, threshold: Column, most: int = 1000, least: int = 100) -> Column:
     """Sentence numbers where a chunk begins: 0, and after each sentence whose similarity to the next is below the
     threshold or at which the running length (one more a sentence) exceeds `most`, unless it is below `least`. The
     running length restarts at a break."""
-    zero = F.struct(F.array(F.lit(0)).alias("at"), F.lit(0).alias("len"), F.lit(0).alias("i"))
+    # What the fold needs goes through its items and its state: a column named inside it would be worked out at every step.
+    zero = F.struct(F.array(F.lit(0)).alias("at"), F.lit(0).alias("len"), F.lit(0).alias("i"), F.round(threshold, 12).alias("limit"))
 
-    def step(acc: Column, sim: Column) -> Column:
-        n = acc["len"] + F.get(lengths, acc["i"]) + 1
-        stop = ((sim < threshold) | (n > most)) & (n >= least)
-        return F.struct(F.when(stop, F.concat(acc["at"], F.array(acc["i"] + 1))).otherwise(acc["at"]).alias("at"), F.when(stop, 0).otherwise(n).alias("len"), (acc["i"] + 1).alias("i"))
+    def step(acc: Column, x: Column) -> Column:
+        n = acc["len"] + x["n"] + 1
+        stop = ((x["s"] < acc["limit"]) | (n > most)) & (n >= least)  # at 12 digits ties don't hang on the order of sums
+        return F.struct(F.when(stop, F.concat(acc["at"], F.array(acc["i"] + 1))).otherwise(acc["at"]).alias("at"), F.when(stop, 0).otherwise(n).alias("len"), (acc["i"] + 1).alias("i"), acc["limit"].alias("limit"))
 
-    return F.aggregate(similarity, zero, step, lambda acc: acc["at"])
+    items = F.zip_with(similarity, F.slice(lengths, 1, F.size(similarity)), lambda s, n: F.struct(F.round(s, 12).alias("s"), n.alias("n")))
+    return F.aggregate(items, zero, step, lambda acc: acc["at"])
 
 
 def smooth(values: Column, window: int = 3) -> Column:
@@ -229,35 +259,42 @@ def smooth(values: Column, window: int = 3) -> Column:
     return F.when(F.size(values) > window, mean).otherwise(values)
 
 
+def adjacent(sentences: DataFrame) -> DataFrame:
+    """(doc_id, pos, sentence, similarity): each sentence's cosine (1e-8 added to the denominator) with the next one of its
+    document, null for the last; rows (doc_id, pos, sentence, embedding)."""
+    w = Window.partitionBy("doc_id").orderBy("pos")
+    rows = sentences.withColumn("__norm", vec.norm(F.col("embedding")))
+    rows = rows.withColumn("__next", F.lead(F.struct("embedding", "__norm")).over(w))
+    near = vec.dot(F.col("embedding"), F.col("__next.embedding")) / (F.col("__norm") * F.col("__next.__norm") + F.lit(1e-8))
+    return rows.select("doc_id", "pos", "sentence", F.when(F.col("__next").isNotNull(), near).alias("similarity"))
+
+
+def percentile_of(values: Column, percentile: float) -> Column:
+    """The linearly interpolated percentile of an array; null for an empty one."""
+    ordered = F.array_sort(values)
+    at = (F.size(values) - 1) * (percentile / 100.0)
+    low = F.floor(at).cast("int")
+    first = F.get(ordered, low)
+    return first + (at - low) * (F.coalesce(F.get(ordered, low + 1), first) - first)
+
+
 def semantic_chunks(sentences: DataFrame, threshold: float | None = 0.5, percentile: float | None = None, most: int = 1000, least: int = 100) -> DataFrame:
     """Chunks of a table (doc_id, pos, sentence, embedding): breaks where neighbours differ.
 
-    Similarities (1e-8 added to the denominator) are smoothed over three; with `percentile` each document's own
-    percentile of them is its threshold. Documents of up to two sentences are one chunk.
+    Similarities are smoothed over three; with `percentile` each document's own percentile of them is its threshold.
+    Documents of up to two sentences are one chunk. Vectors are compared before documents are gathered: one shuffle by
+    document, and only sentences and numbers are folded.
     """
-    rows = sentences.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "sentence", "embedding"))).alias("s"))
-    s = F.col("s")
-    sims = F.transform(F.slice(s, 1, F.greatest(F.size(s) - 1, F.lit(0))), lambda x, i: vec.cosine(x["embedding"], F.get(s, i + 1)["embedding"], "eps"))
-    rows = rows.withColumn("sims", smooth(sims))
-    if percentile is not None:
-        ordered = F.array_sort("sims")
-        at = (F.size("sims") - 1) * (percentile / 100.0)
-        low = F.floor(at).cast("int")
-        limit = F.get(ordered, low) + (at - low) * (F.coalesce(F.get(ordered, low + 1), F.get(ordered, low)) - F.get(ordered, low))
-    else:
-        limit = F.lit(float(threshold))
-    rows = rows.withColumn("limit", limit)
-    lengths = F.transform("s", lambda x: F.length(x["sentence"]))
-    rows = rows.withColumn("at", F.when(F.size("s") <= 2, F.array(F.lit(0))).otherwise(breakpoints(F.col("sims"), lengths, F.col("limit"), most, least)))
-    chunks = F.transform("at", lambda a, i: F.array_join(F.transform(F.slice(F.col("s"), a + 1, F.coalesce(F.get(F.col("at"), i + 1), F.size("s")) - a), lambda x: x["sentence"]), " "))
-    return rows.select("doc_id", F.posexplode(chunks).alias("position", "content"))
-
-
-def with_context(chunks: DataFrame, docs: DataFrame, reach: int = 500) -> DataFrame:
-    """Late-chunking context: the characters around a chunk's begin and end (columns begin and end, doc_id)."""
-    rows = chunks.join(docs.select("doc_id", F.col("text").alias("__t")), "doc_id")
-    start = F.greatest(F.col("begin") - reach, F.lit(0))
-    return rows.withColumn("context", F.substring(F.col("__t"), start + 1, F.col("end") + reach - start)).drop("__t")
+    item = F.struct("pos", "sentence", "similarity")
+    rows = adjacent(sentences).groupBy("doc_id").agg(F.array_sort(F.collect_list(item)).alias("__i"))
+    rows = rows.select("doc_id", F.transform("__i", lambda x: x["sentence"]).alias("s"), F.transform(F.slice("__i", 1, F.greatest(F.size("__i") - 1, F.lit(0))), lambda x: x["similarity"]).alias("raw"))
+    rows = rows.withColumn("sims", smooth(F.col("raw")))
+    limit = F.lit(float(threshold)) if percentile is None else percentile_of(F.col("sims"), percentile)
+    rows = rows.withColumn("limit", limit).withColumn("n", F.transform("s", F.length))
+    rows = rows.withColumn("at", F.when(F.size("s") <= 2, F.array(F.lit(0))).otherwise(breakpoints(F.col("sims"), F.col("n"), F.col("limit"), most, least)))
+    rows = rows.select("doc_id", "s", "at", F.posexplode("at").alias("position", "a"))
+    upto = F.coalesce(F.get("at", F.col("position") + 1), F.size("s"))
+    return rows.select("doc_id", "position", F.array_join(F.slice("s", F.col("a") + 1, upto - F.col("a")), " ").alias("content"))
 
 
 def contextual(content: Column, header: Column) -> Column:

@@ -8,7 +8,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import parse
+from ..functions import text as tx
 from ..session import Workspace
+from .retrieval import top
 
 # Order of entity types in titles.
 TYPE_PRIORITY = {"Concept": 0, "Organization": 1, "Person": 2, "Technology": 3}
@@ -47,6 +50,63 @@ def validate(edges: DataFrame, entities: DataFrame) -> DataFrame:
     return out
 
 
+# Types an extractor may give; others become Other.
+ENTITY_TYPES = ("Person", "Organization", "Location", "Concept", "Technology", "Event", "Product", "Date", "Other")
+
+
+def dictionary_entities(docs: DataFrame, dictionary: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = 200_000) -> DataFrame:
+    """(doc_id, name, type, mentions): names of a dictionary (name, type: lower case, one to three tokens) in the documents' tokens.
+
+    Runs of up to three tokens are cut inside a document's row and met with the dictionary: broadcast if it has at most
+    `most` names, else shuffled.
+    """
+    longest = dictionary.agg(F.max(F.size(tx.tokens(F.col("name")))).alias("k"), F.count(F.lit(1)).alias("n")).first()
+    names = dictionary.select(F.array_join(tx.tokens(F.col("name")), " ").alias("__key"), "name", "type")
+    names = F.broadcast(names) if longest["n"] <= most else names
+    rows = docs.select(F.col(id_col).alias("doc_id"), tx.tokens(F.col(text_col)).alias("__t"))
+    runs = [F.col("__t")]
+    for k in range(2, min(3, longest["k"] or 1) + 1):
+        starts = F.when(F.size("__t") >= k, F.sequence(F.lit(1), F.size("__t") - k + 1)).otherwise(F.array().cast("array<int>"))
+        runs.append(F.transform(starts, lambda i, k=k: F.array_join(F.slice("__t", i, k), " ")))
+    rows = rows.select("doc_id", F.explode(F.concat(*runs)).alias("__key"))
+    return rows.join(names, "__key").groupBy("doc_id", "name", "type").agg(F.count(F.lit(1)).alias("mentions"))
+
+
+def mention_list(asked: DataFrame, held: DataFrame, k: int = 10) -> DataFrame:
+    """(query_id, doc_id, score, rank): documents by how often they mention the entities that a query mentions; asked
+    (query_id, name), held (doc_id, name, mentions)."""
+    rows = held.join(asked.select("query_id", "name").distinct(), "name")
+    return top(rows.groupBy("query_id", "doc_id").agg(F.sum("mentions").cast("double").alias("score")), k)
+
+
+_EXTRACTION = "entities array<struct<name:string,type:string,description:string>>, relationships array<struct<source:string,target:string,type:string,description:string>>"
+
+
+def parsed_entities(responses: DataFrame, key: str, most: int = 50) -> DataFrame:
+    """(key, name, type, description) of model answers (column response) with a JSON object; at most `most` an answer."""
+    rows = responses.select(key, F.explode(F.slice(parse.json_object(F.col("response"), _EXTRACTION)["entities"], 1, most)).alias("e"))
+    kind = F.when(F.col("e.type").isin(*ENTITY_TYPES), F.col("e.type")).otherwise("Other")
+    return rows.where("length(trim(e.name)) > 0").select(key, F.trim("e.name").alias("name"), kind.alias("type"), F.col("e.description").alias("description"))
+
+
+def parsed_relationships(responses: DataFrame, key: str) -> DataFrame:
+    """(key, src, dst, type, description) of the same answers."""
+    rows = responses.select(key, F.explode(parse.json_object(F.col("response"), _EXTRACTION)["relationships"]).alias("r"))
+    return rows.where("r.source is not null and r.target is not null").select(key, F.col("r.source").alias("src"), F.col("r.target").alias("dst"), F.coalesce("r.type", F.lit("RELATED_TO")).alias("type"), F.col("r.description").alias("description"))
+
+
+def internal_edges(edges: DataFrame, members: DataFrame) -> DataFrame:
+    """Edges both of whose ends are members (id, component) of the same community."""
+    a = members.select(F.col("id").alias("src_id"), "component")
+    b = members.select(F.col("id").alias("dst_id"), "component")
+    return edges.join(a, "src_id").join(b, ["dst_id", "component"])
+
+
+def communities_of(members: DataFrame, entities: DataFrame) -> DataFrame:
+    """The communities of entities (id), over all levels that members lists."""
+    return members.join(entities.select("id"), "id", "left_semi").distinct()
+
+
 def incident(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Out-edges and in-edges of each node (a self-loop appears twice)."""
     out = edges.join(nodes.select(F.col("id").alias("src_id")), "src_id").withColumn("node", F.col("src_id"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions import vector as vec
+from .retrieval import in_blocks, top
 
 
 def threshold(hits: DataFrame, least: float, k: int) -> DataFrame:
@@ -30,6 +31,27 @@ def soft_max_sim(hits: DataFrame, phrase_vectors: DataFrame, chunks: DataFrame,
     return rows.select("query_id", "chunk_id", score.alias("score")).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def max_sim_search(query_tokens: DataFrame, chunk_tokens: DataFrame, k: int = 10) -> DataFrame:
+    """Late interaction of a stated set of queries (query_id, q) with all chunks (chunk_id, d), in blocks of queries."""
+
+    def meet(part: DataFrame) -> DataFrame:
+        rows = chunk_tokens.join(F.broadcast(part), F.lit(True), "inner")
+        return top(rows.select("query_id", "chunk_id", vec.max_sim(F.col("q"), F.col("d")).alias("score")), k, "chunk_id")
+
+    return in_blocks(query_tokens, "query_id", meet, 256)
+
+
+def soft_max_sim_search(phrase_vectors: DataFrame, chunks: DataFrame, k: int = 10) -> DataFrame:
+    """soft_max_sim of a stated set of queries (query_id, p) with all chunks, in blocks of queries."""
+
+    def meet(part: DataFrame) -> DataFrame:
+        rows = chunks.select("chunk_id", F.col("embedding").alias("__e")).join(F.broadcast(part), F.lit(True), "inner")
+        score = vec.top_mean(F.transform("p", lambda p: vec.cosine(p, F.col("__e"))))
+        return top(rows.select("query_id", "chunk_id", score.alias("score")), k, "chunk_id")
+
+    return in_blocks(phrase_vectors, "query_id", meet, 256)
+
+
 def position_scores(hits: DataFrame) -> DataFrame:
     """1 - i / n by rank."""
     n = F.count(F.lit(1)).over(Window.partitionBy("query_id"))

@@ -31,13 +31,18 @@ def in_blocks(queries: DataFrame, key: str, f, most: int = QUERY_BLOCK) -> DataF
 def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, term, tf, dl): term frequencies and the document's length in terms, counted before any shuffle.
 
-    A document's terms are counted inside its own row, so the only rows that move are distinct (document, term) pairs.
+    Terms are counted before the shuffle too: a document's terms stand in one task, so distinct pairs are what moves.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), tx.tokens(F.col(text_col)).alias("t"))
     rows = rows.select("doc_id", F.size("t").alias("dl"), F.explode("t").alias("term"))
     return rows.groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
 
 
+def document_frequency(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """(term, df): distinct terms of each row are counted, with one shuffle by term."""
+    return docs.select(F.explode(F.array_distinct(tx.tokens(F.col(text_col)))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+
+
 def corpus_stats(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """One row: n documents, avgdl mean length in terms."""
     return docs.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size(tx.tokens(F.col(text_col))).cast("double")).alias("avgdl"))
@@ -142,10 +147,11 @@ def hybrid(dense_hits: DataFrame, sparse_hits: DataFrame, top_k: int = 10, spars
     return top(rows.groupBy("query_id", "chunk_id").agg(F.sum("s").alias("score")), top_k, "chunk_id")
 
 
-def multi_query(docs: DataFrame, variations: DataFrame, top_k: int = 10, k: int = 60) -> DataFrame:
-    """Variations (query_id, variation, query) searched at once by BM25, their lists fused by rank."""
+def multi_query(search, variations: DataFrame, top_k: int = 10, k: int = 60) -> DataFrame:
+    """Variations (query_id, variation, query: rewrites, sub-queries or hypothetical passages) searched at once, their
+    lists fused by rank. search(queries, k) is any retriever, as LexicalIndex.search."""
     asked = variations.select(F.struct("query_id", "variation").alias("query_id"), "query")
-    hits = bm25(docs, asked, top_k).select(F.col("query_id.query_id").alias("query_id"), F.col("query_id.variation").alias("list"), F.col("doc_id").alias("chunk_id"), "rank")
+    hits = search(asked, top_k).select(F.col("query_id.query_id").alias("query_id"), F.col("query_id.variation").alias("list"), F.col("doc_id").alias("chunk_id"), "rank")
     return top(rrf(hits, k), top_k, "chunk_id")
 
 

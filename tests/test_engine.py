@@ -269,7 +269,7 @@ def test_communities_and_local_search_take_the_whole_graph(spark):
     want = {r[0] for r in li.select("o_custkey").distinct().collect()} | {r[0] + 10_000_000 for r in li.select("l_partkey").distinct().collect()}
     assert {r["id"] for r in all_queries.QUERIES["a13_modularity"](spark, DATA).collect()} == want
     n = {x: spark.read.parquet(f"{DATA}/{x}.parquet").count() for x in ("region", "nation", "customer", "supplier")}
-    ent, edges = graphs._graph(spark, DATA, whole=True)
+    ent, edges = graphs._graph(spark, DATA)
     assert ent.count() == sum(n.values()) and edges.count() == sum(n.values()) - n["region"]
 
 
