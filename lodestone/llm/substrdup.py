@@ -1,11 +1,11 @@
 """Substring dedup by level-wise doubling.
 
-Which windows of w words occur more than once is found in levels of doubling length. The first level looks at windows
-of ceil(w / 2) words, and only at those that are the least (by hash) among the sub-windows of some w-window: equal
-w-windows pick equal sub-windows, so nothing repeated is missed and one window in nine is counted instead of all.
-Windows repeated at that length alone are extended to twice the length, that is to the w-windows which picked them;
-of these the ones repeated as a whole survive, and every word they cover goes. Documents that are exact copies of
-each other extend once for all of them.
+Which windows of w words occur more than once is found in levels of doubling length, from BASE words on: ..., ceil(w / 4),
+ceil(w / 2), w. A level looks only at windows that are the least (by hash) among the sub-windows of some window of the
+level above: equal windows pick equal sub-windows, so nothing repeated is missed and one window in nine is counted
+instead of all. Windows repeated at one length alone are extended to twice the length, that is to the windows which
+picked them; the levels end once no candidate survives. Of the w-windows the ones repeated as a whole survive, and
+every word they cover goes. Documents that are exact copies of each other extend once for all of them.
 """
 
 from __future__ import annotations
@@ -38,14 +38,34 @@ def least_in_window(values: np.ndarray, width: int) -> np.ndarray:
     return best[:n]
 
 
-def picked(words: Words, hashes: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and owners of all w-windows, the sub-window that each picks, and the hashes of all sub-windows."""
-    half = (window + 1) // 2
-    start, owner = window_starts(words.first, window)
-    if not len(start):
-        return start, owner, start, np.zeros(0, np.uint64)
-    sub = window_hashes(hashes, np.arange(len(hashes) - half + 1), half)
-    return start, owner, least_in_window(sub, window - half + 1)[start], sub
+#: Shorter windows than this filter nothing that these don't: runs of fewer words repeat by chance.
+BASE = 18
+
+
+def lengths(window: int) -> list[int]:
+    """The levels' lengths, ascending; at least two."""
+    out = [window]
+    while out[0] > BASE or len(out) == 1:
+        out.insert(0, (out[0] + 1) // 2)
+    return out
+
+
+def picked(words: Words, hashes: np.ndarray, levels: list[int]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Of each level the starts of its windows, and (but for the first) the start of the sub-window that each picks; the
+    highest level has all windows, the others those picked from above."""
+    starts = [window_starts(words.first, levels[-1])[0]]
+    picks: list[np.ndarray] = []
+    for n, half in zip(levels[:0:-1], levels[-2::-1], strict=True):
+        sub = window_hashes(hashes, np.arange(max(len(hashes) - half + 1, 0)), half)
+        pick = least_in_window(sub, n - half + 1)[starts[0]] if len(starts[0]) else starts[0]
+        picks.insert(0, pick)
+        starts.insert(0, np.unique(pick))
+    return starts, [starts[0], *picks]
+
+
+def owners(words: Words, start: np.ndarray) -> np.ndarray:
+    """Index of the text that each word belongs to."""
+    return np.searchsorted(words.first, start, "right") - 1
 
 
 def _rows(key: pa.Array, cols: list[np.ndarray], owner: np.ndarray, names: list[str]) -> pa.RecordBatch:
@@ -59,7 +79,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     that covers it starts anywhere else too, in the same or another document; windows are judged on the input.
     kept_text joins the other words by one space. Null texts have no words; texts shorter than a window lose none.
     Rows that repeat count apart, so their windows are repeated; rows whose ids are null or repeat are told apart by
-    their text. Other columns are ignored. An empty table gives no rows. Needs window >= 4.
+    their place in a copy of the table. Very long texts are taken whole. Other columns are ignored. An empty table
+    gives no rows. Needs window >= 4.
     """
     if window < 4:
         raise ValueError("window must be 4 at least")
@@ -69,53 +90,65 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     ids = F.coalesce(F.col(id_col).cast("long"), F.lit(_LOW))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), ids.alias("key"))
     if not rows.select("key").groupBy("key").count().where("count > 1").isEmpty():
-        rows = rows.withColumn("key", F.xxhash64("key", "text"))
+        rows = work.table("rows", rows.withColumn("key", F.monotonically_increasing_id()))
+    levels = lengths(window)
 
-    @lean
     def first_level(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in pieces(batch, "text"):
                 words = Words(part.column("text"))
-                start, owner, pick, sub = picked(words, words.hashes(), window)
-                fresh = np.flatnonzero(np.concatenate(([True], pick[1:] != pick[:-1]))) if len(pick) else pick
-                at, own = pick[fresh], owner[fresh]
-                yield _rows(part.column("key"), [signed(sub[at]), (at - words.first[own]).astype(np.int32)], own, ["h", "at"])
-
-    seen = work.table("first", rows.select("key", "text").mapInArrow(first_level, "h long, at int, key long"))
-    # A table of its own, so that both sides of the join are shuffled for it and a hot window's rows can be split.
-    repeated = work.table("repeated", seen.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h"))
-    alive = work.table("alive", seen.join(repeated, "h", "left_semi").groupBy("key").agg(F.collect_list("at").alias("picks")))
-    work.drop("first", "repeated")
+                hashes = words.hashes()
+                at = picked(words, hashes, levels)[0][0]
+                own = owners(words, at)
+                yield _rows(part.column("key"), [signed(window_hashes(hashes, at, levels[0])), (at - words.first[own]).astype(np.int32)], own, ["h", "at"])
+
+    def next_level(level: int, which: tuple[int, ...]):
+        """Windows of a level whose picks are alive: their hashes, place and how many copies speak through them."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for part in pieces(batch, "text"):
+                    words = Words(part.column("text"))
+                    hashes = words.hashes()
+                    starts, chosen = picked(words, hashes, levels)
+                    live = np.zeros(len(words) + 1, bool)
+                    picks = part.column("picks")
+                    of = np.repeat(np.arange(len(picks)), np.diff(picks.offsets.to_numpy()))
+                    live[np.minimum(picks.flatten().to_numpy(zero_copy_only=False) + words.first[:-1][of], len(words))] = True
+                    start = starts[level][live[chosen[level]]]
+                    own = owners(words, start)
+                    n = part.column("copies").to_numpy(zero_copy_only=False)[own]
+                    code = [signed(window_hashes(hashes, start, levels[level], w)) for w in which]
+                    yield _rows(part.column("key"), [*code, (start - words.first[own]).astype(np.int32), n], own, ["h", "g"][: len(which)] + ["at", "n"])
+
+        return lean(run)
 
     marks = rows.select("key", F.md5(F.coalesce("text", F.lit(""))).alias("m"))
-    groups = marks.groupBy("m").agg(F.count(F.lit(1)).alias("copies"), F.min("key").alias("speaker")).where("copies > 1")
-    copies = work.table("copies", marks.join(groups, "m").groupBy("key").agg(F.max("copies").alias("copies"), F.max((F.col("key") == F.col("speaker")).cast("int")).alias("speaks")))
-
-    @lean
-    def second_level(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in pieces(batch, "text"):
-                words = Words(part.column("text"))
-                hashes = words.hashes()
-                start, owner, pick, _ = picked(words, hashes, window)
-                live = np.zeros(len(words) + 1, bool)
-                picks = part.column("picks")
-                owners = np.repeat(np.arange(len(picks)), np.diff(picks.offsets.to_numpy()))
-                live[np.minimum(picks.flatten().to_numpy(zero_copy_only=False) + words.first[:-1][owners], len(words))] = True
-                keep = live[pick]
-                start, owner = start[keep], owner[keep]
-                n = part.column("copies").to_numpy(zero_copy_only=False)[owner]
-                code = [signed(window_hashes(hashes, start, window, which)) for which in (0, 1)]
-                yield _rows(part.column("key"), [*code, (start - words.first[owner]).astype(np.int32), n], owner, ["h", "g", "at", "n"])
-
-    extend = alive.join(copies, "key", "left").where("speaks is null or speaks = 1").select("key", "picks", F.coalesce("copies", F.lit(1)).cast("long").alias("n")).withColumnRenamed("n", "copies")
-    # Rows that are copies of each other share a key if ids repeat: one of them speaks for all.
-    longer = rows.select("key", "text").join(extend, "key").mapInArrow(second_level, "h long, g long, at int, n long, key long")
-    longer = work.table("second", longer)
+    # A table of its own, so that both sides of the join are shuffled for it and a hot text's rows can be split.
+    groups = work.table("groups", marks.groupBy("m").agg(F.count(F.lit(1)).alias("copies"), F.min("key").alias("speaker")).where("copies > 1"))
+    copies = work.table("copies", marks.join(groups, "m").select("key", "copies", (F.col("key") == F.col("speaker")).cast("int").alias("speaks")))
+
+    seen = work.table("level0", rows.select("key", "text").mapInArrow(lean(first_level), "h long, at int, key long"))
+    for level in range(1, len(levels)):
+        # Copies of one text are all counted at the first level, so its own windows are alive there.
+        counted = seen.groupBy("h").agg((F.count(F.lit(1)) if level == 1 else F.sum("n")).alias("n")).where("n > 1").select("h")
+        repeated = work.table(f"repeated{level}", counted)
+        alive = work.table(f"alive{level}", seen.join(repeated, "h", "left_semi").groupBy("key").agg(F.collect_list("at").alias("picks")))
+        work.drop(f"level{level - 1}", f"repeated{level}")
+        # A copied text has one speaker from the second level on.
+        extend = alive.join(copies, "key", "left").where("speaks is null or speaks = 1").select("key", "picks", F.coalesce("copies", F.lit(1)).cast("long").alias("copies"))
+        top = level == len(levels) - 1
+        made = rows.select("key", "text").join(extend, "key").mapInArrow(next_level(level, (0, 1) if top else (0,)), f"h long, {'g long, ' if top else ''}at int, n long, key long")
+        seen = work.table(f"level{level}", made)
+        work.drop(f"alive{level}")
+        if not top and seen.isEmpty():
+            seen = spark.createDataFrame([], "h long, g long, at int, n long, key long")
+            break
+    longer = seen
     whole = work.table("whole", longer.groupBy("h", "g").agg(F.sum("n").alias("n")).where("n > 1").select("h", "g"))
     hits = longer.where("n = 1").join(whole, ["h", "g"], "left_semi").groupBy("key").agg(F.collect_list("at").alias("starts"))
     told = work.table("told", hits.join(copies.select("key", "copies"), "key", "full"))
-    work.drop("alive", "second", "copies", "whole")
+    work.drop(f"level{len(levels) - 1}", "groups", "copies", "whole")
 
     @lean
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
