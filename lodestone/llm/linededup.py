@@ -1,15 +1,14 @@
 """Line dedup through a sharded minimal perfect hash.
 
-Distinct line hashes that enough documents hold are cut into shards by their top bits. Each shard gets a minimal
+Distinct line hashes that two documents or more hold are cut into shards. Each shard gets a minimal
 perfect hash (levels of bit arrays: a key belongs to the first level where no other remaining key falls on its bit,
-its index is that bit's rank) and three arrays by index: fingerprint, document count and last owner. Documents probe
+its index is that bit's rank) and three arrays by index: fingerprint, document count (one byte, saturating) and last owner. Documents probe
 the arrays with the hashes of their own lines; a line that isn't in the key set lands anywhere and its fingerprint
 differs. Shards are broadcast in rounds of a bounded size, so lines are never joined with documents.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -59,6 +58,8 @@ class PerfectHash:
 
     @classmethod
     def build(cls, keys: np.ndarray) -> PerfectHash:
+        if len(np.unique(keys)) < len(keys):
+            raise ValueError("keys must be distinct")
         levels, rest = [], keys
         while len(rest):
             size = max(64, 2 * len(rest) + 7 & ~7)
@@ -80,21 +81,30 @@ class PerfectHash:
         return out
 
 
-_SHARD = T.StructType([T.StructField("shard", T.IntegerType()), T.StructField("levels", T.ArrayType(T.BinaryType())), T.StructField("prints", T.BinaryType()), T.StructField("counts", T.BinaryType()), T.StructField("owners", T.BinaryType()), T.StructField("bytes", T.LongType())])
+_SHARD = T.StructType([T.StructField("shard", T.IntegerType()), T.StructField("levels", T.ArrayType(T.BinaryType())), *(T.StructField(n, T.BinaryType()) for n in ("prints", "counts", "owners", "rest")), T.StructField("bytes", T.LongType())])
+#: Counts saturate here: thresholds lie below.
+MOST_COUNT = 255
 
 
 def _build_shard(rows: pd.DataFrame) -> pd.DataFrame:
-    keys = rows["a"].to_numpy(np.int64).view(np.uint64)
+    """One shard's hash and arrays. Lines whose first 64 bits are equal can't all have a place: they are kept in a list
+    (a, b, count, owner) that is searched."""
+    held = rows[["a", "b", "docs", "owner"]].to_numpy(np.int64)
+    held[:, 2] = np.minimum(held[:, 2], MOST_COUNT)
+    _, which, many = np.unique(held[:, 0], return_inverse=True, return_counts=True)
+    alone, rest = held[many[which] == 1], held[many[which] > 1]
+    keys = alone[:, 0].copy().view(np.uint64)
     made = PerfectHash.build(keys)
     at = made.index(keys)
     arrays = []
-    for name in ("b", "docs", "owner"):
-        x = np.zeros(len(keys), np.int64)
-        x[at] = rows[name].to_numpy(np.int64)
+    for column, kind in ((1, np.int64), (2, np.uint8), (3, np.int64)):
+        x = np.zeros(len(keys), kind)
+        x[at] = alone[:, column]
         arrays.append(x.tobytes())
     levels = [x.tobytes() for x in made.levels]
+    arrays.append(rest.tobytes())
     size = sum(map(len, levels)) + sum(map(len, arrays))
-    return pd.DataFrame({"shard": [int(rows["shard"].iloc[0])], "levels": [levels], "prints": [arrays[0]], "counts": [arrays[1]], "owners": [arrays[2]], "bytes": [size]})
+    return pd.DataFrame({"shard": [int(rows["shard"].iloc[0])], "levels": [levels], "prints": [arrays[0]], "counts": [arrays[1]], "owners": [arrays[2]], "rest": [arrays[3]], "bytes": [size]})
 
 
 def line_stats(docs: DataFrame, id_col: str, text_col: str, least_chars: int) -> DataFrame:
@@ -135,11 +145,13 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     round_bytes bounds what one broadcast carries. More arrays than that take several rounds; each hands the numbers
     of the lines that fall (never their text) on to a last pass.
     """
+    if not 0 < least_docs <= MOST_COUNT:
+        raise ValueError(f"least_docs lies between 1 and {MOST_COUNT}")
     spark = docs.sparkSession
     ship(spark)
     docs = docs.drop("n_lines", "n_dropped", "kept_text")
     work = Workspace(spark, "lines")
-    keys = work.table("keys", line_stats(docs, id_col, text_col, least_chars).where(F.col("docs") >= least_docs))
+    keys = work.table("keys", line_stats(docs, id_col, text_col, least_chars).where(F.col("docs") >= min(least_docs, 2)))
     shards = max(1, -(-keys.count() // shard_keys))
     shard_of: Column = F.pmod(F.shiftrightunsigned("a", 20), F.lit(shards)).cast("int")
     built = work.table("shards", keys.withColumn("shard", shard_of).groupBy("shard").applyInPandas(_build_shard, _SHARD))
@@ -155,40 +167,45 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         held += size
     out = docs
     if len(rounds) == 1:
-        return _finish(out, id_col, text_col, least_chars, _fetch(built, rounds[0]), shards, None)
+        return _finish(out, id_col, text_col, least_chars, _fetch(built, rounds[0]), shards, least_docs, None)
     # Several rounds: mark each row, collect the fallen lines of each round beside it, then cut them in one pass.
     marked = work.table("rows", docs.withColumn("__row", F.monotonically_increasing_id()))
     found = None
     for i, members in enumerate(rounds):
-        part = work.table(f"round{i}", _fallen(marked, id_col, text_col, least_chars, _fetch(built, members), shards))
+        part = work.table(f"round{i}", _fallen(marked, id_col, text_col, least_chars, _fetch(built, members), shards, least_docs))
         found = part if found is None else found.unionByName(part)
     fallen = found.groupBy("__row").agg(F.flatten(F.collect_list("__fallen")).alias("__fallen"))
-    return _finish(marked.join(fallen, "__row", "left").drop("__row"), id_col, text_col, least_chars, None, shards, "__fallen")
+    return _finish(marked.join(fallen, "__row", "left").drop("__row"), id_col, text_col, least_chars, None, shards, least_docs, "__fallen")
 
 
 def _fetch(built: DataFrame, members: list[int]):
     spark = built.sparkSession
     rows = built.where(F.col("shard").isin(members)).collect() if members else []  # at most round_bytes, or one shard
-    return spark.sparkContext.broadcast([(r["shard"], [bytes(x) for x in r["levels"]], bytes(r["prints"]), bytes(r["owners"])) for r in rows])
+    return spark.sparkContext.broadcast([(r["shard"], [bytes(x) for x in r["levels"]], *(bytes(r[n]) for n in ("prints", "counts", "owners", "rest"))) for r in rows])
 
 
 class _Probe:
-    def __init__(self, shared, shards: int):
-        self.shards = shards
-        self.by = {s: (PerfectHash([np.frombuffer(x, np.uint8) for x in levels]), np.frombuffer(p, np.int64), np.frombuffer(o, np.int64)) for s, levels, p, o in shared.value}
+    """The shards of a round; a line counts if its fingerprint stands at its index and `least` documents or more hold it."""
+
+    def __init__(self, shared, shards: int, least: int):
+        self.shards, self.least = shards, least
+        self.by = {s: (PerfectHash([np.frombuffer(x, np.uint8) for x in levels]), np.frombuffer(p, np.int64), np.frombuffer(c, np.uint8), np.frombuffer(o, np.int64), np.frombuffer(r, np.int64).reshape(-1, 4)) for s, levels, p, c, o, r in shared.value}
 
     def owners(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Which lines are in the key set, and the largest id that holds them."""
+        """Which lines enough documents hold, and the largest id among them."""
         hit, owner = np.zeros(len(a), bool), np.zeros(len(a), np.int64)
         shard = ((a >> np.uint64(20)) % np.uint64(self.shards)).astype(np.int64)
         for s in np.unique(shard).tolist():
             if s in self.by:
-                made, prints, owners = self.by[s]
+                made, prints, counts, owners, rest = self.by[s]
                 at = np.flatnonzero(shard == s)
+                for x, y, n, o in rest.tolist():
+                    same = at[(a[at].view(np.int64) == x) & (b[at].view(np.int64) == y)]
+                    hit[same], owner[same] = n >= self.least, o
                 index = made.index(a[at])
                 ok = index >= 0
                 at, index = at[ok], index[ok]
-                same = prints[index] == b[at].view(np.int64)
+                same = (prints[index] == b[at].view(np.int64)) & (counts[index] >= self.least)
                 hit[at[same]], owner[at[same]] = True, owners[index[same]]
         return hit, owner
 
@@ -212,10 +229,10 @@ def _probe_part(part: pa.RecordBatch, id_col: str, text_col: str, least: int, pr
     return all_lines, fallen
 
 
-def _fallen(marked: DataFrame, id_col: str, text_col: str, least: int, shared, shards: int) -> DataFrame:
+def _fallen(marked: DataFrame, id_col: str, text_col: str, least: int, shared, shards: int, docs_least: int) -> DataFrame:
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        probe = _Probe(shared, shards)
+        probe = _Probe(shared, shards, docs_least)
         for batch in batches:
             for part in pieces(batch, text_col):
                 _, fallen = _probe_part(part, id_col, text_col, least, probe)
@@ -226,13 +243,13 @@ def _fallen(marked: DataFrame, id_col: str, text_col: str, least: int, shared, s
     return marked.select("__row", id_col, text_col).mapInArrow(run, "__row long, __fallen array<int>")
 
 
-def _finish(docs: DataFrame, id_col: str, text_col: str, least: int, shared, shards: int, given: str | None) -> DataFrame:
+def _finish(docs: DataFrame, id_col: str, text_col: str, least: int, shared, shards: int, docs_least: int, given: str | None) -> DataFrame:
     keep = [c for c in docs.columns if c != given]
     schema = T.StructType([*docs.select(*keep).schema.fields, T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType()), T.StructField("kept_text", T.StringType())])
 
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        probe = None if given else _Probe(shared, shards)
+        probe = None if given else _Probe(shared, shards, docs_least)
         for batch in batches:
             for part in pieces(batch, text_col):
                 if given:
@@ -245,7 +262,3 @@ def _finish(docs: DataFrame, id_col: str, text_col: str, least: int, shared, sha
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), *made], names=schema.names)
 
     return docs.mapInArrow(run, schema)
-
-
-def sha256_hex(text: str) -> str:
-    return hashlib.sha256(text.encode()).hexdigest()

@@ -4,6 +4,7 @@ import random
 import zlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -460,3 +461,26 @@ def test_written_shards(spark, tmp_path):
     back = spark.read.parquet(str(tmp_path / "out"))
     assert back.count() == 64 and back.select("shard").distinct().count() == 16
     assert back.agg(F.sum("doc_id")).first()[0] == sum(range(64))
+
+
+def test_lines_whose_first_hashes_clash():
+    keys = [5, 5, 9, 5]
+    rows = pd.DataFrame({"shard": [0] * 4, "a": keys, "b": [1, 2, 3, 4], "docs": [3, 900, 4, 2], "owner": [7, 8, 9, 10]})
+    with pytest.raises(ValueError, match="distinct"):
+        linededup.PerfectHash.build(np.array(keys, np.uint64))
+    made = linededup._build_shard(rows).iloc[0]
+    shared = type("Shared", (), {"value": [(0, made["levels"], *(made[n] for n in ("prints", "counts", "owners", "rest")))]})
+    probe = linededup._Probe(shared, 1, 3)
+    hit, owner = probe.owners(np.array([5, 5, 9, 5, 9, 4], np.uint64), np.array([1, 2, 3, 4, 5, 3], np.uint64))
+    assert hit.tolist() == [True, True, True, False, False, False] and owner[:3].tolist() == [7, 8, 9]
+
+
+@pytest.mark.parametrize("window", [4, 35, 75])
+def test_levels_double(spark, window):
+    assert substrdup.lengths(35) == [18, 35] and substrdup.lengths(75) == [10, 19, 38, 75] and substrdup.lengths(4) == [2, 4]
+    shared, twice = h.prose(300, 80), h.prose(301, 20)
+    rows = [(1, h.prose(302, 50) + " " + shared + " " + h.prose(303, 9)), (2, shared + " " + h.prose(304, 70)), (3, " ".join(shared.split()[:60])), (4, f"{twice} {h.prose(305, 30)} {twice}"), (5, h.prose(306, 200)), (6, h.prose(306, 200)), (6, "of a repeated id " + shared), (None, shared)]
+    got = substrdup.remove_repeats(h.frame(spark, rows), window=window).collect()
+    assert sorted(((x.doc_id, x.n_words, x.n_removed, x.kept_text) for x in got), key=h.key) == sorted(h.remove_repeats(rows, window), key=h.key)
+    alone = [(k, h.prose(400 + k, 100, 10**6)) for k in range(5)]
+    assert all(x.n_removed == 0 for x in substrdup.remove_repeats(h.frame(spark, alone), window=window).collect())
