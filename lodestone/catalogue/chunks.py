@@ -4,7 +4,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..operators import chunking, metrics, rerank
-from .base import SENTENCES, q, t
+from .base import SENTENCES, SPLIT_LOW, q, t
+from .lexical import _BM25
 
 # Greedy sentence packs in SQL: a fold by a recursive query, one sentence a step.
 _PACKS = f"""s AS (SELECT doc_id, {SENTENCES('text')} AS s FROM documents),
@@ -41,11 +42,6 @@ def f5_fixed_chunks(spark, sf):
     return x.select("doc_id", *(F.col(c).cast("long").alias(c) for c in ("position", "begin", "end")), F.md5("content").alias("m"))
 
 
-@q()
-def f5_soft_chunks(spark, sf):
-    return chunking.soft_chunks(t(spark, sf, "documents"))
-
-
 @q()
 def f7_recursive_chunks(spark, sf):
     return chunking.recursive_chunks(t(spark, sf, "documents"))
@@ -56,14 +52,24 @@ def f8_token_chunks(spark, sf):
     return chunking.token_chunks(t(spark, sf, "documents"))
 
 
-@q()
-def f18_fallback_chunks(spark, sf):
-    return chunking.fallback_chunks(t(spark, sf, "documents"))
+def _level_sql(n: int, source: str, size: int) -> str:
+    """One level of a hierarchy: packs without overlap of at least 20 characters of texts (k: their key), and their ids."""
+    full = f"len + length(s[i+1]) > {size} AND len(cur) > 0"
+    return f"""s{n} AS (SELECT doc_id, up, {SENTENCES('text')} AS s FROM ({source})),
+fold{n} AS (
+  SELECT doc_id, up, s, 0 AS i, 0 AS len, CAST([] AS VARCHAR[]) AS cur, CAST([] AS VARCHAR[][]) AS done FROM s{n}
+  UNION ALL SELECT doc_id, up, s, i + 1, CASE WHEN {full} THEN length(s[i+1]) ELSE len + length(s[i+1]) END, CASE WHEN {full} THEN [s[i+1]] ELSE list_append(cur, s[i+1]) END, CASE WHEN {full} THEN list_append(done, cur) ELSE done END
+  FROM fold{n} WHERE i < len(s)),
+p{n} AS (SELECT doc_id, up, CASE WHEN length(array_to_string(cur, ' ')) >= 20 THEN list_append(done, cur) ELSE done END AS p FROM fold{n} WHERE i = len(s)),
+c{n} AS (SELECT doc_id, up, unnest(list_transform(p, lambda x: array_to_string(x, ' '))) AS content, generate_subscripts(p, 1) - 1 AS position FROM p{n}),
+l{n} AS (SELECT doc_id, {n} AS level, up, position, content, sha256(doc_id || chr(1) || 'level{n}' || chr(1) || up || chr(1) || position) AS chunk_id FROM c{n})"""
 
 
-@q()
+@q(f"""WITH RECURSIVE {_level_sql(0, "SELECT doc_id, '' AS up, text FROM documents", 2000)}, {_level_sql(1, "SELECT doc_id, chunk_id AS up, content AS text FROM l0", 512)}, {_level_sql(2, "SELECT doc_id, chunk_id AS up, content AS text FROM l1", 128)}
+SELECT doc_id, level::BIGINT AS level, position::BIGINT AS position, chunk_id, nullif(up, '') AS parent_id, md5(content) AS m FROM (FROM l0 UNION ALL FROM l1 UNION ALL FROM l2)""")
 def f11_hierarchical_chunks(spark, sf):
-    return chunking.hierarchical_chunks(t(spark, sf, "documents"))
+    out = chunking.hierarchical_chunks(t(spark, sf, "documents"))
+    return out.select("doc_id", F.col("level").cast("long").alias("level"), F.col("position").cast("long").alias("position"), "chunk_id", "parent_id", F.md5("content").alias("m"))
 
 
 _TREE_MD = "CASE WHEN position % 4 = 0 THEN '# Part ' || position // 4 WHEN position % 4 = 2 THEN '## Piece ' || position ELSE content END"
@@ -173,14 +179,24 @@ def f14_late_context(spark, sf):
     return out.select("doc_id", F.col("begin").cast("long").alias("begin"), F.md5("context").alias("m"))
 
 
-@q()
+_OVERLAP = f"len(list_intersect(list_distinct({SPLIT_LOW('query')}), {SPLIT_LOW('x')})) / len(list_distinct({SPLIT_LOW('query')}))"
+
+
+@q(f"""{_BM25.replace("WITH ", "WITH RECURSIVE ", 1)}, sen AS (SELECT query_id, b.text AS query, doc_id AS chunk_id, rk, unnest(l) AS x, generate_subscripts(l, 1) - 1 AS pos
+  FROM (SELECT query_id, doc_id, rk, list_filter({SENTENCES('text')}, lambda y: length(y) > 20) AS l FROM bm25 JOIN documents USING (doc_id) WHERE rk <= 3) JOIN benchmark b ON item_id = query_id),
+sc2 AS (SELECT query_id, chunk_id, rk, pos, x, length(x) // 4 AS tokens, {_OVERLAP} AS o FROM sen),
+item AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY o DESC, rk, pos, chunk_id) AS n, floor(sum(tokens) OVER (PARTITION BY query_id) * 0.5) AS budget FROM sc2),
+fold AS (SELECT query_id, 0 AS n, 0 AS used, 0 AS taken, false AS stop, false AS took FROM item WHERE n = 1
+  UNION ALL SELECT query_id, n, CASE WHEN take THEN used + tokens ELSE used END, CASE WHEN take THEN taken + 1 ELSE taken END, stop OR (take AND used + tokens >= budget AND taken + 1 >= 1), take
+  FROM (SELECT i.query_id, i.n, f.used, f.taken, f.stop, i.tokens, i.budget, NOT f.stop AND (f.used + i.tokens <= i.budget OR f.taken < 1) AS take FROM fold f JOIN item i ON i.query_id = f.query_id AND i.n = f.n + 1))
+SELECT query_id, chunk_id, min(rk) AS rank, md5(string_agg(x, ' ' ORDER BY pos)) AS m, sum(tokens)::BIGINT AS tokens FROM fold JOIN item USING (query_id, n) WHERE took GROUP BY 1, 2""")
 def q15_compress(spark, sf):
     """Greedy sentence budget for the hits of every benchmark item."""
     from .base import index, questions
 
     docs, ask = t(spark, sf, "documents"), questions(spark, sf)
     hits = index(spark, sf).search(ask, 3).join(docs.select("doc_id", F.col("text").alias("content")), "doc_id").withColumnRenamed("doc_id", "chunk_id")
-    return rerank.compress(hits, ask)
+    return rerank.compress(hits, ask).select("query_id", "chunk_id", F.col("rank").cast("long").alias("rank"), F.md5("content").alias("m"), "tokens")
 
 
 @q("SELECT CASE lang WHEN 'en' THEN 'en.txt' WHEN 'de' THEN source || '.md' ELSE source END AS file, count(*) AS chunks FROM documents GROUP BY 1")

@@ -8,7 +8,7 @@ from ..functions import vector as vec
 from ..operators import caching, evaluate, metrics, retrieval
 from ..plans import providers
 from .base import SPLIT_LOW, WORDS, index, q, questions, t
-from .lexical import _BM25
+from .lexical import _ASK, _BM25, ranked_sql
 
 _V = "CASE toxic + quality WHEN 0 THEN 'contradicted' WHEN 1 THEN 'supported' ELSE 'neutral' END"
 
@@ -318,28 +318,36 @@ def _node_hits(spark, sf, nodes):
     return retrieval.bm25(nodes, questions(spark, sf), 30, "node_id", "content").select("query_id", F.col("doc_id").alias("node_id"), "score")
 
 
-@q()
+_NODES = "SELECT 'd' || doc_id AS id, text, 0 AS level, source AS parent, doc_id FROM documents UNION ALL SELECT source, min_by(text, doc_id), 1, NULL, -1 FROM documents GROUP BY 1"
+_NODE_HITS = f"WITH node AS ({_NODES}), {ranked_sql('SELECT id, text FROM node', _ASK, 30)}, h AS (SELECT query_id, id, s, rk, level, parent, text FROM r JOIN node USING (id))"
+
+
+@q(f"""{_NODE_HITS}, one AS (SELECT *, row_number() OVER (PARTITION BY query_id, text[1:100] ORDER BY rk, id) AS n FROM h WHERE rk <= 20),
+o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY level, round(s, 9) DESC, id) AS rank FROM one WHERE n = 1)
+SELECT query_id, id AS node_id, level, round(s, 6) AS score, rank FROM o WHERE rank <= 10""")
 def q9_tree_collapsed(spark, sf):
     from ..operators import trees
 
     n = _tree(spark, sf)
-    return trees.collapsed(_node_hits(spark, sf, n), n)
+    return trees.collapsed(_node_hits(spark, sf, n), n).select("query_id", "node_id", "level", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
-@q()
+@q(f"""{_NODE_HITS}, sm AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 9) DESC, id) AS r1 FROM h WHERE level = 1 QUALIFY r1 <= 3),
+lf AS (SELECT h.query_id, h.id, h.s, row_number() OVER (PARTITION BY h.query_id ORDER BY CASE WHEN sm.id IS NULL THEN 0 ELSE 1 END DESC, round(h.s, 9) DESC, h.id) AS r2 FROM h LEFT JOIN sm ON sm.query_id = h.query_id AND sm.id = h.parent WHERE h.level = 0 QUALIFY r2 <= 6)
+SELECT query_id, id AS node_id, round(s, 6) AS score, 'summary' AS kind, r1 AS rank FROM sm UNION ALL SELECT query_id, id, round(s, 6), 'leaf', r2 FROM lf""")
 def q9_tree_traversal(spark, sf):
     from ..operators import trees
 
     n = _tree(spark, sf)
-    return trees.traversal(_node_hits(spark, sf, n), n)
+    return trees.traversal(_node_hits(spark, sf, n), n).select("query_id", "node_id", F.round("score", 6).alias("score"), "kind", F.col("rank").cast("long").alias("rank"))
 
 
-@q()
+@q(f"{_NODE_HITS} SELECT query_id, id AS node_id, round(s, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 9) DESC, id) AS rank FROM h WHERE level = 1 QUALIFY rank <= 3")
 def q9_tree_level(spark, sf):
     from ..operators import trees
 
     n = _tree(spark, sf)
-    return trees.at_level(_node_hits(spark, sf, n), n, 1, 3)
+    return trees.at_level(_node_hits(spark, sf, n), n, 1, 3).select("query_id", "node_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
 @q("SELECT 'd' || d.doc_id AS node_id, md5('[Summary: ' || s.text[1:200] || ']' || chr(10) || chr(10) || d.text) AS m FROM documents d JOIN (SELECT source, min_by(text, doc_id) AS text FROM documents GROUP BY 1) s USING (source)")
@@ -378,11 +386,12 @@ def q6_expanded(spark, sf):
     return expanded(p, p.ingest(t(spark, sf, "documents")), ask, half)
 
 
-@q()
+@q(f"""{_BM25}, x AS (SELECT query_id, doc_id AS chunk_id, rk, len(list_intersect(list_distinct(regexp_extract_all(b.text, '(?s).')), list_distinct(regexp_extract_all(d.text, '(?s).')))) AS s FROM bm25 JOIN benchmark b ON item_id = query_id JOIN documents d USING (doc_id))
+SELECT query_id, chunk_id, rk AS original_rank, s::DOUBLE AS score, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, rk, chunk_id) AS rank FROM x""")
 def x6_scored_rerank(spark, sf):
     """Hits of BM25 by a pair scorer in Arrow batches (here: shared letters)."""
     from ..operators import rerank
 
     docs, ask = t(spark, sf, "documents"), questions(spark, sf)
     hits = index(spark, sf).search(ask).join(docs.select("doc_id", F.col("text").alias("content")), "doc_id").withColumnRenamed("doc_id", "chunk_id")
-    return rerank.scored(hits, ask, lambda: lambda a, b: [len(set(x) & set(y)) for x, y in zip(a, b, strict=True)])
+    return rerank.scored(hits, ask, lambda: lambda a, b: [len(set(x) & set(y)) for x, y in zip(a, b, strict=True)]).select("query_id", "chunk_id", F.col("original_rank").cast("long").alias("original_rank"), "score", F.col("rank").cast("long").alias("rank"))

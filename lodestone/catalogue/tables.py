@@ -33,7 +33,11 @@ def t5_sliding_limit(spark, sf):
     return metrics.sliding_limit(t(spark, sf, "events"), "user_id", "ts", 7200, 2).select("event_id", "seen", "allowed")
 
 
-@q()
+@q("""WITH RECURSIVE e AS (SELECT user_id, epoch_us(ts) / 1e6 AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+b AS (SELECT user_id, n, t, 2.0::DOUBLE AS tokens, 1 AS ok FROM e WHERE n = 1
+  UNION ALL SELECT e.user_id, e.n, e.t, CASE WHEN least(3, tokens + (e.t - b.t) / 7200) >= 1 THEN least(3, tokens + (e.t - b.t) / 7200) - 1 ELSE least(3, tokens + (e.t - b.t) / 7200) END, ok + CASE WHEN least(3, tokens + (e.t - b.t) / 7200) >= 1 THEN 1 ELSE 0 END
+  FROM b JOIN e ON e.user_id = b.user_id AND e.n = b.n + 1)
+SELECT user_id, max(ok)::BIGINT AS accepted, max(n) AS events, max(n) - max(ok) AS refused FROM b GROUP BY 1""")
 def t6_token_bucket(spark, sf):
     return metrics.token_bucket(t(spark, sf, "events"), "user_id", "ts", 1 / 7200, 3.0)
 
@@ -58,17 +62,17 @@ def t10_sessions(spark, sf):
     return streams.sessions(e).select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"), "n")
 
 
-@q("SELECT event_id FROM events WHERE event_id % 3 > 0 OR event_id % 5 = 0")
+@q("SELECT event_id, CASE WHEN event_id % 5 = 0 THEN -value ELSE value END AS v FROM events WHERE (event_id % 3 > 0 OR event_id % 5 = 0) AND event_id % 7 <> 2")
 def s11_upsert(spark, sf):
-    """Create, upsert, delete and scan a table of versions."""
+    """Create, replace and insert, delete and scan."""
     from ..sources.vector_table import VectorTable
 
     e = t(spark, sf, "events").select(F.col("event_id").alias("chunk_id"), F.array("value").alias("embedding"))
     v = VectorTable(spark, f"{Workspace(spark, 'collection').base}/events")
     v.create(e.where("chunk_id % 3 > 0"))
-    v.upsert(e.where("chunk_id % 5 = 0"))
-    v.delete(e.where("chunk_id < 0"))
-    return v.scan().select(F.col("chunk_id").alias("event_id"))
+    v.upsert(e.where("chunk_id % 5 = 0").withColumn("embedding", F.transform("embedding", lambda x: -x)))
+    v.delete(e.where("chunk_id % 7 = 2"))
+    return v.scan().select(F.col("chunk_id").alias("event_id"), F.get("embedding", F.lit(0)).alias("v"))
 
 
 @q("SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS sum_qty, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, round(avg(l_discount), 6) AS avg_disc, count(*) AS n FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY 1, 2")
@@ -84,9 +88,10 @@ def rel_local_supplier(spark, sf):
     return j.groupBy("n_name").agg(F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"))
 
 
-@q("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@q("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 300000)")
 def rel_anti_join(spark, sf):
-    return t(spark, sf, "customer").join(t(spark, sf, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
+    o = t(spark, sf, "orders").where("o_totalprice > 300000")
+    return t(spark, sf, "customer").join(o, F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
 
 
 @q("SELECT o_orderkey FROM orders WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_quantity > 45)")

@@ -35,10 +35,34 @@ def verdict_score(text: Column) -> Column:
     return F.when(score.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), score))).otherwise(default)
 
 
+def _label(text: Column) -> Column:
+    low = F.lower(text)
+    return F.when(low.contains("entail"), "entailment").when(low.contains("contradict"), "contradiction").otherwise("neutral")
+
+
+def nli(text: Column) -> Column:
+    """struct(label, confidence, evidence) of LABEL, CONFIDENCE and EVIDENCE lines; neutral, .5 and an empty text where one lacks."""
+    line = lambda name: F.regexp_extract(text, rf"(?m)^\s*{name}:\s*(.*)$", 1)
+    sure = F.coalesce(number(text, "CONFIDENCE"), F.lit(0.5))
+    return F.struct(_label(line("LABEL")).alias("label"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), sure)).alias("confidence"), F.trim(line("EVIDENCE")).alias("evidence"))
+
+
 def nli_label(text: Column) -> Column:
     """entailment, contradiction or neutral (the default) from the LABEL line."""
-    line = F.lower(F.regexp_extract(text, r"(?m)^\s*LABEL:\s*(.*)$", 1))
-    return F.when(line.contains("entail"), "entailment").when(line.contains("contradict"), "contradiction").otherwise("neutral")
+    return nli(text)["label"]
+
+
+def nli_batch(text: Column, claims: Column) -> Column:
+    """An array of struct(label, confidence, evidence), one for each of `claims` numbered claims, of lines
+    `CLAIM_n: label | confidence | evidence`; a claim without a line is neutral with confidence .5."""
+
+    def one(n: Column) -> Column:
+        line = F.call_function("regexp_extract", text, F.concat(F.lit(r"(?m)^\s*CLAIM_"), n.cast("string"), F.lit(r":\s*(.*)$")), F.lit(1))
+        part = lambda i: F.trim(F.coalesce(F.get(F.split(line, r"\|"), F.lit(i)), F.lit("")))
+        sure = F.coalesce(part(1).try_cast("double"), F.lit(0.5))
+        return F.struct(_label(part(0)).alias("label"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), sure)).alias("confidence"), part(2).alias("evidence"))
+
+    return F.transform(F.when(claims > 0, F.sequence(F.lit(1), claims.cast("int"))).otherwise(F.array().cast("array<int>")), one)
 
 
 def support(text: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vector as vec
+from ..session import Workspace
 from .retrieval import in_blocks
 
 
@@ -37,9 +38,27 @@ def split(texts: DataFrame, cache: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def evict_oldest(cache: DataFrame, share: float = 0.1) -> DataFrame:
-    """Without the oldest share of entries (rounded down, one at least). Cut by a rank within created time; ties by entry."""
-    n = cache.count()
-    gone = cache.orderBy("created_at", "entry_id").limit(max(1, int(n * share))).select("entry_id")
+    """Without the oldest share of entries (rounded down, one at least); ties by entry.
+
+    Entries are dealt into ranges by age and written; the counts of the ranges (one row each) say which go as a whole,
+    and only the range that the cut falls into is ranked.
+    """
+    spark = cache.sparkSession
+    work = Workspace(spark, "evict")
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    dealt = cache.select("entry_id", "created_at").repartitionByRange(parts, "created_at", "entry_id")
+    dealt = work.table("ranges", dealt.withColumn("part", F.spark_partition_id()))
+    sizes = sorted((r["part"], r["n"]) for r in dealt.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect())
+    left, whole, edge = max(1, int(sum(n for _, n in sizes) * share)), [], -1
+    for part, n in sizes:
+        if n > left:
+            edge = part
+            break
+        whole.append(part)
+        left -= n
+    w = Window.orderBy("created_at", "entry_id")
+    ranked = dealt.where(F.col("part") == edge).withColumn("r", F.row_number().over(w)).where(F.col("r") <= left)
+    gone = dealt.where(F.col("part").isin(whole)).select("entry_id").unionByName(ranked.select("entry_id"))
     return cache.join(gone, "entry_id", "left_anti")
 
 

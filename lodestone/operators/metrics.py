@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,17 +21,33 @@ def sliding_limit(rows: DataFrame, by: str, ts: str, seconds: int, most: int) ->
 
 
 def token_bucket(rows: DataFrame, by: str, ts: str, rate: float, capacity: float, tie: str = "event_id") -> DataFrame:
-    """Per key the accepted and refused events of a bucket that refills at `rate` a second: a fold in time order."""
-    at = F.unix_micros(F.col(ts).cast("timestamp")) / 1e6
-    per = rows.groupBy(by).agg(F.array_sort(F.collect_list(F.struct(at.alias("t"), F.col(tie).alias("k")))).alias("e"))
-    zero = F.struct(F.lit(float(capacity)).alias("tokens"), F.get("e", F.lit(0))["t"].alias("t"), F.lit(0).alias("ok"))
-
-    def step(acc: Column, x: Column) -> Column:
-        have = F.least(F.lit(float(capacity)), acc["tokens"] + (x["t"] - acc["t"]) * rate)
-        ok = have >= 1
-        return F.struct(F.when(ok, have - 1).otherwise(have).alias("tokens"), x["t"].alias("t"), (acc["ok"] + ok.cast("int")).alias("ok"))
-
-    return per.select(by, F.aggregate("e", zero, step, lambda a: a["ok"]).alias("accepted"), F.size("e").alias("events")).withColumn("refused", F.col("events") - F.col("accepted"))
+    """Per key the accepted and refused events of a bucket that refills at `rate` a second.
+
+    Events are sorted by key and time and go through one pass; a key's state is two numbers, so a hot key needs no
+    memory of its own.
+    """
+    at = (F.unix_micros(F.col(ts).cast("timestamp")) / 1e6).alias("t")
+    dealt = rows.select(F.col(by), at, F.col(tie)).repartition(by).sortWithinPartitions(by, "t", tie)
+    kind = dict(dealt.dtypes)[by]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, tokens, last, ok, n = None, capacity, 0.0, 0, 0
+        done: list[tuple] = []
+        for frame in frames:
+            for k, t in zip(frame[by].tolist(), frame["t"].tolist(), strict=True):
+                if n == 0 or k != key:
+                    if n:
+                        done.append((key, ok, n, n - ok))
+                    key, tokens, last, ok, n = k, capacity, t, 0, 0
+                tokens, last, n = min(capacity, tokens + (t - last) * rate), t, n + 1
+                if tokens >= 1:
+                    tokens, ok = tokens - 1, ok + 1
+            yield pd.DataFrame(done, columns=[by, "accepted", "events", "refused"])
+            done.clear()
+        if n:
+            yield pd.DataFrame([(key, ok, n, n - ok)], columns=[by, "accepted", "events", "refused"])
+
+    return dealt.mapInPandas(run, f"{by} {kind}, accepted long, events long, refused long")
 
 
 def chunk_stats(chunks: DataFrame, by: str = "doc_id") -> DataFrame:

@@ -16,7 +16,7 @@ def collapsed(hits: DataFrame, nodes: DataFrame, k: int = 10, prefix: int = 100)
     rows = top(hits, 2 * k, "node_id").join(nodes.select("node_id", "level", "content"), "node_id")
     w = Window.partitionBy("query_id", F.substring("content", 1, prefix)).orderBy("rank", "node_id")
     rows = rows.withColumn("__n", F.row_number().over(w)).where("__n = 1")
-    order = Window.partitionBy("query_id").orderBy("level", F.desc("score"), "node_id")
+    order = Window.partitionBy("query_id").orderBy("level", F.round("score", 9).desc(), "node_id")
     return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "node_id", "level", "score", "rank")
 
 
@@ -26,7 +26,7 @@ def traversal(hits: DataFrame, nodes: DataFrame, k: int = 9) -> DataFrame:
     summaries = top(rows.where("is_summary"), max(1, k // 3), "node_id")
     chosen = summaries.select("query_id", F.col("node_id").alias("parent_id"), F.lit(1).alias("below"))
     leaves = rows.where("not is_summary").join(chosen, ["query_id", "parent_id"], "left")
-    w = Window.partitionBy("query_id").orderBy(F.coalesce("below", F.lit(0)).desc(), F.desc("score"), "node_id")
+    w = Window.partitionBy("query_id").orderBy(F.coalesce("below", F.lit(0)).desc(), F.round("score", 9).desc(), "node_id")
     leaves = leaves.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k - max(1, k // 3))
     pick = lambda df, kind: df.select("query_id", "node_id", "score", F.lit(kind).alias("kind"), "rank")
     return pick(summaries, "summary").unionByName(pick(leaves, "leaf"))

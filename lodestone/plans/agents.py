@@ -86,3 +86,51 @@ def orchestrate(query: str, route: Callable[[str], str], retrieve: Callable[[str
         if score >= 0.7:
             break
     return {"answer": answer, "history": [*history, "complete"], "rounds": i, "score": score}
+
+
+# The mean score that an answer must reach.
+PASS = 0.7
+
+
+@dataclass
+class Verdict:
+    scores: dict[str, float]
+    feedback: list[str]
+
+    @property
+    def mean(self) -> float:
+        return sum(self.scores.values()) / max(len(self.scores), 1)
+
+    @property
+    def passed(self) -> bool:
+        return self.mean >= PASS
+
+
+def criticise(answer: str, critics: dict[str, Callable[[str], float]], advice: dict[str, str] | None = None) -> Verdict:
+    """Scores of an answer, clamped to 0..1 (a critic that fails gives .5), and advice where one is below .5."""
+    scores = {}
+    for name, f in critics.items():
+        try:
+            scores[name] = min(1.0, max(0.0, float(f(answer))))
+        except Exception:
+            scores[name] = 0.5
+    return Verdict(scores, [(advice or {}).get(n, f"Improve {n}.") for n, s in scores.items() if s < 0.5])
+
+
+def react(question: str, think: Callable[[str, list[dict]], dict], tools: dict[str, Callable[..., object]], rounds: int = 5) -> dict:
+    """Thought, action, observation in turn: think(question, trace) gives {"thought", "action", "input"} or {"thought", "answer"}.
+
+    Unknown tools and tools that fail become observations; without an answer after `rounds` the answer is None.
+    """
+    trace: list[dict] = []
+    for _ in range(rounds):
+        step = dict(think(question, trace))
+        if "answer" in step:
+            return {"answer": step["answer"], "trace": [*trace, step]}
+        tool = tools.get(step.get("action", ""))
+        try:
+            step["observation"] = tool(**step.get("input", {})) if tool else f"no tool named {step.get('action')}; there are {sorted(tools)}"
+        except Exception as e:
+            step["observation"] = f"{type(e).__name__}: {e}"
+        trace.append(step)
+    return {"answer": None, "trace": trace}

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..operators import cluster
+from .retry import gathered, retried
 
 
 class Generator(Protocol):
@@ -43,30 +44,25 @@ class RecordedGenerator:
 
 
 class CallGenerator:
-    """Calls a client once per prompt inside Arrow batches, with retries; the client is built once per worker batch stream."""
+    """Calls a client once per prompt inside Arrow batches, `at_once` at a time, with jittered retries; the client is
+    built once per worker batch stream. A call that fails for good gives a null response and its error."""
 
-    def __init__(self, client: Callable[[], Callable[[str], str]], retries: int = 3):
-        self.client, self.retries = client, retries
+    def __init__(self, client: Callable[[], Callable[[str], str]], retries: int = 3, base: float = 1.0, at_once: int = 4):
+        self.client, self.retries, self.base, self.at_once = client, retries, base, at_once
 
     def generate(self, prompts: DataFrame) -> DataFrame:
-        make, retries = self.client, self.retries
+        make, retries, base, at_once = self.client, self.retries, self.base, self.at_once
 
         def run(frames):
             call = make()
             for frame in frames:
-                out = []
-                for q, c in zip(frame["query"], frame["context"], strict=True):
-                    for attempt in range(retries):
-                        try:
-                            out.append(call(f"{c}\n\n{q}"))
-                            break
-                        except Exception as e:
-                            if attempt == retries - 1:
-                                out.append(f"error: {e}")
-                yield frame[["query_id"]].assign(response=out)
+                asked = [f"{c}\n\n{q}" for q, c in zip(frame["query"], frame["context"], strict=True)]
+                out = gathered(retried(call, retries, base), asked, at_once)
+                failed = [isinstance(x, Exception) for x in out]
+                yield frame[["query_id"]].assign(response=[None if f else x for x, f in zip(out, failed, strict=True)], error=[str(x) if f else None for x, f in zip(out, failed, strict=True)])
 
         kind = dict(prompts.dtypes)["query_id"]
-        return prompts.select("query_id", "query", "context").mapInPandas(run, f"query_id {kind}, response string")
+        return prompts.select("query_id", "query", "context").mapInPandas(run, f"query_id {kind}, response string, error string")
 
 
 class HashEmbedder:

@@ -48,8 +48,11 @@ def load(spark: SparkSession, path: str, recursive: bool = True) -> DataFrame:
     """(source, filename, extension, size_bytes, text, error) of every supported file below a path."""
     files = scan(spark, path, recursive)
     keep = ["source", "filename", "extension", "size_bytes"]
-    plain = files.where(F.col("extension").isin(*TEXT)).select(*keep, F.try_validate_utf8(F.decode("content", "UTF-8")).alias("text"), F.lit(None).cast("string").alias("error"))
-    pages = files.where(F.col("extension").isin(*PAGES)).select(*keep, tx.strip_html(F.decode("content", "UTF-8")).alias("text"), F.lit(None).cast("string").alias("error"))
+    valid = F.try_validate_utf8(F.col("content").cast("string"))
+    files = files.withColumn("valid", F.when(F.col("extension").isin(*TEXT, *PAGES), valid))
+    error = F.when(F.col("valid").isNull(), "not UTF-8").alias("error")
+    plain = files.where(F.col("extension").isin(*TEXT)).select(*keep, F.col("valid").alias("text"), error)
+    pages = files.where(F.col("extension").isin(*PAGES)).select(*keep, tx.strip_html(F.col("valid")).alias("text"), error)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -61,7 +64,7 @@ def load(spark: SparkSession, path: str, recursive: bool = True) -> DataFrame:
                     out.append((None, f"{type(e).__name__}: {e}"))
             yield frame[keep].assign(text=[x[0] for x in out], error=[x[1] for x in out])
 
-    other = files.where(F.col("extension").isin("docx", "pdf")).mapInPandas(run, "source string, filename string, extension string, size_bytes long, text string, error string")
+    other = files.where(F.col("extension").isin("docx", "pdf")).select(*keep, "content").mapInPandas(run, "source string, filename string, extension string, size_bytes long, text string, error string")
     return plain.unionByName(pages).unionByName(other)
 
 

@@ -188,6 +188,10 @@ def test_vector_table(spark, tmp_path):
     q = spark.createDataFrame([(1, [1.0, 0.0])], "query_id long, embedding array<double>")
     assert [r.chunk_id for r in v.search(q, 5, filters={"lang": ["a"]}).collect()] == [1, 3]
     v.delete(row((1, [0.0], "")))
+    assert [r.chunk_id for r in v.get(row((1, [0.0], ""), (3, [0.0], ""))).collect()] == [3]
+    from lodestone.sources.vector_table import collections
+
+    assert collections(spark, str(tmp_path)) == ["c"] and len(v.versions()) == 3
     assert v.copy_to(str(tmp_path / "d")).count() == 2
     v.drop()
     assert not v.exists()
@@ -199,8 +203,10 @@ def test_files(spark, tmp_path):
     (tmp_path / "in" / "b.html").write_text("<title>T</title><script>x</script><p>one</p><p>two  three</p>")
     (tmp_path / "in" / "c.docx").write_bytes(b"no zip")
     (tmp_path / "in" / "d.bin").write_bytes(b"x")
+    (tmp_path / "in" / "e.txt").write_bytes(b"\xff\xfe bad")
+    (tmp_path / "in" / "f.html").write_bytes(b"<p>\xff</p>")
     rows = {r.filename: r for r in files.load(spark, str(tmp_path / "in")).collect()}
-    assert set(rows) == {"a.txt", "b.html", "c.docx"} and rows["a.txt"].text == "plain é" and rows["b.html"].text == "T\none\ntwo\nthree" and rows["c.docx"].error
+    assert set(rows) == {"a.txt", "b.html", "c.docx", "e.txt", "f.html"} and all(rows[k].text is None and rows[k].error for k in ("c.docx", "e.txt", "f.html")) and rows["a.txt"].error is None and rows["a.txt"].text == "plain é" and rows["b.html"].text == "T\none\ntwo\nthree" and rows["c.docx"].error
 
 
 def test_streams(spark, tmp_path):
@@ -213,16 +219,25 @@ def test_streams(spark, tmp_path):
     assert sorted(map(tuple, got)) == sorted(map(tuple, want))
     docs = spark.createDataFrame([(1, "One sentence that is here. " * 40)], "doc_id long, text string")
     docs.write.parquet(str(tmp_path / "docs"))
-    q = streams.ingest(spark.readStream.schema(docs.schema).parquet(str(tmp_path / "docs")), str(tmp_path / "out"), str(tmp_path / "cp")).trigger(availableNow=True).start()
-    q.awaitTermination()
-    assert spark.read.parquet(str(tmp_path / "out")).count() == chunking.sentence_chunks(docs).count()
+    table = VectorTable(spark, str(tmp_path / "out"))
+    for text in ("One sentence that is here. " * 40, "A shorter text that comes later, long enough to be a chunk of its own, as it should be here. " * 2):
+        new = spark.createDataFrame([(1, text)], "doc_id long, text string")
+        new.write.mode("append").parquet(str(tmp_path / "docs2"))
+        q = streams.ingest(spark.readStream.schema(docs.schema).parquet(str(tmp_path / "docs2")), table, str(tmp_path / "cp"), cluster.hash_embed).trigger(availableNow=True).start()
+        q.awaitTermination()
+        want = {r.content for r in chunking.sentence_chunks(new).collect()}
+        assert {r.content for r in table.scan().collect()} == want  # a document that comes again replaces its chunks
 
 
 def test_stateful_streams(spark, tmp_path):
     t = spark.createDataFrame([(1, k, "user", f"m{k}") for k in range(14)], "conv_id long, turn long, role string, text string")
     t.write.parquet(str(tmp_path / "t"))
-    got = streams.drain(streams.chat_history(spark.readStream.schema(t.schema).parquet(str(tmp_path / "t"))), "d3", "append").collect()
+    got = streams.drain(streams.chat_history(spark.readStream.schema(t.schema).parquet(str(tmp_path / "t")), idle_ms=None), "d3", "append").collect()
     assert got[-1].history == [f"user: m{k}" for k in range(4, 14)]
+    e = spark.createDataFrame([(i, 1 + i % 2, f"2024-01-01 00:00:0{i}") for i in range(8)], "event_id long, user_id long, ts string").withColumn("ts", F.col("ts").cast("timestamp"))
+    e.write.parquet(str(tmp_path / "e"))
+    got = streams.drain(streams.limited(spark.readStream.schema(e.schema).parquet(str(tmp_path / "e")), 0.25, 1.0, None), "d4", "append").collect()
+    assert sorted((r.user_id, r.accepted, r.refused) for r in got) == sorted((r.user_id, r.accepted, r.refused) for r in metrics.token_bucket(e, "user_id", "ts", 0.25, 1.0).collect())
 
 
 def test_pipeline(spark):
@@ -284,7 +299,125 @@ def test_trees_and_mixtures_take_whole_documents_and_vectors(spark):
     assert rows(all_queries.QUERIES["a17_mixture"](spark, DATA)) == rows(cluster.mixture_groups(e, "label"))
 
 
-QUICK = ["f1_tokens", "a2_document_frequency", "s_bm25_topk", "j1_dense_cosine", "a5_rrf", "f6_sentence_chunks", "f13_markdown_chunks", "a9_merge_entities", "j10_neighbours", "f32_verdicts", "t10_sessions", "rel_windows"]
+def test_ingester(spark, tmp_path):
+    from lodestone.plans.ingest import BatchIngester
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.txt").write_text("A text that is long enough to be a chunk. " * 5)
+    (tmp_path / "in" / "b.txt").write_bytes(b"\xff\xfe")
+    (tmp_path / "in" / "c.md").write_text("  ")
+    ingester = BatchIngester(VectorTable(spark, str(tmp_path / "t")))
+    status = lambda: {r.source.split("/")[-1]: (r.status, r.chunks) for r in ingester.ingest_folder(spark, str(tmp_path / "in")).collect()}
+    assert status() == {"a.txt": ("ingested", 1), "b.txt": ("failed", 0), "c.md": ("failed", 0)}
+    assert status()["a.txt"] == ("known", 0)
+    (tmp_path / "in" / "a.txt").write_text("Another text that is long enough to be a chunk. " * 5)
+    rows = ingester.ingest_folder(spark, str(tmp_path / "in"))
+    assert ingester.summary(rows).first()[:4] == (3, 1, 0, 2) and ingester.table.count() == 1
+
+
+def test_index_is_rebuilt_when_files_change(spark, tmp_path):
+    from lodestone.operators.lexical_index import for_table
+
+    path = str(tmp_path / "docs.parquet")
+    ask = spark.createDataFrame([(1, "red apple")], "query_id long, query string")
+    write = lambda *texts: spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).write.mode("overwrite").parquet(path)
+    write("a red apple", "a green pear", "red red wine")
+    found = lambda: [(r.doc_id, round(r.score, 9)) for r in for_table(spark, path).search(ask).orderBy("rank").collect()]
+    plain = lambda: [(r.doc_id, round(r.score, 9)) for r in retrieval.bm25(spark.read.parquet(path), ask).orderBy("rank").collect()]
+    assert found() == plain() and found()[0][0] == 0
+    index = for_table(spark, path)
+    assert index is for_table(spark, path)
+    write("nothing here", "an apple", "red apple, red apple", "")
+    assert found() == plain() and found()[0][0] == 2
+    docs = spark.read.parquet(path)
+    held = spark.createDataFrame([(1, "apple, red"), (2, "an"), (3, "missing words here"), (4, "red apple, red apple")], "query_id long, query string")
+    assert sorted(map(tuple, for_table(spark, path).containing(docs, held).collect())) == [(1, 2), (2, 1), (4, 2)]
+
+
+def test_eviction_is_exact(spark):
+    c = spark.createDataFrame([(i, (i * 7) % 10) for i in range(100)], "entry_id long, created_at long")
+    want = sorted(((i * 7) % 10, i) for i in range(100))[23:]
+    assert sorted((r.created_at, r.entry_id) for r in caching.evict_oldest(c, 0.23).collect()) == want
+
+
+def test_tracing_events_and_retries(spark, tmp_path):
+    from lodestone.plans.answers import MicroBatcher, answer_events, as_sse
+    from lodestone.plans.retry import gathered, retried
+    from lodestone.plans.tracing import EventBus, Tracer
+
+    tracer, bus, seen = Tracer(), EventBus(), []
+    with pytest.raises(ZeroDivisionError), tracer.span("outer", k=1), tracer.span("inner"):
+        1 / 0
+    assert tracer.flush(spark, str(tmp_path / "spans")) == 2
+    spans = {r.name: r for r in spark.read.parquet(str(tmp_path / "spans")).collect()}
+    assert spans["inner"].parent_id == spans["outer"].span_id and "ZeroDivision" in spans["outer"].error
+    stop = bus.subscribe("a", lambda k, p: seen.append((k, p)))
+    bus.subscribe("*", lambda k, p: 1 / 0)
+    bus.emit("a", x=1)
+    stop()
+    bus.emit("a", x=2)
+    assert seen == [("a", {"x": 1})] and len(bus.errors) == 2 and bus.table(spark).count() == 2
+    waits, calls = [], []
+
+    def shaky(x):
+        calls.append(x)
+        if len(calls) < 3:
+            raise OSError("no")
+        return x + 1
+
+    assert retried(shaky, 3, 1.0, 60.0, 7, waits.append)(1) == 2 and 0.5 <= waits[0] <= 1.5 and 1 <= waits[1] <= 3
+    assert [type(x) for x in gathered(lambda x: 1 / x, [1, 0])] == [float, ZeroDivisionError]
+    events = list(answer_events("q", [("retrieve", list)], lambda: [1], lambda: "one two three four"))
+    assert [e["type"] for e in events] == ["query", "step", "sources", "chunk", "chunk", "done"] and "".join(e["content"] for e in events if e["type"] == "chunk") == "one two three four"
+    assert list(answer_events("q", [], lambda: 1 / 0, str))[-1]["type"] == "error" and next(as_sse(events)).startswith("event: query\n")
+    clock = iter([0.0, 0.0, 0.0, 5.0, 9.0]).__next__
+    m = MicroBatcher(lambda b: [sum(b)], 2, 1.0, clock)
+    assert m.add(1) == [] and m.add(2) == [3] and m.flush() == []
+
+
+def test_critics_and_react():
+    v = agents.criticise("abc", {"long": lambda a: len(a) / 10, "bad": lambda a: 1 / 0, "high": lambda a: 7}, {"long": "Say more."})
+    assert v.scores == {"long": 0.3, "bad": 0.5, "high": 1.0} and v.feedback == ["Say more."] and not v.passed
+    out = agents.react("q", lambda q, t: {"answer": t[-1]["observation"]} if len(t) == 3 else [{"action": "none"}, {"action": "boom"}, {"action": "add", "input": {"a": 2, "b": 3}}][len(t)], {"add": lambda a, b: a + b, "boom": lambda: 1 / 0})
+    assert out["answer"] == 5 and "no tool" in out["trace"][0]["observation"] and "ZeroDivision" in out["trace"][1]["observation"]
+    assert agents.react("q", lambda q, t: {"action": "x"}, {}, 2)["answer"] is None
+
+
+def test_calls_that_fail_give_no_answer(spark):
+    prompts = spark.createDataFrame([(1, "good", "c"), (2, "bad", "c")], "query_id long, query string, context string")
+
+    def client():
+        def call(p):
+            if "bad" in p:
+                raise OSError("down")
+            return p.upper()
+
+        return call
+
+    got = {r.query_id: r for r in providers.CallGenerator(client, 2, 0.0).generate(prompts).collect()}
+    assert "GOOD" in got[1].response and got[2].response is None and "down" in got[2].error
+
+
+def test_graph_building(spark):
+    docs = spark.createDataFrame([(1, "The Acme Corp of Torvik. ACME corp!"), (2, "torvik torvik"), (3, None)], "doc_id long, text string")
+    names = spark.createDataFrame([("acme corp", "Organization"), ("torvik", "Location"), ("absent one", "Other")], "name string, type string")
+    found = graph.dictionary_entities(docs, names)
+    assert sorted(map(tuple, found.collect())) == [(1, "acme corp", "Organization", 2), (1, "torvik", "Location", 1), (2, "torvik", "Location", 2)]
+    answer = 'ok {"entities": [{"name": " A ", "type": "Person"}, {"name": "B", "type": "Thing"}, {"name": " "}], "relationships": [{"source": "A", "target": "B"}, {"source": "A"}]}'
+    rows = spark.createDataFrame([(1, answer), (2, "none")], "chunk_id long, response string")
+    assert [(r.name, r.type) for r in graph.parsed_entities(rows, "chunk_id").orderBy("name").collect()] == [("A", "Person"), ("B", "Other")]
+    assert [(r.src, r.dst, r.type) for r in graph.parsed_relationships(rows, "chunk_id").collect()] == [("A", "B", "RELATED_TO")]
+
+
+def test_modularity_finds_two_cliques(spark):
+    pairs = [(a, b) for c in (0, 10) for a in range(c, c + 5) for b in range(a + 1, c + 5)] + [(4, 10)]
+    edges = spark.createDataFrame([(a, b, 1.0) for a, b in pairs], "src_id long, dst_id long, weight double")
+    nodes = spark.createDataFrame([(i,) for i in [*range(5), *range(10, 15)]], "id long")
+    label = {r.id: r.component for r in graph.modularity_communities(edges, nodes, Workspace(spark, "cliques"), 10).collect()}
+    assert len({label[i] for i in range(5)}) == 1 and len({label[i] for i in range(10, 15)}) == 1 and label[0] != label[10]
+
+
+QUICK = ["f1_tokens", "a2_document_frequency", "s_bm25_topk", "j1_dense_cosine", "a5_rrf", "f6_sentence_chunks", "f13_markdown_chunks", "a9_merge_entities", "j10_neighbours", "f32_verdicts", "t10_sessions", "rel_windows", "q4_multi_query", "q8_adaptive", "f9_semantic_chunks", "f11_hierarchical_chunks", "s11_upsert", "s15_batch_ingest", "q15_compress", "f33_nli_batch", "q14_graph_hybrid"]
 
 
 @pytest.mark.parametrize("name", QUICK)
