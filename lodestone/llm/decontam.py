@@ -276,7 +276,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
 
     Texts are lower-cased in A-Z and their words joined by single spaces; a document holds an item if some part of it
     is within percent % of the item's bytes in edit distance. One row per row of docs and item; ends_at is the byte
-    after the best match. Rows that repeat are reported apart; null ids are kept; null and empty texts hold nothing,
+    after the best match. Of equally near places the first is reported. Rows that repeat are
+    reported apart; very long texts are searched whole; an empty table gives no rows; null ids are kept; null and empty texts hold nothing,
     as do all texts if the benchmark is empty. Other columns are ignored. Each block of items is one scan of docs.
     """
     spark = docs.sparkSession

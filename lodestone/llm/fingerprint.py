@@ -73,7 +73,8 @@ def chunk_ends(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 def fingerprints(texts: list[str]) -> list[np.ndarray]:
-    """Per text the sorted digests, each packed as 40 bits of digest and 24 bits of covered bytes (saturating)."""
+    """Per text the sorted digests, each packed as 40 bits of digest and 24 bits of covered bytes; a digest that covers
+    more stands several times."""
     data, offsets = buffers(pa.array(texts, pa.large_string()))
     begin, end = chunk_ends(data, offsets)
     raw, digest = data.tobytes(), xxhash.xxh64_intdigest
@@ -83,22 +84,38 @@ def fingerprints(texts: list[str]) -> list[np.ndarray]:
     out = []
     for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
         own, back = np.unique(codes[a:b], return_inverse=True)
-        weight = np.minimum(np.bincount(back, sizes[a:b], len(own)), (1 << _WEIGHT_BITS) - 1).astype(np.uint64)
-        out.append((own << np.uint64(_WEIGHT_BITS)) | weight)
+        out.append(_packed(own, np.bincount(back, sizes[a:b], len(own)).astype(np.int64)))
     return out
 
 
+_FULL = (1 << _WEIGHT_BITS) - 1
+
+
+def _packed(own: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    times = -(-weight // _FULL)
+    first = np.cumsum(times) - times
+    shares = np.full(int(times.sum()), _FULL, np.int64)
+    shares[first + times - 1] = weight - (times - 1) * _FULL
+    return np.sort(np.repeat(own, times) << np.uint64(_WEIGHT_BITS) | shares.astype(np.uint64))
+
+
+def _weights(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct digests and the bytes each covers."""
+    digest, weight = fp >> np.uint64(_WEIGHT_BITS), (fp & np.uint64(_FULL)).astype(np.int64)
+    first = np.flatnonzero(np.concatenate(([True], digest[1:] != digest[:-1])))
+    return digest[first], np.add.reduceat(weight, first)
+
+
 def containment(a: np.ndarray, b: np.ndarray) -> float:
     """The share of a's weight that b also holds; 1 for two empty fingerprints, 0 if only a is empty."""
     if not len(a):
         return float(not len(b))
     if not len(b):
         return 0.0
-    low, shift = np.uint64((1 << _WEIGHT_BITS) - 1), np.uint64(_WEIGHT_BITS)
-    da, db = a >> shift, b >> shift
+    (da, wa), (db, wb) = _weights(a), _weights(b)
     at = np.minimum(np.searchsorted(db, da), len(db) - 1)
     same = db[at] == da
-    return float(np.minimum(a[same] & low, b[at[same]] & low).sum() / (a & low).sum())
+    return float(np.minimum(wa[same], wb[at[same]]).sum() / wa.sum())
 
 
 def encode(fp: np.ndarray) -> str:
@@ -209,7 +226,8 @@ def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     (containment of the document's fingerprint in the edited text's and in the next document's, 0 to 1).
 
     Null text counts as empty; null ids sort first; rows with equal ids are ordered by text, each is a document of
-    its own; other columns are ignored whatever their names. An empty table gives no rows. A single document follows itself.
+    its own; very long texts are taken whole; other columns are ignored whatever their names. An empty table gives no
+    rows. A single document follows itself. Rows of one id (all null ids are one) are in one run.
     """
     ship(docs.sparkSession)
     rows, _ = with_successor(docs, id_col, text_col)

@@ -129,7 +129,12 @@ def score(docs: DataFrame, weights: np.ndarray, text: str = "text", threshold: f
 
 
 def classify(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int = 5, held: int = 0, threshold: float = 0.3, most: int = 5000) -> DataFrame:
-    """doc_id, held_out, score, predicted for every row; a null id isn't held out."""
+    """doc_id, held_out, score, predicted for every row; a null id isn't held out.
+
+    Rows that repeat are scored apart, equal texts alike; null and empty texts get a score without evidence, very long
+    ones are taken whole; an empty table gives no rows and no labels (or one class only) leave every score at its
+    neutral value. Other columns are ignored whatever their names.
+    """
     weights = train(docs, labels, label, most, folds, held)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(remainder("doc_id", folds) == held, F.lit(False)).alias("held_out"), F.col("text").cast("string").alias("text"))
     return score(rows, weights, threshold=threshold).drop("text")

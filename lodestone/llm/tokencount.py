@@ -122,7 +122,8 @@ def count_tokens(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
 
     Words are `[^\\x20\\x09-\\x0D]+`; each is split as a space followed by its UTF-8 bytes, longest piece first. The
     vocabulary is that of the byte-level file at `path` (its size bounds the broadcast). Null, empty and white texts
-    have 0 words and 0 tokens. Input columns named as the new ones are replaced.
+    have 0 words and 0 tokens; very long texts and words are taken whole (a long word costs one round a byte); rows that
+    repeat are rows of their own; an empty table gives no rows. Input columns named as the new ones are replaced.
     """
     spark = docs.sparkSession
     ship(spark)

@@ -1,6 +1,8 @@
 import hashlib
 import json
+import os
 import random
+import re
 import zlib
 
 import numpy as np
@@ -11,6 +13,7 @@ from pyspark.sql import functions as F
 
 from lodestone.llm import bpe, decontam, fingerprint, jaccard, linededup, quality, sharding, substrdup, tokencount, toxicity
 
+from ..conftest import DATA
 from . import helpers as h
 
 
@@ -484,3 +487,138 @@ def test_levels_double(spark, window):
     assert sorted(((x.doc_id, x.n_words, x.n_removed, x.kept_text) for x in got), key=h.key) == sorted(h.remove_repeats(rows, window), key=h.key)
     alone = [(k, h.prose(400 + k, 100, 10**6)) for k in range(5)]
     assert all(x.n_removed == 0 for x in substrdup.remove_repeats(h.frame(spark, alone), window=window).collect())
+
+
+# Plain versions of what trains and chunks
+
+
+def plain_chunks(text):
+    """Bytes of each distinct chunk: the gear hash, its masks and limits written out byte by byte."""
+    raw, out, begin = text.encode(), {}, 0
+    gear = [int(x) for x in fingerprint._GEAR]
+    while begin < len(raw):
+        end = begin
+        while True:
+            end += 1
+            n = end - begin
+            if end == len(raw) or n == fingerprint.MOST:
+                break
+            value = sum(gear[raw[end - 1 - j]] << j for j in range(min(fingerprint.SPAN, end))) & 0xFFFFFFFF
+            if n >= fingerprint.LEAST and value >> (32 - (fingerprint.STRICT if n <= fingerprint.MEAN - 1 else fingerprint.LAX)) == 0:
+                break
+        piece = raw[begin:end]
+        out[piece] = out.get(piece, 0) + len(piece)
+        begin = end
+    return out
+
+
+def test_fingerprints_equal_plain_chunks():
+    texts = [h.prose(800, 700), "x" * 900 + h.prose(801, 50), "short", "日本語のテキスト" * 60]
+    texts.append(texts[0][:2000] + h.prose(802, 300))
+    for t in texts:
+        want = plain_chunks(t)
+        digest, weight = fingerprint._weights(fingerprint.fingerprints([t])[0])
+        assert sorted(weight.tolist()) == sorted(want.values()) and len(digest) == len(want)
+    a, b = plain_chunks(texts[0]), plain_chunks(texts[4])
+    marks = fingerprint.fingerprints(texts)
+    assert fingerprint.containment(marks[0], marks[4]) == sum(min(n, b.get(x, 0)) for x, n in a.items()) / sum(a.values())
+
+
+def test_fingerprint_weights_beyond_their_bits():
+    own, weight = np.array([3, 9], np.uint64), np.array([fingerprint._FULL * 2 + 5, 7])
+    digest, got = fingerprint._weights(fingerprint._packed(own, weight))
+    assert digest.tolist() == [3, 9] and got.tolist() == weight.tolist()
+
+
+def test_leader_equals_plain_updates():
+    r, leader, z, n = random.Random(3), quality.Leader(), {}, {}
+
+    def weight(i):
+        if abs(z.get(i, 0)) <= leader.l1:
+            return 0.0
+        return -(z[i] - (1 if z[i] > 0 else -1) * leader.l1) / ((leader.beta + n[i] ** 0.5) / leader.alpha + leader.l2)
+
+    for _ in range(200):
+        x = {i: r.random() for i in r.sample(range(40), 6)}
+        y, scale = r.randrange(2), r.choice([0.7, 1.9])
+        at = sorted(x)
+        leader.learn(np.array(at), np.array([x[i] for i in at]), y, scale)
+        w = {i: weight(i) for i in x}
+        p = 1 / (1 + np.exp(-sum(w[i] * x[i] for i in x)))
+        for i in x:
+            g = scale * (p - y) * x[i]
+            old = n.get(i, 0.0)
+            n[i] = old + g * g
+            z[i] = z.get(i, 0.0) + g - (n[i] ** 0.5 - old**0.5) / leader.alpha * w[i]
+    assert leader.weights(np.arange(40)).tolist() == pytest.approx([weight(i) for i in range(40)])
+
+
+def plain_kneser_ney(ordinary, toxic, context, byte):
+    """log P(byte | context, toxic) - log P(byte | context, ordinary) by recursion over counts; context of up to five bytes."""
+    top = toxicity.ORDER
+    counts = [{}, {}]
+    for y, texts in enumerate((ordinary, toxic)):
+        for t in texts:
+            for word in re.findall("[^ ]* |[^ ]+", t):  # the space after a word is its last byte
+                for i in range(len(word)):
+                    seen = (" " * top + word[: i + 1])[-top:]
+                    counts[y][seen] = counts[y].get(seen, 0) + 1
+    levels = {top: counts}
+    for k in range(top - 1, 0, -1):
+        levels[k] = [{}, {}]
+        for y in (0, 1):
+            for g in levels[k + 1][y]:
+                levels[k][y][g[1:]] = levels[k][y].get(g[1:], 0) + 1
+    d = toxicity.DISCOUNT
+
+    def discounted(table, g, lower):
+        same = {x: c for x, c in table.items() if x[:-1] == g[:-1]}
+        total = sum(same.values())
+        return (max(same.get(g, 0) - d, 0) + d * len(same) * lower) / total if total else lower
+
+    def both(k):
+        return {g: levels[k][0].get(g, 0) + levels[k][1].get(g, 0) for g in {*levels[k][0], *levels[k][1]}}
+
+    def shared(g):
+        return discounted(both(len(g)), g, shared(g[1:]) if len(g) > 1 else 1 / 256)
+
+    whole = (" " * top + context + byte)[-top:]
+    for k in range(top, 2, -1):
+        g = whole[-k:]
+        if g in both(k):
+            p = [discounted(levels[k][y], g, shared(g)) for y in (0, 1)]
+            return float(np.clip(np.log(max(p[1], 1e-12)) - np.log(max(p[0], 1e-12)), -toxicity.CLIP, toxicity.CLIP))
+    return 0.0
+
+
+def test_models_equal_plain_kneser_ney():
+    ordinary, toxic = ["the cat sat there", "a dog and the cats"], ["you vile rat", "vile vile cat you"]
+    grams, n0, n1 = {}, {}, {}
+    for y, texts in enumerate((ordinary, toxic)):
+        keys, _, _ = toxicity.grams(pa.array(texts))
+        for k in keys.tolist():
+            grams[k] = 1
+            (n1 if y else n0)[k] = (n1 if y else n0).get(k, 0) + 1
+    own = np.array(sorted(grams))
+    models = toxicity.Models(own, np.array([n0.get(k, 0) for k in own.tolist()]), np.array([n1.get(k, 0) for k in own.tolist()]))
+    for text in ("vile cat", "the you", "dogs viler xyz"):
+        keys, _, begin = toxicity.grams(pa.array([text]))
+        got = models.ratios(keys)
+        for i in range(len(text)):
+            first = int(begin[np.searchsorted(begin, i, "right") - 1])
+            assert got[i] == pytest.approx(plain_kneser_ney(ordinary, toxic, text[first:i], text[i]), abs=1e-5), (text, i)
+
+
+def held_out(spark, f, label, folds, held):
+    if not os.path.isdir(DATA):
+        pytest.skip("no test tables")
+    docs, labels = (spark.read.parquet(f"{DATA}/{x}.parquet") for x in ("documents", "labels"))
+    rows = f(docs, labels).join(labels, "doc_id").where("held_out").collect()
+    score = np.array([r.score for r in rows])
+    y = np.array([r[label] for r in rows])
+    return float((score[y == 1][:, None] > score[y == 0][None]).mean()) if 0 < y.sum() < len(y) else 1.0
+
+
+def test_held_out_ranking(spark):
+    assert held_out(spark, quality.classify, "quality", 5, 0) > 0.9
+    assert held_out(spark, toxicity.classify, "toxic", 3, 1) > 0.6
