@@ -5,6 +5,8 @@ A multigraph: two relations between the same pair are two rows.
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -54,6 +56,10 @@ def validate(edges: DataFrame, entities: DataFrame) -> DataFrame:
 ENTITY_TYPES = ("Person", "Organization", "Location", "Concept", "Technology", "Event", "Product", "Date", "Other")
 
 
+def _run(k: int, at: Column) -> Column:
+    return F.array_join(F.slice("__t", at, k), " ")
+
+
 def dictionary_entities(docs: DataFrame, dictionary: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = 200_000) -> DataFrame:
     """(doc_id, name, type, mentions): names of a dictionary (name, type: lower case, one to three tokens) in the documents' tokens.
 
@@ -67,7 +73,7 @@ def dictionary_entities(docs: DataFrame, dictionary: DataFrame, id_col: str = "d
     runs = [F.col("__t")]
     for k in range(2, min(3, longest["k"] or 1) + 1):
         starts = F.when(F.size("__t") >= k, F.sequence(F.lit(1), F.size("__t") - k + 1)).otherwise(F.array().cast("array<int>"))
-        runs.append(F.transform(starts, lambda i, k=k: F.array_join(F.slice("__t", i, k), " ")))
+        runs.append(F.transform(starts, partial(_run, k)))
     rows = rows.select("doc_id", F.explode(F.concat(*runs)).alias("__key"))
     return rows.join(names, "__key").groupBy("doc_id", "name", "type").agg(F.count(F.lit(1)).alias("mentions"))
 
