@@ -55,7 +55,13 @@ SELECT a.vec_id AS query_id, round(max(list_cosine_similarity(a.e, b.e)), 6) AS
 def a22_answer_relevancy(spark, sf):
     e = t(spark, sf, "embeddings")
     a = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "label", F.col("embedding").alias("x"))
-    rows = e.join(a, "label").where("query_id <> vec_id").select("query_id", vec.cosine(F.col("x"), F.col("embedding")).alias("similarity"))
+    near = F.expr("label = __label and query_id <> vec_id")
+
+    def meet(part):
+        rows = e.join(F.broadcast(part), near).select("query_id", vec.cosine(F.col("x"), F.col("embedding")).alias("similarity"))
+        return rows.groupBy("query_id").agg(F.max("similarity").alias("similarity"))
+
+    rows = retrieval.in_blocks(a.withColumnRenamed("label", "__label"), "query_id", meet)
     return evaluate.answer_relevancy(rows).select("query_id", F.round("score", 6).alias("score"))
 
 

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from ..functions import rules
+from ..functions import parse, rules
 from ..functions import text as tx
 from ..operators import retrieval
 from .base import SENTENCES, SPLIT_LOW, TOKENS, WORDS, index, q, questions, t
@@ -130,6 +130,30 @@ def q4_multi_query(spark, sf):
     return _ranked(retrieval.multi_query(index(spark, sf).search, _variations(spark, sf)))
 
 
+_PARTS = f"SELECT item_id AS query_id, 0 AS list, 'part one ' || text[1 : {_HALF}] AS query FROM benchmark UNION ALL SELECT item_id, 1, 'part two ' || text[{_HALF} + 1 :] FROM benchmark"
+
+
+@q(f"WITH {ranked_sql(_DOCS, _PARTS)}, {_FUSED} SELECT query_id, chunk_id, round(s, 9) AS score, rk AS rank FROM best")
+def q5_decomposition(spark, sf):
+    """Sub-queries read from a recorded answer, searched at once, their lists fused by rank."""
+    ask = questions(spark, sf)
+    one = F.regexp_replace("query", r"[\r\n]", " ")
+    half = F.floor(F.length("query") / 2).cast("int")
+    answer = F.concat(F.lit("1. part one "), F.substring(one, F.lit(1), half), F.lit("\n\n2) part two "), F.substring(one, half + 1, F.length("query")))
+    parts = ask.select("query_id", F.posexplode(parse.sub_queries(answer)).alias("variation", "query"))
+    return _ranked(retrieval.multi_query(index(spark, sf).search, parts))
+
+
+_BLANK = "list_filter(list_transform(string_split(regexp_replace(regexp_replace({0}, '\\n\\n+', chr(10) || chr(1), 'g'), '([.!?])\\s+(\\p{{Lu}})', '\\1' || chr(1) || '\\2', 'g'), chr(1)), lambda x: regexp_replace(regexp_replace(x, '^\\s+', ''), '\\s+$', '')), lambda x: x <> '')".format
+
+
+@q(f"SELECT doc_id, CAST(len(s) AS BIGINT) AS n, md5(array_to_string(s, '|')) AS m FROM (SELECT doc_id, {_BLANK('text')} AS s FROM documents)")
+def f3_sentences(spark, sf):
+    """sentences that begin with a capital, or stretches between blank lines."""
+    s = tx.sentences_or_blank(F.col("text"))
+    return t(spark, sf, "documents").select("doc_id", F.size(s).cast("long").alias("n"), F.md5(F.array_join(s, "|")).alias("m"))
+
+
 _PASSAGES = f"SELECT item_id AS query_id, 0 AS list, 'A passage that answers: ' || text AS query FROM benchmark UNION ALL SELECT item_id, 1, text[{_HALF} + 1 :] FROM benchmark"
 
 

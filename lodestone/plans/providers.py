@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 from typing import Protocol
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..operators import cluster
+from ..operators import chunking, cluster, retrieval
+from ..operators import rerank as reranking
 from .retry import gathered, retried
 
 
@@ -73,7 +75,59 @@ class HashEmbedder:
         return cluster.hash_embed(rows, key, text, self.dims)
 
 
-REGISTRY: dict[str, dict[str, Callable]] = {"generator": {"extractive": ExtractiveGenerator, "recorded": RecordedGenerator, "call": CallGenerator}, "embedder": {"hash": HashEmbedder}, "chunker": {}, "retriever": {}, "reranker": {}}
+class Chunker(Protocol):
+    def __call__(self, docs: DataFrame) -> DataFrame:
+        """(doc_id, text) to (doc_id, position, content, chunk_id)."""
+
+
+class Retriever(Protocol):
+    def __call__(self, queries: DataFrame, top_k: int) -> DataFrame:
+        """(query_id, query) to (query_id, doc_id, score, rank)."""
+
+
+class Reranker(Protocol):
+    def __call__(self, hits: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+        """(query_id, chunk_id, rank, content) to (query_id, chunk_id, score, rank)."""
+
+
+class TokenEncoder(Protocol):
+    def __call__(self, text: str):
+        """Begins, ends and vectors of a text's tokens."""
+
+
+class Evaluator(Protocol):
+    def __call__(self, rows: DataFrame) -> DataFrame:
+        """Claims, contexts or answers of queries to (query_id, score)."""
+
+
+class Extractor(Protocol):
+    def __call__(self, docs: DataFrame) -> DataFrame:
+        """(doc_id, text) to (doc_id, name, type, ...)."""
+
+
+def by_overlap(hits: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
+    """Rerank by the share of the query's words that a content has; ties keep the better rank."""
+    rows = hits.join(queries.select("query_id", "query"), "query_id").withColumn("score", tx.overlap(F.col("query"), F.col("content")))
+    w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "rank", "chunk_id")
+    return rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "chunk_id", "score", "rank")
+
+
+def middle_last(rerank: Reranker) -> Reranker:
+    """A reranker whose result is then put into the order that leaves the middle to the weakest (column position)."""
+    return lambda hits, queries, k=10: reranking.lost_in_middle(rerank(hits, queries, k))
+
+
+def bm25_search(docs: DataFrame) -> Retriever:
+    return lambda queries, top_k=10: retrieval.bm25(docs, queries, top_k)
+
+
+REGISTRY: dict[str, dict[str, Callable]] = {
+    "generator": {"extractive": ExtractiveGenerator, "recorded": RecordedGenerator, "call": CallGenerator},
+    "embedder": {"hash": HashEmbedder},
+    "chunker": {"fixed": lambda **o: partial(chunking.fixed_chunks, **o), "sentence": lambda **o: partial(chunking.sentence_chunks, **o), "soft": lambda **o: partial(chunking.soft_chunks, **o), "recursive": lambda **o: partial(chunking.recursive_chunks, **o), "token": lambda **o: partial(chunking.token_chunks, **o), "markdown": lambda **o: partial(chunking.markdown_chunks, **o), "hierarchical": lambda **o: partial(chunking.hierarchical_chunks, **o)},
+    "retriever": {"bm25": bm25_search, "index": lambda index: index.search},
+    "reranker": {"overlap": lambda: by_overlap, "scored": lambda scorer: lambda hits, queries, k=10: reranking.scored(hits, queries, scorer, k), "middle_last": middle_last},
+}
 
 
 def register(kind: str, name: str) -> Callable:

@@ -409,6 +409,48 @@ def test_graph_building(spark):
     assert [(r.src, r.dst, r.type) for r in graph.parsed_relationships(rows, "chunk_id").collect()] == [("A", "B", "RELATED_TO")]
 
 
+def test_registries(spark):
+    docs = spark.createDataFrame([(1, "red apple. " * 30), (2, "green pear. " * 30)], "doc_id long, text string")
+    ask = spark.createDataFrame([(7, "red apple")], "query_id long, query string")
+    for name in ("fixed", "sentence", "soft", "recursive"):
+        assert providers.create("chunker", name, size=100)(docs).count() > 2
+    hits = providers.create("retriever", "bm25", docs)(ask, 5).join(docs.select("doc_id", F.col("text").alias("content")), "doc_id").withColumnRenamed("doc_id", "chunk_id")
+    assert [r.chunk_id for r in providers.create("reranker", "overlap")(hits, ask).collect()] == [1]
+    assert providers.create("reranker", "middle_last", providers.by_overlap)(hits, ask).first().position == 0
+    with pytest.raises(ValueError, match="no chunker named"):
+        providers.create("chunker", "none")
+
+
+def test_summary_tree(spark):
+    rows = [(d, k, f"First of {d}{k % 2}. Second {'ab'[k % 2] * 5} {k}.") for d in (1, 2) for k in range(9)] + [(3, 0, "Alone. Here.")]
+    tree = cluster.build_tree(spark.createDataFrame(rows, "doc_id long, position int, content string"), 2).collect()
+    nodes = {r.node_id: r for r in tree}
+    children: dict = {}
+    for r in tree:
+        if r.parent_id:
+            children.setdefault(r.parent_id, []).append(r)
+    assert len(nodes) == len(tree) and sum(r.level == 0 for r in tree) == len(rows)
+    for parent, own in children.items():
+        up = nodes[parent]
+        assert len(own) >= 2 and up.is_summary and {r.level for r in own} == {up.level - 1} and {r.doc_id for r in own} == {up.doc_id}
+        assert up.content == " ".join(r.content.split(". ")[0] + "." if ". " in r.content else r.content for r in sorted(own, key=lambda r: r.node_id)[:3])
+    assert nodes["0:3:0"].parent_id is None
+
+
+def test_json_documents_and_header_cache(spark, tmp_path):
+    from lodestone.operators import contextual
+
+    (tmp_path / "d.json").write_text('{"id": "a", "content": "x", "metadata": {"k": "v"}}\n{"content": "y"}\n')
+    rows = {r.content: r for r in files.json_documents(spark, str(tmp_path / "d.json")).collect()}
+    assert rows["x"].id == "a" and rows["x"].metadata == {"k": "v"} and rows["y"].id.startswith("doc_")
+    chunks = spark.createDataFrame([(1, 0, "s", "one"), (1, 1, "s", "two"), (2, 0, "s", "one")], "doc_id long, position int, source string, content string")
+    cache = spark.createDataFrame([], "key string, header string")
+    made, fresh = contextual.cached_headers(chunks, cache, lambda m: m.select("doc_id", "position", F.concat(F.lit("h "), "content").alias("header")))
+    assert made.count() == 3 and fresh.count() == 2
+    again, none = contextual.cached_headers(chunks, fresh, lambda m: m.select("doc_id", "position", F.lit("new").alias("header")))
+    assert {r.header for r in again.collect()} == {"h one", "h two"} and none.count() == 0
+
+
 def test_modularity_finds_two_cliques(spark):
     pairs = [(a, b) for c in (0, 10) for a in range(c, c + 5) for b in range(a + 1, c + 5)] + [(4, 10)]
     edges = spark.createDataFrame([(a, b, 1.0) for a, b in pairs], "src_id long, dst_id long, weight double")
