@@ -11,11 +11,12 @@ logistic function of the two and of its length, fitted on sampled documents that
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -91,7 +92,8 @@ class Models:
     def __init__(self, gram: np.ndarray, n0: np.ndarray, n1: np.ndarray):
         order = np.argsort(gram)
         gram, n0, n1 = gram[order], n0[order].astype(float), n1[order].astype(float)
-        self.tables: list[tuple[int, _Table, np.ndarray]] = []
+        self.levels: list[tuple[int, np.ndarray, np.ndarray]] = []  # order, its n-grams, their ratios
+        self._shared = None
         if not len(gram) or not n0.any() or not n1.any():
             return
         # Distinct n-grams of each order, with how many bytes precede them (for the highest: occurrences).
@@ -116,7 +118,23 @@ class Models:
             if k >= 3:
                 p0, p1 = (_discounted(context, x, shared) for x in counts)
                 ratio = np.clip(np.log(np.maximum(p1, 1e-12)) - np.log(np.maximum(p0, 1e-12)), -CLIP, CLIP)
-                self.tables.insert(0, (k, _Table(keys, np.arange(len(keys), dtype=np.int32)), ratio.astype(np.float32)))
+                self.levels.insert(0, (k, keys, ratio.astype(np.float32)))
+
+    def __getstate__(self) -> dict:
+        return {"levels": self.levels}  # 12 bytes an n-gram; what looks them up is built where it is used
+
+    def __setstate__(self, state: dict) -> None:
+        self.levels, self._shared = state["levels"], None
+
+    @functools.cached_property
+    def tables(self) -> list[tuple[int, _Table, np.ndarray]]:
+        return [(k, _Table(keys, np.arange(len(keys), dtype=np.int32)), ratio) for k, keys, ratio in self.levels]
+
+    def broadcast(self, spark: SparkSession):
+        """The models on every executor, sent once."""
+        if self._shared is None:
+            self._shared = spark.sparkContext.broadcast(self)
+        return self._shared
 
     def ratios(self, key: np.ndarray) -> np.ndarray:
         """Of each byte; 0 where no n-gram of three bytes or more is known."""
@@ -187,7 +205,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int =
 
 def _evidence(docs: DataFrame, models: Models, text: str, weights: np.ndarray | None = None, threshold: float = 0.7) -> DataFrame:
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(models)
+    shared = models.broadcast(spark)
     new = ["mean", "peak", "length"] if weights is None else ["score", "predicted"]
     kinds = [T.DoubleType()] * 3 if weights is None else [T.DoubleType(), T.IntegerType()]
 
