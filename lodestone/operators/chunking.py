@@ -24,39 +24,49 @@ def _explode(docs: DataFrame, id_col: str, chunks: Column, strategy: str) -> Dat
 def pack_spans(lengths: Column, size: int = 512, overlap: int = 1) -> Column:
     """Spans (first, last exclusive) of greedy packs over an array of lengths: a pack is full when the next would exceed
     `size`; the next begins with the last `overlap` of it. A fold over numbers: only full packs grow the result."""
-    none = F.array().cast("array<int>")
-    zero = F.struct(F.array().cast("array<struct<a:int,b:int>>").alias("done"), F.lit(0).alias("from"), F.lit(0).alias("i"), F.lit(0).alias("len"), none.alias("tail"))
+    zero = F.struct(F.array().cast("array<struct<a:int,b:int>>").alias("done"), F.lit(0).alias("from"), F.lit(0).alias("i"), F.lit(0).alias("len"), (F.array().cast("array<int>") if overlap > 1 else F.lit(0)).alias("tail"))
 
     def step(acc: Column, n: Column) -> Column:
-        i, begin, tail = acc["i"], acc["from"], acc["tail"]  # tail: the pack's last `overlap` lengths
+        i, begin, tail = acc["i"], acc["from"], acc["tail"]  # tail: the pack's last `overlap` lengths, or its last one
         full = (acc["len"] + n > size) & (i > begin)
-        kept = F.aggregate(tail, F.lit(0), lambda s, x: s + x) if overlap else F.lit(0)
-        last = F.concat(tail, F.array(n))
+        if overlap > 1:
+            last = F.concat(tail, F.array(n))
+            again, kept, tail = F.size(tail), F.aggregate(tail, F.lit(0), lambda s, x: s + x), F.slice(last, F.greatest(F.size(last) - overlap, F.lit(0)) + 1, overlap)
+        else:
+            again, kept, tail = F.lit(overlap), (tail if overlap else F.lit(0)), n
         return F.struct(
             F.when(full, F.concat(acc["done"], F.array(F.struct(begin.alias("a"), i.alias("b"))))).otherwise(acc["done"]).alias("done"),
-            F.when(full, i - F.size(tail)).otherwise(begin).alias("from"),
+            F.when(full, i - again).otherwise(begin).alias("from"),
             (i + 1).alias("i"),
             (F.when(full, kept).otherwise(acc["len"]) + n).alias("len"),
-            (F.slice(last, F.greatest(F.size(last) - overlap, F.lit(0)) + 1, overlap) if overlap else none).alias("tail"),
+            tail.alias("tail"),
         )
 
     return F.aggregate(lengths, zero, step, lambda acc: F.concat(acc["done"], F.array(F.struct(acc["from"].alias("a"), acc["i"].alias("b")))))
 
 
+def _joined(spans: Column, sentences: Column) -> Column:
+    return F.transform(spans, lambda p: F.array_join(F.slice(sentences, p["a"] + 1, p["b"] - p["a"]), " "))
+
+
 def sentence_packs(sentences: Column, size: int = 512, overlap: int = 1, least: int = 100) -> Column:
     """Greedy packs of sentences (separators not counted); a last pack shorter than `least` is dropped. Give a column, not
     an expression: the sentences are read several times."""
-    spans = pack_spans(F.transform(sentences, F.length), size, overlap)
-    packs = F.transform(spans, lambda p: F.array_join(F.slice(sentences, p["a"] + 1, p["b"] - p["a"]), " "))
-    return F.filter(packs, lambda c, i: (F.length(c) >= least) | (i < F.size(spans) - 1))
+    packs = _joined(pack_spans(F.transform(sentences, F.length), size, overlap), sentences)
+    n = F.size(packs)
+    return F.concat(F.slice(packs, 1, n - 1), F.filter(F.slice(packs, n, 1), lambda c: F.length(c) >= least))
+
+
+def _exploded(rows: DataFrame, keep: list[str], size: int, overlap: int, least: int) -> DataFrame:
+    """keep, position and content of the packs of rows with an array column __s; what is exploded are the packs alone."""
+    rows = rows.withColumn("__p", pack_spans(F.transform("__s", F.length), size, overlap))
+    out = rows.select(*keep, F.size("__p").alias("__n"), F.posexplode(_joined(F.col("__p"), F.col("__s"))).alias("position", "content"))
+    return out.where((F.length("content") >= least) | (F.col("position") < F.col("__n") - 1)).drop("__n")
 
 
 def sentence_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 512, overlap: int = 1, least: int = 100) -> DataFrame:
     rows = docs.select(F.col(id_col).alias("doc_id"), tx.sentences(F.col(text_col)).alias("__s"))
-    rows = rows.withColumn("__p", pack_spans(F.transform("__s", F.length), size, overlap))
-    rows = rows.select("doc_id", "__s", F.size("__p").alias("__n"), F.posexplode("__p").alias("position", "__at"))
-    out = rows.select("doc_id", "position", "__n", F.array_join(F.slice("__s", F.col("__at.a") + 1, F.col("__at.b") - F.col("__at.a")), " ").alias("content"))
-    out = out.where((F.length("content") >= least) | (F.col("position") < F.col("__n") - 1)).drop("__n")
+    out = _exploded(rows, ["doc_id"], size, overlap, least)
     return out.withColumn("chunk_id", tx.content_key(F.col("doc_id").cast("string"), F.lit("sentence"), F.col("position").cast("string")))
 
 
@@ -180,7 +190,7 @@ def hierarchical_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     out = None
     for i, size in enumerate(sizes):
         cut = level.select("doc_id", F.coalesce("parent_id", F.lit("")).alias("up"), tx.sentences(F.col("content")).alias("__s"))
-        rows = cut.select("doc_id", "up", F.posexplode(sentence_packs(F.col("__s"), size, 0, least)).alias("position", "content"))
+        rows = _exploded(cut, ["doc_id", "up"], size, 0, least)
         rows = rows.select("doc_id", F.lit(i).alias("level"), F.nullif("up", F.lit("")).alias("parent_id"), "position", "content", tx.content_key(F.col("doc_id").cast("string"), F.lit(f"level{i}"), F.col("up"), F.col("position").cast("string")).alias("chunk_id"))
         out = rows if out is None else out.unionByName(rows)
         level = rows.select("doc_id", F.col("chunk_id").alias("parent_id"), "content")
@@ -292,9 +302,8 @@ def semantic_chunks(sentences: DataFrame, threshold: float | None = 0.5, percent
     limit = F.lit(float(threshold)) if percentile is None else percentile_of(F.col("sims"), percentile)
     rows = rows.withColumn("limit", limit).withColumn("n", F.transform("s", F.length))
     rows = rows.withColumn("at", F.when(F.size("s") <= 2, F.array(F.lit(0))).otherwise(breakpoints(F.col("sims"), F.col("n"), F.col("limit"), most, least)))
-    rows = rows.select("doc_id", "s", "at", F.posexplode("at").alias("position", "a"))
-    upto = F.coalesce(F.get("at", F.col("position") + 1), F.size("s"))
-    return rows.select("doc_id", "position", F.array_join(F.slice("s", F.col("a") + 1, upto - F.col("a")), " ").alias("content"))
+    spans = F.zip_with("at", F.concat(F.slice("at", 2, F.size("at")), F.array(F.size("s"))), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    return rows.select("doc_id", F.posexplode(_joined(spans, F.col("s"))).alias("position", "content"))
 
 
 def contextual(content: Column, header: Column) -> Column:
