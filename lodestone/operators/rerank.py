@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions import vector as vec
+from . import blocks
 from .retrieval import in_blocks, top
 
 
@@ -35,10 +36,10 @@ def max_sim_search(query_tokens: DataFrame, chunk_tokens: DataFrame, k: int = 10
     """Late interaction of a stated set of queries (query_id, q) with all chunks (chunk_id, d), in blocks of queries."""
 
     def meet(part: DataFrame) -> DataFrame:
-        rows = chunk_tokens.join(F.broadcast(part), F.lit(True), "inner")
-        return top(rows.select("query_id", "chunk_id", vec.max_sim(F.col("q"), F.col("d")).alias("score")), k, "chunk_id")
+        asked = blocks.collected(part)
+        return top(blocks.search(chunk_tokens, "chunk_id", "d", asked["query_id"], blocks.MaxSim(asked["q"]), k), k, "chunk_id")
 
-    return in_blocks(query_tokens, "query_id", meet, 256)
+    return in_blocks(query_tokens.select("query_id", "q"), "query_id", meet)
 
 
 def soft_max_sim_search(phrase_vectors: DataFrame, chunks: DataFrame, k: int = 10) -> DataFrame:
