@@ -46,11 +46,10 @@ def soft_max_sim_search(phrase_vectors: DataFrame, chunks: DataFrame, k: int = 1
     """soft_max_sim of a stated set of queries (query_id, p) with all chunks, in blocks of queries."""
 
     def meet(part: DataFrame) -> DataFrame:
-        rows = chunks.select("chunk_id", F.col("embedding").alias("__e")).join(F.broadcast(part), F.lit(True), "inner")
-        score = vec.top_mean(F.transform("p", lambda p: vec.cosine(p, F.col("__e"))))
-        return top(rows.select("query_id", "chunk_id", score.alias("score")), k, "chunk_id")
+        asked = blocks.collected(part)
+        return top(blocks.search(chunks, "chunk_id", "embedding", asked["query_id"], blocks.SoftMaxSim(asked["p"]), k), k, "chunk_id")
 
-    return in_blocks(phrase_vectors, "query_id", meet, 256)
+    return in_blocks(phrase_vectors.select("query_id", "p"), "query_id", meet)
 
 
 def position_scores(hits: DataFrame) -> DataFrame:
