@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import vector as vec
 from ..session import Workspace
+from . import blocks
 from .retrieval import in_blocks
 
 
@@ -21,11 +21,11 @@ def probe(cache: DataFrame, queries: DataFrame, threshold: float = 0.95) -> Data
     """
 
     def meet(part: DataFrame) -> DataFrame:
-        rows = cache.select("entry_id", F.col("embedding").alias("__e")).join(F.broadcast(part), F.lit(True), "inner")
-        return rows.select("query_id", "entry_id", vec.cosine(F.col("__q"), F.col("__e")).alias("similarity")).where(F.col("similarity") >= threshold)
+        asked = blocks.collected(part)
+        return blocks.search(cache, "entry_id", "embedding", asked["query_id"], blocks.Pairs(asked["__q"], "cosine"), 1, threshold)
 
     rows = in_blocks(queries.select("query_id", F.col("embedding").alias("__q")), "query_id", meet)
-    return rows.groupBy("query_id").agg(F.min_by("entry_id", F.struct(-F.round("similarity", 9), F.col("entry_id"))).alias("entry_id"), F.max("similarity").alias("similarity"))
+    return rows.groupBy("query_id").agg(F.min_by("entry_id", F.struct(-F.round("score", 9), F.col("entry_id"))).alias("entry_id"), F.max("score").alias("similarity"))
 
 
 def embedding_key(model: str, text: Column) -> Column:
