@@ -283,3 +283,164 @@ class SoftMaxSim:
             out = (a + b + c) / self.many
             out[:, self.empty] = -np.inf
             yield begin, end, out
+
+
+#: Texts with other characters are cut into tokens by the JVM; of these, bytes of letters, digits and underscores (two-byte characters: see `cut`).
+OTHER = r"[^\u0000-\u012f\u0131-\u017f]"
+_WORD = np.array([chr(i).isalnum() or i == 95 if i < 128 else i != 0xC2 for i in range(256)])
+_C2 = np.isin(np.arange(256), [0xAA, 0xB2, 0xB3, 0xB5, 0xB9, 0xBA, 0xBC, 0xBD, 0xBE])
+_C3 = ~np.isin(np.arange(256), [0x97, 0xB7])
+
+
+def cut(texts: pa.Array) -> pa.ListArray:
+    """`text.tokens` of texts without OTHER characters."""
+    low = pc.utf8_lower(pc.fill_null(texts, ""))
+    at = np.frombuffer(low.buffers()[1], np.int32)[low.offset : low.offset + len(low) + 1].astype(np.int64)
+    data = np.frombuffer(low.buffers()[2], np.uint8)[at[0] : at[-1]] if at[-1] > at[0] else np.zeros(0, np.uint8)
+    at = at - at[0]
+    word = _WORD[data]
+    for lead, good in ((0xC2, _C2), (0xC3, _C3)):
+        i = np.flatnonzero(data == lead)
+        word[i] = word[i + 1] = good[data[i + 1]]
+    start = word.copy()
+    start[1:] &= ~word[:-1]
+    first = at[:-1][at[:-1] < at[1:]]
+    start[first] = word[first]
+    begin = np.flatnonzero(start)
+    ends = np.r_[np.cumsum(word)[begin] - 1, word.sum()].astype(np.int32)
+    tokens = pa.StringArray.from_buffers(len(begin), pa.py_buffer(ends), pa.py_buffer(data[word]))
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(begin, at).astype(np.int32)), tokens)
+
+
+def opened(first: pa.Array, *rest: pa.Array) -> tuple[pa.Array, pa.Array, pa.Array | None]:
+    """(tokens, lengths, counts) of a batch: of term lists (terms, dl, tfs), or of texts (x; t: their tokens if the JVM cut them; dl where it isn't their number)."""
+    if not pa.types.is_string(first.type):
+        return first, *rest
+    t, dl = rest
+    if t.null_count < len(t):
+        first = pc.if_else(t.is_valid(), pa.scalar(None, first.type), first)
+        tokens = pc.if_else(t.is_valid(), t.cast(pa.list_(pa.string())), cut(first).cast(pa.list_(pa.string())))
+    else:
+        tokens = cut(first)
+    there = pc.or_(first.is_valid(), t.is_valid())
+    return tokens, pc.if_else(there, pc.coalesce(dl, pc.list_value_length(tokens)), pa.scalar(None, pa.int32())), None
+
+
+def counted(tokens: pa.Array, terms: pa.Array | None = None, counts: pa.Array | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
+    """(row, place, tf, terms) of arrays of tokens, sorted by row and place in `terms` (by default the distinct ones); others are left out.
+
+    counts: how often each token stands for, where the arrays hold distinct ones."""
+    size = pc.fill_null(pc.list_value_length(tokens), 0).to_numpy(zero_copy_only=False)
+    flat = tokens.flatten()
+    if terms is None:
+        coded = flat.dictionary_encode()
+        terms, place = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    else:
+        place = pc.fill_null(pc.index_in(flat, value_set=terms), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+    known = place >= 0
+    pair = np.repeat(np.arange(len(size)), size)[known] * max(1, len(terms)) + place[known]
+    if counts is None:
+        pair, tf = np.unique(pair, return_counts=True)
+    else:
+        tf = counts.flatten().to_numpy(zero_copy_only=False)[known]
+        order = np.argsort(pair)
+        pair, tf = pair[order], tf[order]
+    row, place = np.divmod(pair, max(1, len(terms)))
+    return row, place, tf.astype(float), terms
+
+
+def term_lists(rows: DataFrame) -> DataFrame:
+    """(doc_id, dl, terms, tfs): the distinct tokens of rows (doc_id, x, t, dl) with their counts."""
+    ship(rows.sparkSession)
+
+    def run(batches):
+        for b in batches:
+            ids, *texts = (plain(c) for c in b.columns)
+            t, dl, _ = opened(*texts)
+            row, place, tf, terms = counted(t)
+            ends = pa.array(np.searchsorted(row, np.arange(len(ids) + 1)).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([ids, dl, pa.ListArray.from_arrays(ends, terms.take(pa.array(place))), pa.ListArray.from_arrays(ends, pa.array(tf.astype(np.int32)))], names=["doc_id", "dl", "terms", "tfs"])
+
+    return rows.select("doc_id", "x", "t", "dl").mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, dl int, terms array<string>, tfs array<int>")
+
+
+def frequencies(rows: DataFrame, columns: list[str], terms: pa.Array) -> tuple[int, int, int, np.ndarray]:
+    """Rows, rows with a length, their lengths' sum, and how many rows have each term. columns: what `opened` takes."""
+    spark = rows.sparkSession
+    ship(spark)
+    sent = spark.sparkContext.broadcast(terms)
+
+    def run(batches):
+        seen, n, some, total = np.zeros(len(sent.value), np.int64), 0, 0, 0
+        for b in batches:
+            t, dl, tf = opened(*(plain(c) for c in b.columns))
+            seen += np.bincount(counted(t, sent.value, tf)[1], minlength=len(seen))
+            n, some, total = n + len(dl), some + len(dl) - dl.null_count, total + (pc.sum(dl).as_py() or 0)
+        at = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(np.r_[at, -1, -2, -3]), pa.array(np.r_[seen[at], n, some, total])], names=["place", "n"])
+
+    found = rows.select(*columns).mapInArrow(run, "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).toArrow()
+    place, n = found.column("place").to_numpy(), found.column("n").to_numpy()
+    head = dict(zip(place[place < 0].tolist(), n[place < 0].tolist(), strict=True))
+    df = np.zeros(len(terms), np.int64)
+    df[place[place >= 0]] = n[place >= 0]
+    return head.get(-1, 0), head.get(-2, 0), head.get(-3, 0), df
+
+
+class Asked:
+    """The terms of a block of queries: (query_id, [(term, qtf)]) as Arrow columns."""
+
+    def __init__(self, query_ids: pa.Array, items: pa.Array):
+        size = pc.list_value_length(items).to_numpy(zero_copy_only=False)
+        flat = items.flatten()
+        self.query_ids = query_ids
+        self.terms = pa.array(sorted(set(flat.field("term").to_pylist())), pa.string())
+        place = pc.index_in(flat.field("term"), value_set=self.terms).to_numpy(zero_copy_only=False).astype(np.int64)
+        order = np.argsort(place, kind="stable")
+        self.place, self.q = place[order], np.repeat(np.arange(len(size)), size)[order]
+        self.qtf = flat.field("qtf").to_numpy(zero_copy_only=False)[order].astype(float)
+
+
+class Bm25:
+    """Scores of documents as matrices: terms that many queries share as a dense product, the others posting by posting."""
+
+    def __init__(self, asked: Asked, n: int, avgdl: float, df: np.ndarray, k1: float, b: float):
+        self.n, self.terms, self.k1, self.b, self.avgdl = len(asked.query_ids), asked.terms, k1, b, max(avgdl, 1.0)
+        idf = np.log((n - df + 0.5) / (df + 0.5) + 1.0)
+        weight = asked.qtf * idf[asked.place]
+        many = np.bincount(asked.place, minlength=len(asked.terms))
+        cost = many * df
+        dense = np.flatnonzero(many >= DENSE_QUERIES)
+        dense = np.sort(dense[np.argsort(-cost[dense], kind="stable")][:DENSE_TERMS])
+        self.column = np.full(len(asked.terms), -1)
+        self.column[dense] = np.arange(len(dense))
+        self.w = np.zeros((len(dense), self.n))
+        at = self.column[asked.place]
+        self.w[at[at >= 0], asked.q[at >= 0]] = weight[at >= 0]
+        self.begin, self.many, self.q, self.weight = np.cumsum(many) - many, many, asked.q, weight
+
+    def __call__(self, *columns: pa.Array):
+        tokens, dl, counts = opened(*columns)
+        row, place, tf, _ = counted(tokens, self.terms, counts)
+        length = pc.fill_null(dl, 0).to_numpy(zero_copy_only=False).astype(float)[row]
+        x = tf * (self.k1 + 1) / (tf + self.k1 * (1 - self.b + self.b * length / self.avgdl))
+        step = max(1, CELLS // max(1, self.n))
+        for begin in range(0, len(tokens), step):
+            end = min(begin + step, len(tokens))
+            a, z = np.searchsorted(row, (begin, end))
+            r, p, v = row[a:z] - begin, place[a:z], x[a:z]
+            column = self.column[p]
+            some = column >= 0
+            block = np.zeros((end - begin, len(self.w)))
+            block[r[some], column[some]] = v[some]
+            out = block @ self.w
+            r, p, v = r[~some], p[~some], v[~some]
+            n = self.many[p]
+            own = np.repeat(np.arange(len(p)), n)
+            at = np.arange(len(own)) - np.repeat(np.cumsum(n) - n, n) + self.begin[p][own]
+            out += np.bincount(r[own] * self.n + self.q[at], weights=v[own] * self.weight[at], minlength=out.size).reshape(out.shape)
+            yield begin, end, out
+
+
+#: BM25 scores of documents with a term of the query are above it.
+POSITIVE = float(np.nextafter(0, 1))

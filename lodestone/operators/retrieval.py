@@ -5,11 +5,13 @@ Queries are a table too: a batch is one plan. Only the query side is ever broadc
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..functions import vector as vec
+from . import blocks
 
 #: Queries that a single plan broadcasts at most; larger batches are cut into blocks.
 QUERY_BLOCK = 4096
@@ -58,21 +60,43 @@ def query_terms(queries: DataFrame, id_col: str = "query_id", text_col: str = "q
     return queries.select(F.col(id_col).alias("query_id"), F.explode(tx.tokens(F.col(text_col))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
 
 
-def bm25(docs: DataFrame, queries: DataFrame, top_k: int = 10, id_col: str = "doc_id", text_col: str = "text", k1: float = 1.5, b: float = 0.75) -> DataFrame:
-    """(query_id, doc_id, score, rank): the best `top_k` documents of every query; ties go to the smaller doc_id.
+def merged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, bool]:
+    """Documents as `blocks.opened` takes them (doc_id, x, t, dl), one row an id, and whether an id came twice: rows of one id are one document, as long as the first."""
+    text = F.col(text_col)
+    rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("x"), F.when(text.rlike(blocks.OTHER), tx.tokens(text)).alias("t"), F.lit(None).cast("int").alias("dl"))
+    again = docs.select(F.xxhash64(id_col).alias("__h")).groupBy("__h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("__h")
+    if again.isEmpty():
+        return rows, False
+    whole = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(id_col).alias("__h"), tx.tokens(text).alias("t")).join(again, "__h", "left_semi").where("t is not null")
+    some = whole.groupBy("doc_id").agg(F.flatten(F.collect_list("t")).alias("t"), F.first(F.size("t")).alias("dl")).withColumn("x", F.lit(None).cast("string"))
+    return rows.join(again, F.xxhash64("doc_id") == F.col("__h"), "left_anti").unionByName(some), True
+
 
-    Postings are cut down to query terms while mapping (broadcast of the distinct terms if they are few, else a
-    semi-join), so document frequencies and scores are worked out on what any query asks for only.
+def ranked(rows: DataFrame, columns: list[str], queries: DataFrame, top_k: int, k1: float, b: float, stats: DataFrame | None = None) -> DataFrame:
+    """(query_id, doc_id, score, rank) of rows (doc_id and the columns that `blocks.opened` takes), by blocks of queries.
+
+    One scan counts the documents of each asked term (and all of them, unless stats (n, avgdl) are given), a second
+    scores every document where it stands and keeps the best of each task. Postings are neither listed nor shuffled.
     """
-    asked = query_terms(queries)
-    terms = asked.select("term").distinct()
-    rows = docs.select(F.col(id_col).alias("doc_id"), tx.tokens(F.col(text_col)).alias("t"))
-    hits = rows.select("doc_id", F.size("t").alias("dl"), F.explode("t").alias("term")).join(terms, "term", "left_semi")
-    hits = hits.groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
-    df = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    scored = hits.join(df, "term").join(asked, "term").crossJoin(F.broadcast(corpus_stats(docs, text_col)))  # one row
-    score = F.sum(F.col("qtf") * bm25_score(F.col("n"), F.col("df"), F.col("tf"), F.col("dl"), F.col("avgdl"), k1, b))
-    return top(scored.groupBy("query_id", "doc_id").agg(score.alias("score")), top_k)
+
+    def search(part: DataFrame) -> DataFrame:
+        item = F.sort_array(F.collect_list(F.struct("term", "qtf")))
+        got = blocks.collected(query_terms(part).groupBy("query_id").agg(item.alias("items")))
+        asked = blocks.Asked(got["query_id"], got["items"])
+        n, some, total, df = blocks.frequencies(rows, columns, asked.terms)
+        avgdl = total / some if some else 0.0
+        if stats is not None:
+            n, avgdl = stats.select("n", F.coalesce("avgdl", F.lit(0.0))).first()
+        scorer = blocks.Bm25(asked, n, avgdl, df, k1, b)
+        return top(blocks.search(rows, "doc_id", columns, asked.query_ids, scorer, top_k, blocks.POSITIVE), top_k)
+
+    return in_blocks(queries, "query_id", search)
+
+
+def bm25(docs: DataFrame, queries: DataFrame, top_k: int = 10, id_col: str = "doc_id", text_col: str = "text", k1: float = 1.5, b: float = 0.75) -> DataFrame:
+    """(query_id, doc_id, score, rank): the best `top_k` documents of every query; ties go to the smaller doc_id."""
+    rows, repeated = merged(docs, id_col, text_col)
+    return ranked(rows, ["x", "t", "dl"], queries, top_k, k1, b, corpus_stats(docs, text_col) if repeated else None)
 
 
 def top(scored: DataFrame, k: int, key: str = "doc_id", digits: int = 9) -> DataFrame:
@@ -84,19 +108,17 @@ def top(scored: DataFrame, k: int, key: str = "doc_id", digits: int = 9) -> Data
 def dense(vectors: DataFrame, queries: DataFrame, top_k: int = 10, metric: str = "cosine", threshold: float | None = None, key: str = "vec_id", vector: str = "embedding", query_vector: str = "embedding") -> DataFrame:
     """(query_id, vec_id, score, rank) by exact search: cosine, dot, or euclidean (as 1 / (1 + distance)).
 
-    Every vector meets every query of a stated set; blocks of queries bound what is broadcast. The window keeps the
-    best rows of a partition before it shuffles.
+    Every vector meets every query of a stated set, as matrices in Arrow batches; blocks of queries bound what is
+    broadcast, and each task hands on its best rows only.
     """
-    q = queries.select("query_id", F.col(query_vector).alias("__q"))
     v = vectors.select(key, F.col(vector).alias("__v"))
-    score = {"cosine": vec.cosine, "dot": vec.dot}.get(metric)
-    value = score(F.col("__q"), F.col("__v")) if score else 1 / (1 + vec.euclidean(F.col("__q"), F.col("__v")))
 
     def search(part: DataFrame) -> DataFrame:
-        rows = v.join(F.broadcast(part), F.lit(True), "inner").select("query_id", key, value.alias("score"))
-        return top(rows if threshold is None else rows.where(F.col("score") >= threshold), top_k, key)
+        asked = blocks.collected(part)
+        rows = blocks.search(v, key, "__v", asked["query_id"], blocks.Pairs(asked["__q"], metric), top_k, -math.inf if threshold is None else threshold)
+        return top(rows, top_k, key)
 
-    return in_blocks(q, "query_id", search)
+    return in_blocks(queries.select("query_id", F.col(query_vector).alias("__q")), "query_id", search)
 
 
 def centroids(vectors: DataFrame, by: str, vector: str = "embedding") -> DataFrame:
