@@ -11,6 +11,7 @@ from ..config import EngineConfig
 from ..functions import parse, rules
 from ..functions import text as tx
 from ..operators import chunking, rerank, retrieval
+from ..session import Workspace
 from . import providers
 
 
@@ -56,9 +57,13 @@ class Pipeline:
         self.config, self.chunker, self.embedder, self.generator, self.options = b.config, b.chunker, b.embedder, b.generator, dict(b.options)
 
     def ingest(self, docs: DataFrame) -> DataFrame:
-        """(chunk_id, doc_id, position, content, embedding)."""
+        """(chunk_id, doc_id, position, content, embedding), written: every part of a search reads it again."""
         chunks = self.chunker(docs)
-        return chunks.join(self.embedder.embed(chunks, "chunk_id", "content"), "chunk_id")
+        if hasattr(self.embedder, "embed_in_place"):
+            made = self.embedder.embed_in_place(chunks, "content")
+        else:
+            made = chunks.join(self.embedder.embed(chunks, "chunk_id", "content"), "chunk_id")
+        return Workspace(docs.sparkSession, "chunks").table("chunks", made)
 
     def retrieve(self, chunks: DataFrame, queries: DataFrame, top_k: int | None = None) -> DataFrame:
         """(query_id, chunk_id, rank, score, content): dense and BM25 lists fused by rank, then reranked by shared words."""
@@ -68,12 +73,14 @@ class Pipeline:
         vectors = self.embedder.embed(queries, "query_id", "query")
         dense = retrieval.dense(chunks, vectors, most, key="chunk_id")
         sparse = retrieval.bm25(chunks, queries, most, "chunk_id", "content").withColumnRenamed("doc_id", "chunk_id")
-        fused = retrieval.hybrid(dense, sparse, c.rerank_factor * k if self.options["rerank"] else k, c.sparse_weight, c.rrf_k)
-        hits = fused.join(chunks.select("chunk_id", "content"), "chunk_id")
+        work = Workspace(chunks.sparkSession, "hits")
+        fused = work.table("fused", retrieval.hybrid(dense, sparse, c.rerank_factor * k if self.options["rerank"] else k, c.sparse_weight, c.rrf_k))
+        few = queries.count() <= retrieval.QUERY_BLOCK
+        hits = (F.broadcast(fused) if few else fused).join(chunks.select("chunk_id", "content"), "chunk_id")
         if self.options["rerank"]:
             scored = hits.join(queries.select("query_id", "query"), "query_id").withColumn("score", tx.overlap(F.col("query"), F.col("content")) + F.col("score"))
             hits = retrieval.top(scored.drop("query", "rank"), k, "chunk_id")
-        return hits.select("query_id", "chunk_id", "rank", "score", "content")
+        return work.table("hits", hits.select("query_id", "chunk_id", "rank", "score", "content"))
 
     def assess(self, hits: DataFrame, queries: DataFrame) -> DataFrame:
         """(query_id, ratio, mean, quality, action) by keyword overlap of the first ten chunks."""

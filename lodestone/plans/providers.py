@@ -74,6 +74,10 @@ class HashEmbedder:
     def embed(self, rows: DataFrame, key: str, text: str) -> DataFrame:
         return cluster.hash_embed(rows, key, text, self.dims)
 
+    def embed_in_place(self, rows: DataFrame, text: str) -> DataFrame:
+        """The rows with their embedding, so that they needn't be joined again."""
+        return cluster.hash_embed(rows, text, text, self.dims, tuple(rows.columns))
+
 
 class Chunker(Protocol):
     def __call__(self, docs: DataFrame) -> DataFrame:
